@@ -49,7 +49,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 def blocks(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray]]:
     """Split rows into blocks of about ``size`` bytes: (first byte, last byte, row starts inside the block as positions).
 
-    Rows longer than a block are cut at white space, so no unit that ends at white space is divided; the parts after the
+    Rows longer than a block are cut at white space, right before a run of it, so no unit that ends there is divided; the parts after the
     first carry on the same row. Yields (begin, end, row_of_part, part_starts) with one part for each row touched.
     """
     row, n = 0, len(offsets) - 1
@@ -64,7 +64,8 @@ def blocks(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK_BYTES) -> It
             while at < end:
                 stop = min(at + size, end)
                 while stop < end:
-                    near = np.flatnonzero(_SPACE[data[stop : min(stop + size, end)]])
+                    high = min(stop + size, end)
+                    near = np.flatnonzero(_SPACE[data[stop:high]] & ~_SPACE[data[stop - 1 : high - 1]])
                     if len(near):
                         stop += int(near[0])
                         break
