@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, token_count, url_rules
+from . import chat, packing, simhash, token_count, transport, url_rules
 
 WORDS = "word_bpe_49k.json"
 
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_conversations(chat.with_forged(table(spark, sf_dir, "conversations"))))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -29,17 +33,24 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op9_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.digests(transport.streams(table(spark, sf_dir, "documents")))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_chat_format": op3_chat_format,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_transport_streams": op9_transport_streams,
     "op10_url_rules": op10_url_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat.ORACLE_SQL,
     "op10_url_rules": url_rules.ORACLE_SQL,
 }
