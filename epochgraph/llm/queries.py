@@ -7,15 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, packing, quality, simhash, token_count, transport, url_rules, vectors
+from . import chat, language, packing, quality, sentence_piece, simhash, token_count, transport, url_rules, vectors
 
 WORDS = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_piece.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -54,6 +59,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_piece": op1_sentence_piece,
     "op2_token_counts": op2_token_counts,
     "op3_chat_format": op3_chat_format,
     "op4_best_fit_packing": op4_best_fit_packing,
