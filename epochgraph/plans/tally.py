@@ -1,0 +1,74 @@
+"""The whole plan: how many packages depended on each query's releases, at every time."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Sequence
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import graph, series
+from ..operators.temporal import FROM, TO
+from ..sources.schema import Registry
+from .prepare import clamp, exclude
+from .query import bind
+
+
+def prepared(registry: Registry, predicates: DataFrame, transitive: bool = False, exclude_patterns: Sequence[str] = ()) -> Registry:
+    """The registry as the dataflow reads it. Direct counts need only the dependencies on the queries' packages."""
+    registry = exclude(registry, exclude_patterns)
+    if not transitive:
+        wanted = predicates.select("crate_id").distinct()
+        registry = replace(registry, dependencies=registry.dependencies.join(wanted, "crate_id", "left_semi").select(registry.dependencies.columns))
+    return replace(registry, dependencies=graph.durable(clamp(registry).dependencies))
+
+
+def dependents(registry: Registry, predicates: DataFrame, transitive: bool = False) -> DataFrame:
+    """(version_id, query_id, interval): recent releases that depend on a query's matches, directly or, with ``transitive``, through features."""
+    releases, dependencies = registry.releases, registry.dependencies
+    matches = graph.matching(predicates, releases)
+    latest = graph.recent(releases)
+    if not transitive:
+        resolutions = graph.resolved(dependencies, releases)
+        return graph.dependents(matches, graph.direct_edges(dependencies, resolutions), latest)
+    resolutions = graph.durable(graph.resolved(dependencies, releases))
+    direct = graph.dependents(matches, graph.direct_edges(dependencies, resolutions), latest)
+    reached = graph.reachable(matches, graph.feature_edges(releases, dependencies, resolutions))
+    return direct.select("version_id", "query_id", FROM, TO).unionByName(graph.reaching(reached, latest).select("version_id", "query_id", FROM, TO))
+
+
+def tally(registry: Registry, queries: Iterable[str], transitive: bool = False, exclude_patterns: Sequence[str] = (), relative: bool = False) -> DataFrame:
+    """(ts, query_id, value[, total, fraction]): a row for each query at each time at which any query's count changes.
+
+    The change log is checkpointed: it is as small as the result, and what follows reads it several times.
+    """
+    queries = list(queries)
+    predicates = graph.durable(bind(registry, queries))
+    registry = prepared(registry, predicates, transitive, exclude_patterns)
+    counts = graph.durable(series.count_changes(dependents(registry, predicates, transitive)))
+    found = series.integrate(counts, list(range(len(queries))))
+    return series.relative(found, registry.releases) if relative else found
+
+
+def lines(found: DataFrame, n_queries: int, relative: bool = False, head: int | None = None) -> list[str]:
+    """The series as text, a line for each time; with ``head`` only so many first and last lines if there are over twice as many."""
+    value = "fraction" if relative else "value"
+    table = series.wide(found, list(range(n_queries)), value).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "values")
+    if head is None:
+        rows, cut = list(table.orderBy("ts").toLocalIterator()), None
+    else:
+        first = table.orderBy("ts").limit(2 * head + 1).collect()
+        rows, cut = first, None
+        if len(first) > 2 * head:
+            rows, cut = first[:head] + table.orderBy(F.desc("ts")).limit(head).collect()[::-1], head
+    out = [f"{_shown(r['ts'])} [{', '.join(_number(v) for v in r['values'])}]" for r in rows]
+    return out if cut is None else [*out[:cut], "...", *out[cut:]]
+
+
+def _shown(ts: str) -> str:
+    return ts.rstrip("0").rstrip(".") if "." in ts else ts
+
+
+def _number(v: float | int) -> str:
+    return str(v) if isinstance(v, int) else f"{v:.7g}"
