@@ -18,6 +18,8 @@ from .temporal import FROM, TO, coalesce_intervals, interval_join, running_max_i
 PACKAGE, DEFAULT = "", "default"
 #: Rounds after which the fixpoint gives up.
 MAX_ROUNDS = 65_535
+#: Every so many rounds what is known is merged into fewer rows.
+MERGE_ROUNDS = 8
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -115,13 +117,14 @@ def reachable(matches: DataFrame, edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("dst_v").alias("version_id"), F.col("dst_f").alias("feature"), "src_v", "src_f", FROM, TO)
     back = durable(back.repartition(parts, "version_id", "feature"))
     known = fresh = durable(coalesce_intervals(matches.select("version_id", F.lit(PACKAGE).alias("feature"), "query_id", FROM, TO), keys))
-    for _ in range(MAX_ROUNDS):
+    for i in range(MAX_ROUNDS):
         if fresh.isEmpty():
-            return known
+            return coalesce_intervals(known, keys)
         found = interval_join(fresh, back, ["version_id", "feature"]).select(F.col("src_v").alias("version_id"), F.col("src_f").alias("feature"), "query_id", FROM, TO)
-        touched = known.join(found.select(*keys).distinct(), keys, "left_semi")
-        fresh = durable(subtract_intervals(found, touched, keys))
-        known = durable(coalesce_intervals(known.unionByName(fresh), keys))
+        fresh = durable(subtract_intervals(found, known, keys))
+        known = known.unionByName(fresh)  # disjoint by construction
+        if i % MERGE_ROUNDS == MERGE_ROUNDS - 1:
+            known = durable(coalesce_intervals(known, keys))
     raise RuntimeError("the closure doesn't end")
 
 

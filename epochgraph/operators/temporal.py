@@ -73,10 +73,13 @@ def coalesce_intervals(df: DataFrame, keys: list[str]) -> DataFrame:
 def subtract_intervals(df: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
     """When ``df`` holds and ``taken`` doesn't, for each key."""
     order = Window.partitionBy(*keys).orderBy("ts")
-    sides = [changes(x, keys).select(*keys, "ts", *(F.col("diff").alias(c) if c == name else F.lit(0).cast("long").alias(c) for c in ("_a", "_b"))) for x, name in ((df, "_a"), (taken, "_b"))]
-    both = sides[0].unionByName(sides[1]).groupBy(*keys, "ts").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    cover = both.withColumn("_na", F.sum("_a").over(order)).withColumn("_nb", F.sum("_b").over(order)).withColumn(TO, F.coalesce(F.lead("ts", 1).over(order), forever()))
-    return coalesce_intervals(cover.filter("_na > 0 AND _nb = 0").select(*keys, F.col("ts").alias(FROM), TO), keys)
+    flat = df.select(*keys, FROM, TO, F.lit(True).alias("_own")).unionByName(taken.select(*keys, FROM, TO, F.lit(False).alias("_own")))
+    steps = F.array(F.struct(F.col(FROM).alias("ts"), F.lit(1).alias("diff")), F.struct(F.col(TO).alias("ts"), F.lit(-1).alias("diff")))
+    both = flat.select(*keys, "_own", F.explode(steps).alias("_s")).groupBy(*keys, F.col("_s.ts").alias("ts"))
+    both = both.agg(F.sum(F.when(F.col("_own"), F.col("_s.diff")).otherwise(0)).alias("_a"), F.sum(F.when(F.col("_own"), 0).otherwise(F.col("_s.diff"))).alias("_b"))
+    cover = both.withColumn("_here", (F.sum("_a").over(order) > 0) & (F.sum("_b").over(order) == 0))
+    edges = cover.withColumn("_was", F.coalesce(F.lag("_here").over(order), F.lit(False))).filter("_here <> _was")
+    return edges.withColumn(TO, F.lead("ts", 1).over(order)).filter("_here").select(*keys, F.col("ts").alias(FROM), TO)
 
 
 def as_of(df: DataFrame, ts: Column) -> DataFrame:
