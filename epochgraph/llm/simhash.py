@@ -212,7 +212,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     linked = checkpointed(roots.join(nodes, "fp"))
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = linked.join(least, "root").select("fp", F.col("component_id").alias("linked_id"))
-    named = nodes.join(named, "fp", "left").select("fp", F.coalesce("linked_id", "rep").alias("component_id"))
+    # a checkpoint, so that the last join's both sides are plain exchanges and adaptive execution can split a hot fingerprint
+    named = checkpointed(nodes.join(named, "fp", "left").select("fp", F.coalesce("linked_id", "rep").alias("component_id")))
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
