@@ -79,21 +79,21 @@ def scores(column: pa.Array, table: np.ndarray, weights: np.ndarray) -> np.ndarr
 
 
 class Sample:
-    """Bucket shares of many texts, as flat arrays."""
+    """Bucket shares of many texts, as flat arrays in narrow types: the driver holds them while it trains."""
 
     def __init__(self, rows: list[tuple[bytes, bytes]]):
         ids, shares = [np.frombuffer(r[0], np.uint16) for r in rows], [np.frombuffer(r[1], np.float32) for r in rows]
         self.size = np.array([len(x) for x in ids], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
-        self.ids = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
         self.shares = np.concatenate(shares) if shares else np.zeros(0, np.float32)
 
     def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position among ``rows``, bucket and share of every entry of these rows."""
         size = self.size[rows]
         ends = np.cumsum(size)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[rows] - (ends - size), size)
-        return np.repeat(np.arange(len(rows)), size), self.ids[at], self.shares[at]
+        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat((self.start[rows] - (ends - size)).astype(np.int32), size)
+        return np.repeat(np.arange(len(rows), dtype=np.int32), size), self.ids[at], self.shares[at]
 
     def times(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Each row's shares times a weight matrix (BUCKETS x k)."""

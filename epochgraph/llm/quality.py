@@ -24,7 +24,7 @@ from . import ngrams
 from .common import blocks, text_buffers
 
 #: About so many labelled documents are learned from, and so many unlabelled ones exchanged.
-LABELLED, UNLABELLED = 4000, 3000
+LABELLED, UNLABELLED = 3600, 1200
 ROUNDS, SHARE, SURE = 4, 0.1, 0.97
 #: Share of good documents that the threshold may cost at most, and the score from which a document always stays.
 LOSS, ENOUGH = 0.005, 0.5
@@ -112,10 +112,12 @@ def balance(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0.5, 0.5 / positive, 0.5 / (1 - positive))
 
 
-def fit_sparse(sample: ngrams.Sample, rows: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 4.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """A logistic model on bucket shares, by gradient steps that are scaled for each bucket."""
+def fit_sparse(sample: ngrams.Sample, rows: np.ndarray, y: np.ndarray, start: tuple[np.ndarray, float] | None = None, rate: float = 4.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+    """A logistic model on bucket shares, by gradient steps that are scaled for each bucket; fewer from an earlier model."""
     row, bucket, share = sample.of(rows)
-    w, b, seen = np.zeros(ngrams.BUCKETS), 0.0, np.full(ngrams.BUCKETS, 1e-8)
+    steps = 40 if start else 120
+    w, b = (start[0].copy(), start[1]) if start else (np.zeros(ngrams.BUCKETS), 0.0)
+    seen = np.full(ngrams.BUCKETS, 1e-8)
     weight = balance(y)
     for _ in range(steps):
         error = (sigmoid(np.bincount(row, share * w[bucket], len(rows)) + b) - y) * weight / len(y)
@@ -156,10 +158,11 @@ def train(sample: ngrams.Sample, page: np.ndarray, labels: np.ndarray, seed: int
     held, used = known[: len(known) // 4], known[len(known) // 4 :]
     pool = np.flatnonzero(labels < 0)
     own = [dict(zip(used.tolist(), labels[used].tolist(), strict=True)) for _ in range(2)]
+    content_view = None
     for r in range(ROUNDS + 1):
         rows = [np.array(sorted(o)) for o in own]
         targets = [np.array([o[i] for i in x.tolist()], float) for o, x in zip(own, rows, strict=True)]
-        words, bias = fit_sparse(sample, rows[0], targets[0])
+        words, bias = content_view = fit_sparse(sample, rows[0], targets[0], content_view)
         linear = fit_dense(page[rows[1]], targets[1])
         if r == ROUNDS or not len(pool):
             break
@@ -198,7 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = np.array([-1 if r["label"] is None else r["label"] for r in got], np.int64)
     if not (known >= 0).any():
         return Model(np.zeros(ngrams.BUCKETS), 0.0, None, ((1.0, 0.0), (1.0, 0.0)), 0.0)
-    return train(ngrams.Sample([(r["ids"], r["shares"]) for r in got]), np.array([np.frombuffer(r["page"]) for r in got]), known)
+    sample, page = ngrams.Sample([(r["ids"], r["shares"]) for r in got]), np.array([np.frombuffer(r["page"]) for r in got])
+    del got  # the driver's memory is small
+    return train(sample, page, known)
 
 
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
