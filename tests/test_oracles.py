@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from conftest import ROOT, SF
+from support import ROOT, SF
 
 sys.path.insert(0, ROOT)
 import __spark_entry__ as entry  # noqa: E402
