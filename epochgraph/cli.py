@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from .plans import prepare, query, render, tally
+from .plans import counts, prepare, query, render
 from .sources import dump
 
 log = logging.getLogger("epochgraph")
@@ -50,7 +50,7 @@ def _query(text: str) -> str:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = list(sys.argv[1:] if argv is None else argv)
-    if args[:1] == ["tally"]:  # so that it can be a subcommand
+    if args[:1] == ["epochgraph"]:  # so that it can be a subcommand
         args = args[1:]
     opt = parser().parse_args(args)
     if not os.path.exists(opt.db) and "://" not in opt.db:
@@ -67,9 +67,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     log.info("load time: %.2f s", time.monotonic() - began)
     began = time.monotonic()
     try:
-        found = tally.tally(registry, opt.queries, opt.transitive, opt.exclude, opt.relative).persist()
+        found = counts.over_time(registry, opt.queries, opt.transitive, opt.exclude, opt.relative).persist()
         terminal = sys.stdout.isatty()
-        text = tally.lines(found, len(opt.queries), opt.relative, head=10 if terminal else None)
+        text = counts.lines(found, len(opt.queries), opt.relative, head=10 if terminal else None)
     except query.QueryError as e:
         print(e, file=sys.stderr)
         return 1

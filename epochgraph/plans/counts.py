@@ -38,7 +38,7 @@ def dependents(registry: Registry, predicates: DataFrame, transitive: bool = Fal
     return direct.select("version_id", "query_id", FROM, TO).unionByName(graph.reaching(reached, latest).select("version_id", "query_id", FROM, TO))
 
 
-def tally(registry: Registry, queries: Iterable[str], transitive: bool = False, exclude_patterns: Sequence[str] = (), relative: bool = False) -> DataFrame:
+def over_time(registry: Registry, queries: Iterable[str], transitive: bool = False, exclude_patterns: Sequence[str] = (), relative: bool = False) -> DataFrame:
     """(ts, query_id, value[, total, fraction]): a row for each query at each time at which any query's count changes.
 
     The change log is checkpointed: it is as small as the result, and what follows reads it several times.

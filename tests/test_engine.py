@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochgraph.functions import semver
-from epochgraph.plans import query, tally
+from epochgraph.plans import counts, query
 from epochgraph.plans.prepare import clamp, exclude
 from epochgraph.sources.schema import FEATURES, Registry
 from epochgraph.sources.star import with_requirements
@@ -109,7 +109,7 @@ def test_against_snapshots(spark, seed, transitive):
     names, rel, dep = random_registry(seed)
     asked = ["pkg-0", "pkg_1:^1", "pkg-2 + pkg-3:>=0.1", "@ANN", "pkg-0 + pkg-0"]
     predicates = [[(0, None)], [(1, semver.parse_requirement("^1"))], [(2, None), (3, semver.parse_requirement(">=0.1"))], [(0, None), (2, None)], [(0, None)]]
-    got = {((r["ts"] - T0).days, r["query_id"]): r["value"] for r in tally.tally(frames(spark, names, rel, dep), asked, transitive).collect()}
+    got = {((r["ts"] - T0).days, r["query_id"]): r["value"] for r in counts.over_time(frames(spark, names, rel, dep), asked, transitive).collect()}
     want = brute(names, rel, dep, predicates, transitive)
     last, steps = [0] * len(asked), {}
     for t in range(11):
@@ -124,7 +124,7 @@ def test_exclude_and_total(spark):
     names, rel, dep = random_registry(7)
     registry = exclude(frames(spark, names, rel, dep), ["^pkg-[01]$"])
     assert {r["crate_id"] for r in registry.releases.collect()} == {r["crate"] for r in rel if r["crate"] > 1}
-    found = tally.tally(frames(spark, names, rel, dep), ["pkg-2"], exclude_patterns=["0$"], relative=True).collect()
+    found = counts.over_time(frames(spark, names, rel, dep), ["pkg-2"], exclude_patterns=["0$"], relative=True).collect()
     for r in found:
         born = {x["crate"] for x in rel if x["crate"] and T0 + timedelta(days=x["t"]) <= r["ts"]}
         assert r["total"] == len(born) and abs(r["fraction"] - r["value"] / len(born)) < 1e-6
@@ -157,6 +157,6 @@ def test_queries(spark):
 def test_lines(spark):
     data = [(T0 + timedelta(days=i), 0, i) for i in range(30)]
     df = spark.createDataFrame(data, "ts timestamp, query_id int, value long")
-    assert len(tally.lines(df, 1)) == 30
-    short = tally.lines(df, 1, head=10)
+    assert len(counts.lines(df, 1)) == 30
+    short = counts.lines(df, 1, head=10)
     assert len(short) == 21 and short[10] == "..." and short[0] == "2020-01-01 00:00:00 [0]" and short[-1] == "2020-01-30 00:00:00 [29]"
