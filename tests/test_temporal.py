@@ -96,6 +96,11 @@ def test_chart_points(spark):
     }
 
 
+def test_extents(spark):
+    row = series.extents(spark.createDataFrame([(0, T0, 3), (1, day(2), 1)], "query_id int, ts timestamp, value long")).first()
+    assert tuple(row) == (T0, day(2), 3)
+
+
 def test_empty(spark):
     none = frame(spark, [])
     assert temporal.coalesce_intervals(none, ["k"]).count() == 0
