@@ -97,8 +97,12 @@ class Sample:
 
     def times(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Each row's shares times a weight matrix (BUCKETS x k)."""
-        row, bucket, share = self.of(rows)
-        return np.stack([np.bincount(row, share * weights[bucket, k], len(rows)) for k in range(weights.shape[1])], 1)
+        out = np.zeros((len(rows), weights.shape[1]))
+        for a in range(0, len(rows), 256):
+            row, bucket, share = self.of(rows[a : a + 256])
+            for k in range(weights.shape[1]):
+                out[a : a + 256, k] = np.bincount(row, share * weights[bucket, k], len(rows[a : a + 256]))
+        return out
 
 
 def share_hashed(docs: DataFrame, key, n: int) -> "F.Column":

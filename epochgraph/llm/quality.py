@@ -29,6 +29,8 @@ ROUNDS, SHARE, SURE = 4, 0.1, 0.97
 #: Share of good documents that the threshold may cost at most, and the score from which a document always stays.
 LOSS, ENOUGH = 0.005, 0.5
 SOURCES, LANGUAGES = 64, 16
+#: Documents that one step of training looks at together.
+PART = 256
 
 _CLASSES = np.zeros((256, 5), bool)  # capitals, digits, signs, white space, line feeds
 _CLASSES[65:91, 0] = _CLASSES[48:58, 1] = True
@@ -114,17 +116,21 @@ def balance(y: np.ndarray) -> np.ndarray:
 
 def fit_sparse(sample: ngrams.Sample, rows: np.ndarray, y: np.ndarray, start: tuple[np.ndarray, float] | None = None, rate: float = 4.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
     """A logistic model on bucket shares, by gradient steps that are scaled for each bucket; fewer from an earlier model."""
-    row, bucket, share = sample.of(rows)
+    parts = [(k, sample.of(rows[k : k + PART])) for k in range(0, len(rows), PART)]  # so that no step needs much memory
     steps = 40 if start else 120
     w, b = (start[0].copy(), start[1]) if start else (np.zeros(ngrams.BUCKETS), 0.0)
     seen = np.full(ngrams.BUCKETS, 1e-8)
     weight = balance(y)
     for _ in range(steps):
-        error = (sigmoid(np.bincount(row, share * w[bucket], len(rows)) + b) - y) * weight / len(y)
-        slope = np.bincount(bucket, share * error[row], ngrams.BUCKETS) + decay * w
+        slope, shift = decay * w, 0.0
+        for k, (row, bucket, share) in parts:
+            own = slice(k, k + PART)
+            error = (sigmoid(np.bincount(row, share * w[bucket], len(y[own])) + b) - y[own]) * weight[own] / len(y)
+            slope += np.bincount(bucket, share * error[row], ngrams.BUCKETS)
+            shift += error.sum()
         seen += slope**2
         w -= rate * slope / np.sqrt(seen)
-        b -= error.sum()
+        b -= shift
     return w, b
 
 
