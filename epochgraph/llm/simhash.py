@@ -47,7 +47,7 @@ def add_votes(votes: np.ndarray, words: list[bytes], width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp long): the fingerprint of each whole text, lower-cased A to Z, over shingles of ``width`` words.
+    """(id, fp long, text_hash long): the fingerprint of each whole text, lower-cased A to Z, over shingles of ``width`` words.
 
     Fewer words make one shingle, none the fingerprint zero; null texts count as empty.
     """
@@ -76,9 +76,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     n += add_votes(votes, words, width)
                     carried = words[-(width - 1) :] if width > 1 else []
             finish()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), batch.column(2)], names=[id_col, "fp", "text_hash"])
 
-    return docs.select(id_col, text_col).mapInArrow(made, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(made, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long, text_hash long")
 
 
 class Forest:
@@ -201,29 +201,37 @@ def near_links(nodes: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id whose text is reachable by links, itself included.
+    """(id, fp, component_id, group_fp, text_hash): component_id is the smallest id whose text is reachable by links, itself included.
 
     Every input row comes back once, repeated rows too. Null texts count as empty and link with other empty ones; a group in
-    which no row has an id gets a null component_id. An empty table gives an empty result.
+    which no row has an id gets a null component_id. group_fp is one fingerprint of the group, the same for all of it. An empty
+    table gives an empty result.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, width))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("rep")))
     roots = components(near_links(nodes)).withColumnRenamed("node", "fp")
     linked = checkpointed(roots.join(nodes, "fp"))
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = linked.join(least, "root").select("fp", F.col("component_id").alias("linked_id"))
+    named = linked.join(least, "root").select("fp", "root", F.col("component_id").alias("linked_id"))
+    named = nodes.join(named, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("linked_id")).alias("component_id"), F.coalesce("root", "fp").alias("group_fp"))
     # a checkpoint, so that the last join's both sides are plain exchanges and adaptive execution can split a hot fingerprint
-    named = checkpointed(nodes.join(named, "fp", "left").select("fp", F.coalesce("linked_id", "rep").alias("component_id")))
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    return prints.join(checkpointed(named), "fp").select(id_col, "fp", "component_id", "group_fp", "text_hash")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The documents, less all but the one with the smallest id of each group; of rows repeated under that id one stays.
+    """The documents, less all but one of each group: the one with the smallest id, and of equal ids with the smallest text hash.
 
-    Rows without an id can't stand for a group and all stay.
+    Of rows repeated as a whole one stays. Rows without an id can't stand for a group and all stay.
     """
-    keep = groups(docs, id_col, text_col, width).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    found = groups(docs, id_col, text_col, width).filter(F.col(id_col).isNotNull())
+    first = found.groupBy("group_fp").agg(F.min(F.struct(id_col, "text_hash")).alias("first"))
+    keep = first.select(F.col(f"first.{id_col}").alias(id_col), F.col("first.text_hash").alias(_HASH)).distinct()
+    named = docs.withColumn(_HASH, F.xxhash64(text_col)).join(keep, [id_col, _HASH], "left_semi").dropDuplicates([id_col, _HASH])
+    return named.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+#: A column name that no table should have.
+_HASH = "__text_hash__"
 
 
 def hex_digits(fp):

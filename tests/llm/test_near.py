@@ -58,6 +58,12 @@ def test_one_of_each(odd_docs):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*want, None])
 
 
+def test_one_of_each_under_shared_ids(spark):
+    rows = [(5, "one text of some length here"), (5, "quite another one with other words"), (7, "quite another one with other words"), (2, "quite another one with other words"), (5, "one text of some length here"), (5, None), (6, "")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[3], rows[5]])
+
+
 @pytest.mark.parametrize("hot", [4096, 8])
 def test_links(spark, hot):
     rnd = random.Random(hot)
