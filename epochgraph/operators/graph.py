@@ -120,8 +120,11 @@ def reachable(matches: DataFrame, edges: DataFrame) -> DataFrame:
     for i in range(MAX_ROUNDS):
         if fresh.isEmpty():
             return coalesce_intervals(known, keys)
-        found = interval_join(fresh, back, ["version_id", "feature"]).select(F.col("src_v").alias("version_id"), F.col("src_f").alias("feature"), "query_id", FROM, TO)
-        fresh = durable(subtract_intervals(found, known, keys))
+        found = interval_join(fresh, back, ["version_id", "feature"]).select(F.col("src_v").alias("version_id"), F.col("src_f").alias("feature"), "query_id", FROM, TO).persist()
+        # where little was found its keys are broadcast, and what is known isn't shuffled
+        touched = known.join(found.select(*keys).distinct(), keys, "left_semi")
+        fresh = durable(subtract_intervals(found, touched, keys))
+        found.unpersist()
         known = known.unionByName(fresh)  # disjoint by construction
         if i % MERGE_ROUNDS == MERGE_ROUNDS - 1:
             known = durable(coalesce_intervals(known, keys))
