@@ -166,6 +166,13 @@ def semver_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.filter(semver.matches(F.col("req"), F.col("ver"))).select("req_key", "num")
 
 
+def semver_matching_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct requirement against every distinct version number: the requirements are few (at most 79 texts) and broadcast."""
+    reqs = star.dependencies(spark, sf_dir).select("req_key", "req").dropDuplicates(["req_key"])
+    versions = star.releases(spark, sf_dir, features=False).select("num", "ver").dropDuplicates(["num"])
+    return versions.join(F.broadcast(reqs), semver.matches(F.col("req"), F.col("ver"))).select("req_key", "num")
+
+
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
     made = F.translate("p_name", " ", "_")
@@ -177,7 +184,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         running_max_recent, resolve_requirements, direct_edges, match_releases, direct_series, direct_series_multi, relative_series, excluded_series, exclude_filter,
         requirement_clamp, dependency_features, feature_edges, transitive_series, transitive_snapshot, owner_query, owner_series, chart_points, total_series,
-        event_step_series, event_running_max, event_sessions, event_idle, semver_matching, name_keys,
+        event_step_series, event_running_max, event_sessions, event_idle, semver_matching, semver_matching_all, name_keys,
     )
 }
 
@@ -305,6 +312,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT user_id, ts + INTERVAL 6 HOUR AS valid_from, coalesce(next, TIMESTAMP '9999-12-31') AS valid_to FROM g WHERE next IS NULL OR next > ts + INTERVAL 6 HOUR""",
     "semver_matching": f"""WITH {RELEASES}, {DEPENDENCIES}, d0 AS (SELECT DISTINCT op, qa, qb, NULL AS qp, req FROM dep)
         SELECT DISTINCT d.req AS req_key, r.a || '.' || r.b || '.' || r.p AS num FROM rel r JOIN d0 d ON r.p < 20 AND {FITS}""",
+    "semver_matching_all": f"""WITH {RELEASES}, {DEPENDENCIES}, d0 AS (SELECT DISTINCT op, qa, qb, NULL AS qp, req FROM dep)
+        SELECT DISTINCT d.req AS req_key, r.a || '.' || r.b || '.' || r.p AS num FROM rel r JOIN d0 d ON {FITS}""",
     "name_keys": """SELECT p_partkey, replace(replace(p_name, ' ', '_'), '_', '-') AS package_key, regexp_matches(replace(p_name, ' ', '_'), '^[A-Za-z][A-Za-z0-9_-]{0,63}$') AS package_valid,
         lower(p_brand) AS user_key, regexp_matches(p_brand, '^[0-9A-Za-z]+(-[0-9A-Za-z]+)*$') AND length(p_brand) <= 39 AS user_valid, contains(p_brand || '/' || p_name, '/') AS team FROM part""",
 }
