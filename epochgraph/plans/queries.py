@@ -35,15 +35,24 @@ def running_max_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.recent(star.releases(spark, sf_dir, features=False))
 
 
+def resolve_requirements_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.resolved(star.dependencies(spark, sf_dir), star.releases(spark, sf_dir, features=False))
+
+
 def resolve_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.resolved(star.dependencies(spark, sf_dir), star.releases(spark, sf_dir, features=False))
-    return _at(found, "crate_id", "req_key", "version_id")
+    """At DATES alone."""
+    return _at(resolve_requirements_over_time(spark, sf_dir), "crate_id", "req_key", "version_id")
 
 
-def direct_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def direct_edges_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each requirement by which a release points to another."""
     deps = graph.durable(star.dependencies(spark, sf_dir))
-    edges = graph.direct_edges(deps, graph.resolved(deps, star.releases(spark, sf_dir, features=False)))
-    return _at(edges, "src", "dst")
+    return graph.direct_edges(deps, graph.resolved(deps, star.releases(spark, sf_dir, features=False)))
+
+
+def direct_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At DATES alone."""
+    return _at(direct_edges_over_time(spark, sf_dir), "src", "dst")
 
 
 def _direct_registry(spark: SparkSession, sf_dir: str):
@@ -90,22 +99,32 @@ def dependency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deps.select("version_id", "crate_id", "req_key", "kind", F.explode(wanted).alias("dst_f")).distinct()
 
 
-def feature_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_edges_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each requirement, or declaration, by which a node points to another."""
     deps, releases = graph.durable(star.dependencies(spark, sf_dir)), star.releases(spark, sf_dir)
-    edges = graph.feature_edges(releases, deps, graph.durable(graph.resolved(deps, releases)))
-    return _at(edges, "src_v", "src_f", "dst_v", "dst_f")
+    return graph.feature_edges(releases, deps, graph.durable(graph.resolved(deps, releases)))
+
+
+def feature_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At DATES alone."""
+    return _at(feature_edges_over_time(spark, sf_dir), "src_v", "src_f", "dst_v", "dst_f")
 
 
 def transitive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.over_time(star.registry(spark, sf_dir), QUERIES_ASKED, transitive=True)
 
 
-def transitive_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transitive_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = star.registry(spark, sf_dir)
     predicates = graph.durable(query.bind(registry, QUERIES_ASKED))
     registry = counts.prepared(registry, predicates, transitive=True)
     found = counts.dependents(registry, predicates, transitive=True)
-    return _at(found, "query_id", "version_id")
+    return temporal.coalesce_intervals(found.select("query_id", "version_id", FROM, TO), ["query_id", "version_id"])
+
+
+def transitive_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At DATES alone."""
+    return _at(transitive_over_time(spark, sf_dir), "query_id", "version_id")
 
 
 def owner_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +204,11 @@ QUERIES: dict[str, Query] = {
         running_max_recent, resolve_requirements, direct_edges, match_releases, direct_series, direct_series_multi, relative_series, excluded_series, exclude_filter,
         requirement_clamp, dependency_features, feature_edges, transitive_series, transitive_snapshot, owner_query, owner_series, chart_points, total_series,
         event_step_series, event_running_max, event_sessions, event_idle, semver_matching, semver_matching_all, name_keys,
+        resolve_requirements_over_time, direct_edges_over_time, feature_edges_over_time,
     )
 }
+#: Without SQL that is fast enough for the driver; tests hold it against SQL on the smallest tables.
+WITHOUT_SQL: dict[str, Query] = {"transitive_over_time": transitive_over_time}
 
 
 # SQL. A version is a number: major, minor, patch with nine digits each; prereleases match no requirement here.
@@ -268,6 +290,12 @@ hit AS (
 found AS (SELECT DISTINCT h.t, h.q, h.v FROM hit h JOIN newest n ON n.t = h.t AND n.v = h.v)"""
 END = "coalesce(lead(f) OVER (PARTITION BY {k} ORDER BY f), TIMESTAMP '9999-12-31')"
 
+#: What requirements resolve to, as intervals.
+RESOLVED = f"""d0 AS (SELECT DISTINCT c, op, qa, qb, NULL AS qp, req FROM dep),
+        m AS (SELECT DISTINCT d.c, d.req, r.t AS f, arg_max(r.v, r.n) OVER (PARTITION BY d.c, d.req ORDER BY r.t RANGE UNBOUNDED PRECEDING) AS v FROM rel r JOIN d0 d ON r.c = d.c AND {FITS}),
+        s AS (SELECT *, lag(v) OVER (PARTITION BY c, req ORDER BY f) AS was FROM m),
+        res AS (SELECT c, req, v, f, {END.format(k='c, req')} AS u FROM s WHERE was IS DISTINCT FROM v)"""
+
 ORACLE_SQL: dict[str, str] = {
     "running_max_recent": f"""WITH {RELEASES}, m AS (SELECT c, t AS f, arg_max(v, (NOT pre, t, v)) OVER (PARTITION BY c ORDER BY t RANGE UNBOUNDED PRECEDING) AS v FROM rel),
         k AS (SELECT DISTINCT c, f, v FROM m), s AS (SELECT *, lag(v) OVER (PARTITION BY c ORDER BY f) AS was FROM k)
@@ -314,6 +342,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT DISTINCT d.req AS req_key, r.a || '.' || r.b || '.' || r.p AS num FROM rel r JOIN d0 d ON r.p < 20 AND {FITS}""",
     "semver_matching_all": f"""WITH {RELEASES}, {DEPENDENCIES}, d0 AS (SELECT DISTINCT op, qa, qb, NULL AS qp, req FROM dep)
         SELECT DISTINCT d.req AS req_key, r.a || '.' || r.b || '.' || r.p AS num FROM rel r JOIN d0 d ON {FITS}""",
+    "resolve_requirements_over_time": f"WITH {RELEASES}, {DEPENDENCIES}, {RESOLVED} SELECT c AS crate_id, req AS req_key, v AS version_id, f AS valid_from, u AS valid_to FROM res",
+    "direct_edges_over_time": f"""WITH {RELEASES}, {DEPENDENCIES}, {RESOLVED}
+        SELECT d.v AS src, res.v AS dst, f AS valid_from, u AS valid_to FROM (SELECT DISTINCT v, c, req FROM dep) d JOIN res ON res.c = d.c AND res.req = d.req""",
+    "feature_edges_over_time": f"""WITH {RELEASES}, {DEPENDENCIES}, {RESOLVED}, {FEATURE_EDGES},
+        asked AS (SELECT DISTINCT v, c, req, feature, unnest(CASE WHEN NOT defaults AND NOT extra THEN [''] WHEN defaults AND extra THEN ['default', 'extra'] WHEN defaults THEN ['default'] ELSE ['extra'] END) AS g FROM dep WHERE kind <> 'dev')
+        SELECT a.v AS src_v, a.feature AS src_f, res.v AS dst_v, a.g AS dst_f, res.f AS valid_from, u AS valid_to FROM asked a JOIN res ON res.c = a.c AND res.req = a.req
+        UNION ALL SELECT v, f, v, g, t, TIMESTAMP '9999-12-31' FROM inner_edges
+        UNION ALL SELECT k.v, k.f, res.v, k.g, res.f, u FROM cross_on k JOIN (SELECT DISTINCT v, c, req FROM dep) d ON d.v = k.v AND d.c = k.c JOIN res ON res.c = d.c AND res.req = d.req""",
     "name_keys": """SELECT p_partkey, replace(replace(p_name, ' ', '_'), '_', '-') AS package_key, regexp_matches(replace(p_name, ' ', '_'), '^[A-Za-z][A-Za-z0-9_-]{0,63}$') AS package_valid,
         lower(p_brand) AS user_key, regexp_matches(p_brand, '^[0-9A-Za-z]+(-[0-9A-Za-z]+)*$') AND length(p_brand) <= 39 AS user_valid, contains(p_brand || '/' || p_name, '/') AS team FROM part""",
 }
@@ -321,3 +357,8 @@ ORACLE_SQL: dict[str, str] = {
 #: is run by the tests alone.
 TRANSITIVE_SERIES_SQL = f"""WITH RECURSIVE {RELEASES}, {DEPENDENCIES}, {CLAMPED}, {PREDICATES}, {MATCH}, instants AS (SELECT DISTINCT t FROM rel), day AS (SELECT t FROM instants), dd AS (SELECT * FROM cdep),
     {FEATURE_EDGES}, {EDGES}, {REACH}, counted AS (SELECT t, q, count(*) AS value FROM found GROUP BY ALL), {DENSE} SELECT t AS ts, q AS query_id, value FROM kept"""
+#: The same closure as intervals, for the tests as well.
+TRANSITIVE_OVER_TIME_SQL = f"""WITH RECURSIVE {RELEASES}, {DEPENDENCIES}, {CLAMPED}, {PREDICATES}, {MATCH}, instants AS (SELECT DISTINCT t FROM rel), day AS (SELECT t FROM instants), dd AS (SELECT * FROM cdep),
+    {FEATURE_EDGES}, {EDGES}, {REACH}, numbered AS (SELECT t, row_number() OVER (ORDER BY t) AS i, coalesce(lead(t) OVER (ORDER BY t), TIMESTAMP '9999-12-31') AS u FROM instants),
+    runs AS (SELECT q, v, t, u, i - row_number() OVER (PARTITION BY q, v ORDER BY i) AS run FROM found JOIN numbered USING (t))
+    SELECT q AS query_id, v AS version_id, min(t) AS valid_from, max(u) AS valid_to FROM runs GROUP BY q, v, run"""

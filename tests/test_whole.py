@@ -3,11 +3,14 @@
 import sys
 
 import pyarrow.parquet as pq
+import pytest
 
 from support import ROOT, SF
 
 sys.path.insert(0, ROOT)
 import __spark_entry__ as entry  # noqa: E402
+from epochgraph.plans import queries as core  # noqa: E402
+from test_oracles import compare, duck  # noqa: E402, F401
 
 
 def rows(name, *columns):
@@ -42,3 +45,31 @@ def test_all_versions_are_matched(spark):
     got = [tuple(r) for r in entry.queries()["semver_matching_all"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert max(int(num.split(".")[2]) for _, num in got) >= 20
+
+
+def test_resolutions_at_all_times(spark):
+    """Intervals between any two dates, by what each requirement fits."""
+    offered, asked = {}, {}
+    for key, package, day, version, pre in versions():
+        if not pre:
+            offered.setdefault(package, []).append((day, version, key))
+    names = requirements()
+    for package, line, quantity in rows("lineitem", "l_suppkey", "l_linenumber", "l_quantity"):
+        op, a, b = min(line, 7), int(quantity) % 3, int(quantity) % 5
+        text = ["*", f"^{a}", f"^{a}.{b}", f"~{a}.{b}", f">={a}.{b}.0", f"<{a}.{b}.0", f"={a}.{b}"][op - 1]
+        asked[package, text] = names[text]
+    want = set()
+    for (package, text), req in asked.items():
+        steps = []
+        for day in sorted({d for d, v, _ in offered.get(package, []) if fits(req, v)}):
+            best = max((v, k) for d, v, k in offered[package] if d <= day and fits(req, v))[1]
+            if not steps or steps[-1][0] != best:
+                steps.append((best, day))
+        want |= {(package, text, best, day, after[1] if after else None) for (best, day), after in zip(steps, [*steps[1:], None], strict=False)}
+    got = [tuple(r) for r in entry.queries()["resolve_requirements_over_time"](spark, SF).collect()]
+    assert {(c, r, v, str(f)[:10], None if t.year == 9999 else str(t)[:10]) for c, r, v, f, t in got} == {(c, r, v, str(f)[:10], t and str(t)[:10]) for c, r, v, f, t in want}
+
+
+@pytest.mark.parametrize("name", sorted(core.WITHOUT_SQL))
+def test_intervals(spark, duck, tmp_path, name):  # noqa: F811
+    compare(duck, entry.queries()[name](spark, SF), core.TRANSITIVE_OVER_TIME_SQL, tmp_path)
