@@ -88,6 +88,12 @@ class Sample:
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
         self.shares = np.concatenate(shares) if shares else np.zeros(0, np.float32)
 
+    def add(self, rows: list[tuple[bytes, bytes]]) -> None:
+        """Further texts, behind the others."""
+        more = Sample(rows)
+        self.start = np.concatenate([self.start, self.start[-1] + more.start[1:]])
+        self.size, self.ids, self.shares = (np.concatenate([getattr(self, c), getattr(more, c)]) for c in ("size", "ids", "shares"))
+
     def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position among ``rows``, bucket and share of every entry of these rows."""
         size = self.size[rows]

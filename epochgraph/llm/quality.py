@@ -5,26 +5,29 @@ itself without its wording: source, language, length, and counts of its layout (
 digits, signs). Both start from labelled documents; in each round each view labels the unlabelled documents it is surest of for the other.
 On labelled documents that neither has seen both views are calibrated, and their calibrated log-odds are averaged.
 
-Training uses bounded hash samples of labelled and unlabelled documents; scoring reads every document whole.
+Training uses a bounded hash sample of labelled documents. In each round executors score all other documents, and only the features
+of the surest go to the driver. Scoring reads every document whole.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import ngrams
 from .common import blocks, text_buffers
 
-#: About so many labelled documents are learned from, and so many unlabelled ones exchanged.
-LABELLED, UNLABELLED = 3600, 1200
+#: About so many labelled documents are learned from; so many unlabelled ones of all are exchanged by a view in a round for each class.
+LABELLED, CHOSEN = 4000, 150
 ROUNDS, SHARE, SURE = 4, 0.1, 0.97
 #: Share of good documents that the threshold may cost at most, and the score from which a document always stays.
 LOSS, ENOUGH = 0.005, 0.5
@@ -114,12 +117,10 @@ def balance(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0.5, 0.5 / positive, 0.5 / (1 - positive))
 
 
-def fit_sparse(sample: ngrams.Sample, rows: np.ndarray, y: np.ndarray, start: tuple[np.ndarray, float] | None = None, rate: float = 4.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """A logistic model on bucket shares, by gradient steps that are scaled for each bucket; fewer from an earlier model."""
+def fit_sparse(sample: ngrams.Sample, rows: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 4.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+    """A logistic model on bucket shares, by gradient steps that are scaled for each bucket."""
     parts = [(k, sample.of(rows[k : k + PART])) for k in range(0, len(rows), PART)]  # so that no step needs much memory
-    steps = 40 if start else 120
-    w, b = (start[0].copy(), start[1]) if start else (np.zeros(ngrams.BUCKETS), 0.0)
-    seen = np.full(ngrams.BUCKETS, 1e-8)
+    w, b, seen = np.zeros(ngrams.BUCKETS), 0.0, np.full(ngrams.BUCKETS, 1e-8)
     weight = balance(y)
     for _ in range(steps):
         slope, shift = decay * w, 0.0
@@ -156,29 +157,36 @@ class Model:
         return sigmoid((a * content + b + c * page + d) / 2)
 
 
-def train(sample: ngrams.Sample, page: np.ndarray, labels: np.ndarray, seed: int = 5) -> Model:
-    """labels: 1 good, 0 bad, -1 unknown."""
+#: Of a round: the models so far to (view, value, id) of the documents that each view is surest of; and ids to their (ids, shares, page).
+Surest = Callable[[np.ndarray, float, Linear], list[tuple[int, int, object]]]
+Features = Callable[[list], dict[object, tuple[bytes, bytes, bytes]]]
+
+
+def train(sample: ngrams.Sample, page: np.ndarray, labels: np.ndarray, ids: list, surest: Surest, features: Features, seed: int = 5) -> Model:
+    """labels: 1 good, 0 bad; ids: of the sample's documents."""
     rng = np.random.default_rng(seed)
-    known = np.flatnonzero(labels >= 0)
+    known = np.arange(len(labels))
     rng.shuffle(known)
     held, used = known[: len(known) // 4], known[len(known) // 4 :]
-    pool = np.flatnonzero(labels < 0)
+    place = {x: i for i, x in enumerate(ids)}
     own = [dict(zip(used.tolist(), labels[used].tolist(), strict=True)) for _ in range(2)]
-    content_view = None
     for r in range(ROUNDS + 1):
         rows = [np.array(sorted(o)) for o in own]
         targets = [np.array([o[i] for i in x.tolist()], float) for o, x in zip(own, rows, strict=True)]
-        words, bias = content_view = fit_sparse(sample, rows[0], targets[0], content_view)
+        words, bias = fit_sparse(sample, rows[0], targets[0])
         linear = fit_dense(page[rows[1]], targets[1])
-        if r == ROUNDS or not len(pool):
+        if r == ROUNDS:
             break
-        logits = [sample.times(pool, words[:, None])[:, 0] + bias, linear.logit(page[pool])]
-        for mine, other in ((0, 1), (1, 0)):
-            sure = sigmoid(logits[mine])
-            for value, certainty in ((1, sure), (0, 1 - sure)):
-                best = np.argsort(-certainty, kind="stable")[: max(1, int(SHARE * len(pool) / 2))]
-                for i in pool[best[certainty[best] > SURE]].tolist():
-                    own[other].setdefault(i, value)
+        chosen = surest(words, bias, linear)
+        if not chosen:
+            break
+        found = features(sorted({x for _, _, x in chosen} - place.keys(), key=str))
+        if found:
+            place |= {x: len(page) + k for k, x in enumerate(found)}
+            sample.add([f[:2] for f in found.values()])
+            page = np.concatenate([page, [np.frombuffer(f[2]) for f in found.values()]])
+        for mine, value, x in chosen:
+            own[1 - mine].setdefault(place[x], value)
     content, layout_logit, y = sample.times(held, words[:, None])[:, 0] + bias, linear.logit(page[held]), labels[held].astype(float)
     calibration = ((1.0, 0.0), (1.0, 0.0)) if len(set(y.tolist())) < 2 else (platt(content, y), platt(layout_logit, y))
     model = Model(words, bias, linear, calibration, 0.0)
@@ -187,13 +195,12 @@ def train(sample: ngrams.Sample, page: np.ndarray, labels: np.ndarray, seed: int
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
-    """Learn from hash samples; of repeated labels the majority counts, ties and nulls teach nothing."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, most: int = CHOSEN) -> Model:
+    """Learn from a hash sample of the labels and from all documents besides; of repeated labels the majority counts, ties and nulls teach nothing."""
     rows = columns(docs, id_col, text_col).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     votes = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("label")).filter("label <> 0.5")
     votes = votes.filter(ngrams.share_hashed(votes, F.col("id"), labelled)).limit(2 * labelled).select("id", F.round("label").cast("int").alias("label"))
-    pool = ngrams.share_hashed(rows.select("id"), F.struct("id", F.lit("pool")), unlabelled)
-    chosen = rows.join(F.broadcast(votes), "id", "left").filter(F.col("label").isNotNull() | pool)
+    chosen = rows.join(F.broadcast(votes), "id")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +209,59 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             page = metadata(*(batch.column(c) for c in ("source", "lang", "n_chars", "text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary()), pa.array([p.tobytes() for p in page], pa.binary())], names=["id", "label", "ids", "shares", "page"])
 
-    got = chosen.mapInArrow(features, f"id {kind}, label int, ids binary, shares binary, page binary").dropDuplicates(["id"]).limit(2 * (labelled + unlabelled)).collect()
-    got = sorted(got, key=lambda r: (str(r["id"]), bytes(r["ids"])))
-    known = np.array([-1 if r["label"] is None else r["label"] for r in got], np.int64)
-    if not (known >= 0).any():
+    def collected(some: DataFrame) -> list:
+        found = some.mapInArrow(features, f"id {kind}, label int, ids binary, shares binary, page binary").dropDuplicates(["id"]).collect()
+        return sorted(found, key=lambda r: (str(r["id"]), bytes(r["ids"])))
+
+    got = collected(chosen)
+    if not got:
         return Model(np.zeros(ngrams.BUCKETS), 0.0, None, ((1.0, 0.0), (1.0, 0.0)), 0.0)
+    labels_of, ids = np.array([r["label"] for r in got], np.int64), [r["id"] for r in got]
     sample, page = ngrams.Sample([(r["ids"], r["shares"]) for r in got]), np.array([np.frombuffer(r["page"]) for r in got])
     del got  # the driver's memory is small
-    return train(sample, page, known)
+    taken = docs.sparkSession.sparkContext.broadcast(set(ids))
+
+    def further(some: list) -> dict:
+        wanted = rows.filter(F.col("id").isin(some)).withColumn("label", F.lit(None).cast("int")) if some else None
+        return {r["id"]: (bytes(r["ids"]), bytes(r["shares"]), bytes(r["page"])) for r in collected(wanted)} if some else {}
+
+    return train(sample, page, labels_of, ids, lambda *models: surest(rows, taken, most, kind, *models), further)
+
+
+def _first(found: list[tuple[float, object]], most: int) -> list[tuple[float, object]]:
+    """The ``most`` surest (certainty, id), each id once."""
+    best = {}
+    for certainty, x in sorted(found, key=lambda f: (-f[0], str(f[1]))):
+        best.setdefault(x, certainty)
+        if len(best) == most:
+            break
+    return [(c, x) for x, c in best.items()]
+
+
+def surest(rows: DataFrame, taken: Broadcast, most: int, kind: str, words: np.ndarray, bias: float, linear: Linear) -> list[tuple[int, int, object]]:
+    """(view, value, id) of the documents, of all that aren't ``taken``, of which each view is surest: SHARE of them, at most ``most`` for each class."""
+    least = float(np.log(SURE / (1 - SURE)))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, n = {(view, value): [] for view in (0, 1) for value in (1, 0)}, 0
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            free = np.array([x not in taken.value for x in ids], bool)
+            n += int(free.sum())
+            page = metadata(*(batch.column(c) for c in ("source", "lang", "n_chars", "text")))
+            for view, logit in enumerate((ngrams.scores(batch.column("text"), ngrams.SIGNS, words[:, None])[:, 0] + bias, linear.logit(page))):
+                for value in (1, 0):
+                    sure = logit if value else -logit
+                    new = [(float(sure[i]), ids[i]) for i in np.flatnonzero((sure > least) & free)]
+                    lists[view, value] = _first(lists[view, value] + new, most)
+        found = [(view, value, c, x) for (view, value), some in lists.items() for c, x in some]
+        types = batches_schema.types
+        yield pa.RecordBatch.from_arrays([pa.array([*c], t) for c, t in zip(zip(*found, (-1, 0, float(n), None), strict=True), types, strict=True)], schema=batches_schema)
+
+    batches_schema = pa.schema([("view", pa.int32()), ("value", pa.int32()), ("sure", pa.float64()), ("id", to_arrow_type(rows.schema["id"].dataType))])
+    found = rows.mapInArrow(judged, f"view int, value int, sure double, id {kind}").collect()
+    most = min(most, max(1, int(SHARE * sum(r["sure"] for r in found if r["view"] < 0) / 2)))
+    return [(view, value, x) for view in (0, 1) for value in (1, 0) for _, x in _first([(r["sure"], r["id"]) for r in found if (r["view"], r["value"]) == (view, value)], most)]
 
 
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
