@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import ngrams
 
-#: At most so many texts are learned from.
+#: About so many labelled texts are learned from.
 SAMPLE = 2500
 DIMENSIONS, EPOCHS, BATCH, RATE = 12, 12, 32, 20.0
 #: Share of correctly labelled texts that rejection may cost at most.
@@ -88,7 +88,7 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from at most about ``sample`` distinct labelled texts outside the held-out third; rows with nulls teach nothing."""
+    """Learn from about ``sample`` distinct labelled texts outside the held-out third; rows with nulls teach nothing."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, text_col, lang_col)
     chosen = rows.filter(ngrams.share_hashed(rows.select(id_col), F.col(id_col), sample))
 
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["id", "lang", "ids", "shares"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = chosen.mapInArrow(features, f"id {kind}, lang string, ids binary, shares binary").dropDuplicates(["id"]).limit(2 * sample).collect()
+    got = chosen.mapInArrow(features, f"id {kind}, lang string, ids binary, shares binary").dropDuplicates(["id"]).collect()
     got = sorted((r for r in got if len(r["ids"])), key=lambda r: (str(r["id"]), r["lang"], bytes(r["ids"])))
     languages = sorted({r["lang"] for r in got})
     if not languages:

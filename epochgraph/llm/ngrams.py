@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_buffers
+from .common import BLOCK_BYTES, blocks, text_buffers
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
+#: Bytes of text that one step scores, so that its arrays stay in the CPU's cache.
+SCORE_BYTES = 1 << 16
 _SALT = np.random.default_rng(7).integers(0, 1 << 31, (4, 256), np.int32)
 
 #: Letters alone, A to Z lowered; all else is white space. Bytes of other scripts count as letters.
@@ -27,35 +30,44 @@ SIGNS[48:58] = 48
 
 
 def buckets(data: np.ndarray, stops: np.ndarray) -> Iterator[np.ndarray]:
-    """For each order the bucket of the n-gram at each byte; BUCKETS where it leaves its text or has white space inside."""
-    space = data == 32
+    """For each order the bucket of the n-gram at each byte; BUCKETS or more where it leaves its text or has white space inside."""
+    space = (data == 32).astype(np.int32) * BUCKETS
     hashed = _SALT[0][data]
     for n in range(2, max(ORDERS) + 1):
         hashed = hashed[: len(data) - n + 1] ^ _SALT[n - 1][data[n - 1 :]]
         if n not in ORDERS:
             continue
+        inside = [space[k : k + len(hashed)] for k in range(1, n - 1)]
         out = np.full(len(data), BUCKETS, np.int32)
-        out[: len(hashed)] = (hashed ^ n * 0x9E3779B) & (BUCKETS - 1)
-        for k in range(1, n - 1):
-            out[: len(data) - k][space[k:]] = BUCKETS
-        if n == 2:
-            out[: len(data) - 1][space[1:] & space[:-1]] = BUCKETS
+        own = out[: len(hashed)]
+        np.bitwise_and(hashed ^ n * 0x9E3779B, BUCKETS - 1, out=own)
+        own |= reduce(np.bitwise_or, inside) if inside else space[: len(hashed)] & space[1 : 1 + len(hashed)]
         for k in range(1, n):
             last = stops - k
             out[last[last >= 0]] = BUCKETS
         yield out
 
 
+def _steps(column: pa.Array, table: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Blocks of (rows, where their parts begin, the bounds of the parts, the buckets for each order).
+
+    A long row's parts are cut before white space; the byte behind a cut still belongs to the n-grams that begin before it.
+    """
+    data, offsets = text_buffers(column)
+    for begin, end, rows, starts in blocks(data, offsets, size):
+        if end > begin:
+            more = min(end + 1, int(offsets[rows[-1] + 1])) - end
+            found = buckets(table[data[begin : end + more]], np.append(starts[1:], end + more) - begin)
+            yield rows, starts - begin, np.append(starts[1:], end) - begin, [x[: end - begin] for x in found]
+
+
 def counts(column: pa.Array, table: np.ndarray) -> list[tuple[bytes, bytes]]:
     """(bucket ids as uint16, shares as float32) of each text: the shares of its n-grams that fall into each bucket."""
-    data, offsets = text_buffers(column)
     sums: dict[int, np.ndarray] = {}
     out = []
-    for begin, end, rows, starts in blocks(data, offsets):
-        stops = np.append(starts[1:], end) - begin
-        found = list(buckets(table[data[begin:end]], stops))
-        for r, a, b in zip(rows.tolist(), (starts - begin).tolist(), stops.tolist(), strict=True):
-            sums[r] = sums.get(r, 0) + sum(np.bincount(x[a:b], minlength=BUCKETS + 1)[:BUCKETS] for x in found)
+    for rows, starts, stops, found in _steps(column, table, BLOCK_BYTES):
+        for r, a, b in zip(rows.tolist(), starts.tolist(), stops.tolist(), strict=True):
+            sums[r] = sums.get(r, 0) + np.bincount(np.concatenate([x[a:b] for x in found]), minlength=BUCKETS)[:BUCKETS]
     for r in range(len(column)):
         seen = sums.get(r, np.zeros(BUCKETS))
         ids = np.flatnonzero(seen)
@@ -65,17 +77,16 @@ def counts(column: pa.Array, table: np.ndarray) -> list[tuple[bytes, bytes]]:
 
 def scores(column: pa.Array, table: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Mean weight row (BUCKETS x classes) over all n-grams of each text; zeros where there are none."""
-    data, offsets = text_buffers(column)
-    weights = np.concatenate([weights, np.zeros((1, weights.shape[1]))]).astype(np.float32)
-    weights = np.concatenate([weights, (np.arange(len(weights)) < BUCKETS)[:, None]], 1).astype(np.float32)
-    out = np.zeros((len(column), weights.shape[1]))
-    for begin, end, rows, starts in blocks(data, offsets, 1 << 18):
-        if end == begin:
-            continue
-        full = np.append(starts[1:], end) > starts
-        total = sum(weights[x] for x in buckets(table[data[begin:end]], np.append(starts[1:], end) - begin))
-        out[rows[full]] += np.add.reduceat(total, (starts - begin)[full], axis=0, dtype=np.float64)
-    return out[:, :-1] / np.maximum(out[:, -1:], 1)
+    classes = np.zeros((weights.shape[1], 2 * BUCKETS), np.float32)  # what isn't counted weighs nothing
+    classes[:, :BUCKETS] = weights.T
+    out, n = np.zeros((len(column), len(classes))), np.zeros(len(column))
+    for rows, starts, stops, found in _steps(column, table, SCORE_BYTES):
+        full = stops > starts
+        rows, starts = rows[full], starts[full]
+        for k, of in enumerate(classes):
+            out[rows, k] += np.add.reduceat(reduce(np.add, (of.take(x) for x in found)), starts, dtype=np.float64)
+        n[rows] += np.add.reduceat(reduce(np.add, ((x < BUCKETS).view(np.uint8) for x in found)), starts, dtype=np.int64)
+    return out / np.maximum(n, 1)[:, None]
 
 
 class Sample:
@@ -94,6 +105,16 @@ class Sample:
         self.start = np.concatenate([self.start, self.start[-1] + more.start[1:]])
         self.size, self.ids, self.shares = (np.concatenate([getattr(self, c), getattr(more, c)]) for c in ("size", "ids", "shares"))
 
+    def squares(self) -> np.ndarray:
+        """The sum of squared shares of each bucket."""
+        return np.bincount(self.ids, self.shares * self.shares, BUCKETS)
+
+    def parts(self, first: int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of ``size`` rows from ``first`` on: (row, row after the last, buckets, shares), without copies."""
+        for a in range(first, len(self.size), size):
+            b = min(a + size, len(self.size))
+            yield a, b, self.ids[self.start[a] : self.start[b]], self.shares[self.start[a] : self.start[b]]
+
     def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position among ``rows``, bucket and share of every entry of these rows."""
         size = self.size[rows]

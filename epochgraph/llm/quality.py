@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import ngrams
-from .common import blocks, text_buffers
+from .common import blocks, checkpointed, text_buffers
 
 #: About so many labelled documents are learned from; so many unlabelled ones of all are exchanged by a view in a round for each class.
 LABELLED, CHOSEN = 4000, 150
 ROUNDS, SHARE, SURE = 4, 0.1, 0.97
 #: Share of good documents that the threshold may cost at most, and the score from which a document always stays.
 LOSS, ENOUGH = 0.005, 0.5
-SOURCES, LANGUAGES = 64, 16
+SOURCES, LANGUAGES, NUMBERS = 64, 16, 14
 #: Documents that one step of training looks at together.
 PART = 256
 
@@ -70,7 +70,7 @@ def layout(column: pa.Array) -> np.ndarray:
 def metadata(source: pa.Array, lang: pa.Array, n_chars: pa.Array, text: pa.Array) -> np.ndarray:
     """The metadata view's features; nulls are a value of their own."""
     n = len(text)
-    out = np.zeros((n, SOURCES + LANGUAGES + 14))
+    out = np.zeros((n, SOURCES + LANGUAGES + NUMBERS))
     for column, first, room in ((source, 0, SOURCES), (lang, SOURCES, LANGUAGES)):
         names = column.to_pylist()
         place = {x: first + zlib.crc32(repr(x).encode()) % room for x in set(names)}
@@ -117,22 +117,61 @@ def balance(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0.5, 0.5 / positive, 0.5 / (1 - positive))
 
 
-def fit_sparse(sample: ngrams.Sample, rows: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 4.0, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """A logistic model on bucket shares, by gradient steps that are scaled for each bucket."""
-    parts = [(k, sample.of(rows[k : k + PART])) for k in range(0, len(rows), PART)]  # so that no step needs much memory
-    w, b, seen = np.zeros(ngrams.BUCKETS), 0.0, np.full(ngrams.BUCKETS, 1e-8)
-    weight = balance(y)
+def descended(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """Where limited-memory quasi-Newton steps (Nocedal 1980) from ``x`` lead; ``loss`` gives value and gradient."""
+    value, slope = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        slope, shift = decay * w, 0.0
-        for k, (row, bucket, share) in parts:
-            own = slice(k, k + PART)
-            error = (sigmoid(np.bincount(row, share * w[bucket], len(y[own])) + b) - y[own]) * weight[own] / len(y)
-            slope += np.bincount(bucket, share * error[row], ngrams.BUCKETS)
+        way, shares = slope.copy(), []
+        for moved, bent in reversed(past):
+            shares.append((moved @ way) / (moved @ bent))
+            way -= shares[-1] * bent
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.sqrt(slope @ slope))
+        for (moved, bent), share in zip(past, reversed(shares), strict=True):
+            way += (share - (bent @ way) / (moved @ bent)) * moved
+        step = 1.0
+        while True:
+            following = x - step * way
+            value_there, slope_there = loss(following)
+            if value_there <= value - 1e-4 * step * (slope @ way) or step < 1e-4:
+                break
+            step /= 2
+        moved, bent = following - x, slope_there - slope
+        if moved @ bent > 1e-12:
+            past = [*past[1 - memory :], (moved, bent)]
+        done = value - value_there < 1e-6 * abs(value)
+        x, value, slope = following, value_there, slope_there
+        if done:
+            break
+    return x
+
+
+def fit_sparse(sample: ngrams.Sample, first: int, y: np.ndarray, weight: np.ndarray, begin: tuple[np.ndarray, float] | None = None, steps: int = 60, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """A logistic model on bucket shares, each scaled by its root mean square, from ``begin`` on.
+
+    ``y`` and ``weight`` are of the sample's rows from ``first`` on. Steps run over views of the sample, PART rows at a time.
+    """
+    scale = 1 / np.sqrt(sample.squares() / max(1, len(sample.size)) + 1e-10)
+    weight = weight / max(1, np.count_nonzero(weight))
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        narrow = (x[:-1] * scale).astype(np.float32)
+        value, slope, shift = decay / 2 * float(x[:-1] @ x[:-1]), np.zeros(ngrams.BUCKETS), 0.0
+        for i, j, ids, shares in sample.parts(first, PART):
+            size = sample.size[i:j]
+            full = size > 0
+            logit = np.full(j - i, x[-1])
+            if full.any():
+                logit[full] += np.add.reduceat(shares * narrow[ids], (sample.start[i:j] - sample.start[i])[full])
+            own, of = y[i - first : j - first], weight[i - first : j - first]
+            value += float((of * (np.logaddexp(0, logit) - own * logit)).sum())
+            error = (sigmoid(logit) - own) * of
+            slope += np.bincount(ids, shares * np.repeat(error.astype(np.float32), size), ngrams.BUCKETS)
             shift += error.sum()
-        seen += slope**2
-        w -= rate * slope / np.sqrt(seen)
-        b -= shift
-    return w, b
+        return value, np.append(slope * scale + decay * x[:-1], shift)
+
+    x = descended(loss, np.zeros(ngrams.BUCKETS + 1) if begin is None else np.append(begin[0] / scale, begin[1]), steps)
+    return x[:-1] * scale, float(x[-1])
 
 
 def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -143,12 +182,16 @@ def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(model.bias - model.mean[0] * slope + np.log(prior / (1 - prior)))
 
 
+#: Slope and shift of each view's log-odds.
+Calibration = tuple[tuple[float, float], tuple[float, float]]
+
+
 @dataclass
 class Model:
     words: np.ndarray
     words_bias: float
     page: Linear | None
-    calibration: tuple[tuple[float, float], tuple[float, float]]
+    calibration: Calibration
     least: float
 
     def combined(self, content: np.ndarray, page: np.ndarray) -> np.ndarray:
@@ -158,26 +201,33 @@ class Model:
 
 
 #: Of a round: the models so far to (view, value, id) of the documents that each view is surest of; and ids to their (ids, shares, page).
-Surest = Callable[[np.ndarray, float, Linear], list[tuple[int, int, object]]]
+Surest = Callable[[np.ndarray, float, Linear, Calibration], list[tuple[int, int, object]]]
 Features = Callable[[list], dict[object, tuple[bytes, bytes, bytes]]]
 
 
-def train(sample: ngrams.Sample, page: np.ndarray, labels: np.ndarray, ids: list, surest: Surest, features: Features, seed: int = 5) -> Model:
-    """labels: 1 good, 0 bad; ids: of the sample's documents."""
-    rng = np.random.default_rng(seed)
-    known = np.arange(len(labels))
-    rng.shuffle(known)
-    held, used = known[: len(known) // 4], known[len(known) // 4 :]
-    place = {x: i for i, x in enumerate(ids)}
-    own = [dict(zip(used.tolist(), labels[used].tolist(), strict=True)) for _ in range(2)]
+def train(rows: list[tuple[object, int, bytes, bytes, bytes]], surest: Surest, features: Features, seed: int = 5) -> Model:
+    """rows: (id, label, bucket ids, shares, page) of the labelled documents; labels are 1 good, 0 bad. A quarter is held for calibration."""
+    order = np.random.default_rng(seed).permutation(len(rows)).tolist()
+    held = len(rows) // 4
+    rows = [rows[i] for i in order]  # those held come first, so that what is learned from is one run
+    place = {r[0]: i for i, r in enumerate(rows)}
+    labels = np.array([r[1] for r in rows], float)
+    sample, page = ngrams.Sample([r[2:4] for r in rows]), np.array([np.frombuffer(r[4]) for r in rows])
+    rows.clear()  # the driver's memory is small
+    own = [dict(enumerate(labels.tolist()[held:], held)) for _ in range(2)]
+    content = None
     for r in range(ROUNDS + 1):
-        rows = [np.array(sorted(o)) for o in own]
-        targets = [np.array([o[i] for i in x.tolist()], float) for o, x in zip(own, rows, strict=True)]
-        words, bias = fit_sparse(sample, rows[0], targets[0])
-        linear = fit_dense(page[rows[1]], targets[1])
+        known = [np.array(sorted(o)) for o in own]
+        y = [np.array([o[i] for i in x.tolist()], float) for o, x in zip(own, known, strict=True)]
+        all_y, weight = np.zeros((2, len(page) - held))
+        all_y[known[0] - held], weight[known[0] - held] = y[0], balance(y[0])
+        content = fit_sparse(sample, held, all_y, weight, content)
+        linear = fit_dense(page[known[1]], y[1])
+        logits = [sample.times(np.arange(held), content[0][:, None])[:, 0] + content[1], linear.logit(page[:held])]
+        calibration = ((1.0, 0.0), (1.0, 0.0)) if len(set(labels[:held].tolist())) < 2 else tuple(platt(x, labels[:held]) for x in logits)
         if r == ROUNDS:
             break
-        chosen = surest(words, bias, linear)
+        chosen = surest(*content, linear, calibration)
         if not chosen:
             break
         found = features(sorted({x for _, _, x in chosen} - place.keys(), key=str))
@@ -185,22 +235,27 @@ def train(sample: ngrams.Sample, page: np.ndarray, labels: np.ndarray, ids: list
             place |= {x: len(page) + k for k, x in enumerate(found)}
             sample.add([f[:2] for f in found.values()])
             page = np.concatenate([page, [np.frombuffer(f[2]) for f in found.values()]])
-        for mine, value, x in chosen:
-            own[1 - mine].setdefault(place[x], value)
-    content, layout_logit, y = sample.times(held, words[:, None])[:, 0] + bias, linear.logit(page[held]), labels[held].astype(float)
-    calibration = ((1.0, 0.0), (1.0, 0.0)) if len(set(y.tolist())) < 2 else (platt(content, y), platt(layout_logit, y))
-    model = Model(words, bias, linear, calibration, 0.0)
-    good = model.combined(content, layout_logit)[y > 0.5]
+        at = np.array([place[x] for _, _, x in chosen])
+        views = [sample.times(at, content[0][:, None])[:, 0] + content[1], linear.logit(page[at])]
+        for k, (mine, value, x) in enumerate(chosen):
+            slope, shift = calibration[1 - mine]
+            if (slope * views[1 - mine][k] + shift > 0) == bool(value):  # else the two contradict each other, and neither is believed
+                own[1 - mine].setdefault(place[x], float(value))
+    model = Model(*content, linear, calibration, 0.0)
+    good = model.combined(*logits)[labels[:held] > 0.5]
     model.least = float(min(ENOUGH, np.quantile(good, LOSS))) if len(good) else 0.0
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, most: int = CHOSEN) -> Model:
-    """Learn from a hash sample of the labels and from all documents besides; of repeated labels the majority counts, ties and nulls teach nothing."""
+    """Learn from a hash sample of the labels and from all documents besides; of repeated labels the majority counts, ties and nulls teach nothing.
+
+    The metadata view's features of all documents are made once and checkpointed (some 200 bytes a document); texts are read again in each round.
+    """
     rows = columns(docs, id_col, text_col).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     votes = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("label")).filter("label <> 0.5")
-    votes = votes.filter(ngrams.share_hashed(votes, F.col("id"), labelled)).limit(2 * labelled).select("id", F.round("label").cast("int").alias("label"))
-    chosen = rows.join(F.broadcast(votes), "id")
+    votes = votes.filter(ngrams.share_hashed(votes, F.col("id"), labelled)).select("id", F.round("label").cast("int").alias("label"))
+    chosen = rows.join(F.broadcast(votes), "id")  # about ``labelled`` rows
     kind = docs.schema[id_col].dataType.simpleString()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,21 +266,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def collected(some: DataFrame) -> list:
         found = some.mapInArrow(features, f"id {kind}, label int, ids binary, shares binary, page binary").dropDuplicates(["id"]).collect()
-        return sorted(found, key=lambda r: (str(r["id"]), bytes(r["ids"])))
+        return sorted((tuple(r) for r in found), key=lambda r: (str(r[0]), r[2]))
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page = metadata(*(batch.column(c) for c in ("source", "lang", "n_chars", "text")))
+            hot = page[:, : SOURCES + LANGUAGES]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.flatnonzero(h).astype(np.uint8).tobytes() for h in hot], pa.binary()), pa.array([p.tobytes() for p in page[:, SOURCES + LANGUAGES :]], pa.binary())], names=["id", "names", "numbers"])
 
     got = collected(chosen)
     if not got:
         return Model(np.zeros(ngrams.BUCKETS), 0.0, None, ((1.0, 0.0), (1.0, 0.0)), 0.0)
-    labels_of, ids = np.array([r["label"] for r in got], np.int64), [r["id"] for r in got]
-    sample, page = ngrams.Sample([(r["ids"], r["shares"]) for r in got]), np.array([np.frombuffer(r["page"]) for r in got])
-    del got  # the driver's memory is small
-    taken = docs.sparkSession.sparkContext.broadcast(set(ids))
+    taken = docs.sparkSession.sparkContext.broadcast({r[0] for r in got})
+    shapes = checkpointed(rows.mapInArrow(pages, f"id {kind}, names binary, numbers binary"))
 
     def further(some: list) -> dict:
         wanted = rows.filter(F.col("id").isin(some)).withColumn("label", F.lit(None).cast("int")) if some else None
-        return {r["id"]: (bytes(r["ids"]), bytes(r["shares"]), bytes(r["page"])) for r in collected(wanted)} if some else {}
+        return {r[0]: r[2:] for r in collected(wanted)} if some else {}
 
-    return train(sample, page, labels_of, ids, lambda *models: surest(rows, taken, most, kind, *models), further)
+    return train(got, lambda *models: surest(rows.select("id", "text"), shapes, taken, most, *models), further)
 
 
 def _first(found: list[tuple[float, object]], most: int) -> list[tuple[float, object]]:
@@ -238,30 +297,48 @@ def _first(found: list[tuple[float, object]], most: int) -> list[tuple[float, ob
     return [(c, x) for x, c in best.items()]
 
 
-def surest(rows: DataFrame, taken: Broadcast, most: int, kind: str, words: np.ndarray, bias: float, linear: Linear) -> list[tuple[int, int, object]]:
-    """(view, value, id) of the documents, of all that aren't ``taken``, of which each view is surest: SHARE of them, at most ``most`` for each class."""
-    least = float(np.log(SURE / (1 - SURE)))
+def surest(texts: DataFrame, shapes: DataFrame, taken: Broadcast, most: int, words: np.ndarray, bias: float, linear: Linear, calibration: Calibration) -> list[tuple[int, int, object]]:
+    """(view, value, id) of the documents, of all that aren't ``taken``, of which each view is surest: SHARE of them, at most ``most`` for each class.
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists, n = {(view, value): [] for view in (0, 1) for value in (1, 0)}, 0
-        for batch in batches:
-            ids = batch.column("id").to_pylist()
-            free = np.array([x not in taken.value for x in ids], bool)
-            n += int(free.sum())
-            page = metadata(*(batch.column(c) for c in ("source", "lang", "n_chars", "text")))
-            for view, logit in enumerate((ngrams.scores(batch.column("text"), ngrams.SIGNS, words[:, None])[:, 0] + bias, linear.logit(page))):
+    The content view judges ``texts`` (id, text), the metadata view ``shapes`` (id, names, numbers). A task gives only its own surest.
+    """
+    least = float(np.log(SURE / (1 - SURE)))
+    kind = texts.schema["id"].dataType
+    schema = pa.schema([("value", pa.int32()), ("sure", pa.float64()), ("id", to_arrow_type(kind))])
+
+    def content(batch: pa.RecordBatch) -> np.ndarray:
+        return ngrams.scores(batch.column("text"), ngrams.SIGNS, words[:, None])[:, 0] + bias
+
+    def metadata_view(batch: pa.RecordBatch) -> np.ndarray:
+        page = np.zeros((len(batch), SOURCES + LANGUAGES + NUMBERS))
+        for i, (hot, numbers) in enumerate(zip(batch.column("names").to_pylist(), batch.column("numbers").to_pylist(), strict=True)):
+            page[i, np.frombuffer(hot, np.uint8)] = 1
+            page[i, -NUMBERS:] = np.frombuffer(numbers)
+        return linear.logit(page)
+
+    def judged(view: Callable[[pa.RecordBatch], np.ndarray], slope: float, shift: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lists, n = {1: [], 0: []}, 0
+            for batch in batches:
+                ids = batch.column("id").to_pylist()
+                free = np.array([x not in taken.value for x in ids], bool)
+                n += int(free.sum())
+                logit = slope * view(batch) + shift
                 for value in (1, 0):
                     sure = logit if value else -logit
                     new = [(float(sure[i]), ids[i]) for i in np.flatnonzero((sure > least) & free)]
-                    lists[view, value] = _first(lists[view, value] + new, most)
-        found = [(view, value, c, x) for (view, value), some in lists.items() for c, x in some]
-        types = batches_schema.types
-        yield pa.RecordBatch.from_arrays([pa.array([*c], t) for c, t in zip(zip(*found, (-1, 0, float(n), None), strict=True), types, strict=True)], schema=batches_schema)
-
-    batches_schema = pa.schema([("view", pa.int32()), ("value", pa.int32()), ("sure", pa.float64()), ("id", to_arrow_type(rows.schema["id"].dataType))])
-    found = rows.mapInArrow(judged, f"view int, value int, sure double, id {kind}").collect()
-    most = min(most, max(1, int(SHARE * sum(r["sure"] for r in found if r["view"] < 0) / 2)))
-    return [(view, value, x) for view in (0, 1) for value in (1, 0) for _, x in _first([(r["sure"], r["id"]) for r in found if (r["view"], r["value"]) == (view, value)], most)]
+                    lists[value] = _first(lists[value] + new, most)
+            found = [(value, c, x) for value, some in lists.items() for c, x in some]
+            yield pa.RecordBatch.from_arrays([pa.array([*c], t) for c, t in zip(zip(*found, (-1, float(n), None), strict=True), schema.types, strict=True)], schema=schema)
+
+        return run
+
+    out = []
+    for view, (rows, logit) in enumerate(((texts, content), (shapes, metadata_view))):
+        found = rows.mapInArrow(judged(logit, *calibration[view]), f"value int, sure double, id {kind.simpleString()}").collect()  # at most 2 ``most`` + 1 rows a task
+        n = min(most, max(1, int(SHARE * sum(r["sure"] for r in found if r["value"] < 0) / 2)))
+        out += [(view, value, x) for value in (1, 0) for _, x in _first([(r["sure"], r["id"]) for r in found if r["value"] == value], n)]
+    return out
 
 
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -17,6 +17,64 @@ def test_rare_documents_are_found(spark):
     words[np.frombuffer(sample[0], np.uint16)] = 100
     page = quality.Linear(np.zeros(94), np.ones(94), np.zeros(94), 0.0)
     taken = spark.sparkContext.broadcast({37})
-    found = quality.surest(rows, taken, 150, "bigint", words, -50.0, page)
+    shapes = rows.select("id", F.lit(b"").alias("names"), F.lit(np.zeros(quality.NUMBERS).tobytes()).alias("numbers"))
+    found = quality.surest(rows.select("id", "text"), shapes, taken, 150, words, -50.0, page, ((1.0, 0.0), (1.0, 0.0)))
     assert {x for view, value, x in found if (view, value) == (0, 1)} == rare - {37}
     assert len([x for view, value, x in found if (view, value) == (0, 0)]) == 150
+
+
+def dense(texts, table):
+    """Shares of each text's 2- to 4-grams in their buckets, n-gram by n-gram."""
+    out = np.zeros((len(texts), ngrams.BUCKETS))
+    for row, text in zip(out, texts, strict=True):
+        data = table[np.frombuffer((text or "").encode(), np.uint8)].tolist()
+        for i in range(len(data)):
+            for n in ngrams.ORDERS:
+                gram = data[i : i + n]
+                if len(gram) < n or 32 in gram[1:-1] or gram == [32, 32]:
+                    continue
+                hashed = n * 0x9E3779B
+                for k, byte in enumerate(gram):
+                    hashed ^= int(ngrams._SALT[k][byte])
+                row[hashed % ngrams.BUCKETS] += 1
+        row /= max(1, row.sum())
+    return out
+
+
+def test_ngrams():
+    """Counts and scores, for op5 and op7 alike, against a plain loop; one text is so long that it is cut."""
+    rng = np.random.default_rng(4)
+    texts = ["", None, "a", " ", "Two  words, 12 signs\n\tand more", "日本 été", "x" * 50, " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(60_000))]
+    weights = rng.normal(size=(ngrams.BUCKETS, 3))
+    for table in (ngrams.LETTERS, ngrams.SIGNS):
+        want = dense(texts, table)
+        for found, row in zip(ngrams.counts(pa.array(texts), table), want, strict=True):
+            got = np.zeros(ngrams.BUCKETS)
+            got[np.frombuffer(found[0], np.uint16)] = np.frombuffer(found[1], np.float32)
+            assert np.allclose(got, row, atol=1e-7)
+        assert np.allclose(ngrams.scores(pa.array(texts), table, weights), want @ weights, atol=1e-5)
+
+
+def test_model_is_the_dense_one():
+    """The sparse fit's gradient vanishes for the dense features of the same rows."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcde "), 40)) + ("zq" if i % 3 else "") for i in range(60)]
+    y, weight = np.array([i % 3 > 0 for i in range(60)], float), np.ones(60)
+    x = dense(texts, ngrams.SIGNS)
+    w, b = quality.fit_sparse(ngrams.Sample(ngrams.counts(pa.array(texts), ngrams.SIGNS)), 0, y, weight, steps=400, decay=1e-2)
+    error = (quality.sigmoid(x @ w + b) - y) / 60
+    scale = 1 / np.sqrt((x**2).mean(0) + 1e-10)
+    assert np.abs((x.T @ error) * scale + 1e-2 * w / scale).max() < 3e-3 and abs(error.sum()) < 1e-3
+    assert ((x @ w + b > 0) == (y > 0)).mean() > 0.9
+
+
+def test_scores_are_the_dense_ones(spark):
+    """The scores of all documents from plain n-gram loops and the fitted model."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    table = docs.toPandas()
+    content = dense(table["text"], ngrams.SIGNS) @ model.words + model.words_bias
+    page = model.page.logit(quality.metadata(*(pa.Array.from_pandas(table[c]) for c in ("source", "lang", "n_chars", "text"))))
+    want = dict(zip(table["doc_id"], model.combined(content, page), strict=True))
+    got = docs.select("doc_id", quality.score(docs, model).alias("s")).select("doc_id", "s.score", "s.rejected").collect()
+    assert all(abs(want[r["doc_id"]] - r["score"]) < 1e-5 and r["rejected"] == (r["score"] < model.least) for r in got)
