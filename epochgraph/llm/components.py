@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Rows up to which what goes is broadcast to the documents (some 40 bytes a row); beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), longs; root is the smallest node of the component.
@@ -34,3 +37,27 @@ def _state(edges: DataFrame) -> tuple:
     """Edges are sets, so equal counts and equal sums of two hashes mean that a round changed nothing."""
     hashed = (F.sum(F.shiftright(F.xxhash64(*cols), 20)) for cols in (("u", "v"), ("v", "u", F.lit(1))))
     return tuple(edges.agg(F.count("*"), *hashed).first())
+
+
+def first_of_groups(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that come first in their group, by id and then by the text's hash.
+
+    ``named`` (id, text_hash, group) has a row for each row of ``docs`` that has an id; text_hash is ``xxhash64`` of the text. Of rows
+    with one id and text one stays, the one whose row hashes to the least. Rows without an id all stay. What goes is told
+    by id and hash alone, so while it can be broadcast no text is shuffled but those of repeated rows.
+    """
+    first = named.groupBy("group").agg(F.min(F.struct(id_col, "text_hash")).alias("first"))
+    keep = first.select(F.col(f"first.{id_col}").alias("_id"), F.col("first.text_hash").alias("_hash"), F.lit(True).alias("_kept"))
+    rows = named.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n"))
+    moved = checkpointed(rows.join(keep, ["_id", "_hash"], "left").filter("_kept IS NULL OR _n > 1"))
+    if moved.count() <= BROADCAST_ROWS:
+        moved = F.broadcast(moved)
+    own, text = docs[id_col], F.xxhash64(docs[text_col])
+    rest = docs.join(moved, (own == moved["_id"]) & (text == moved["_hash"]), "left_anti")
+    again = moved.filter("_kept")
+    again = docs.join(again, (own == again["_id"]) & (text == again["_hash"]), "left_semi")
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    place = F.row_number().over(Window.partitionBy(own, text).orderBy(F.xxhash64(*hashable)))
+    name = "_place" + "_" * max(map(len, docs.columns))  # no column's name
+    once = again.withColumn(name, place).filter(F.col(name) == 1).drop(name)
+    return rest.unionByName(once)

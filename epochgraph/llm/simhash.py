@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, checkpointed, text_buffers
-from .components import components
+from .components import components, first_of_groups
 
 RADIUS = 2
 #: Fingerprints of one key beyond which it is routed again.
@@ -221,17 +221,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The documents, less all but one of each group: the one with the smallest id, and of equal ids with the smallest text hash.
 
-    Of rows repeated as a whole one stays. Rows without an id can't stand for a group and all stay.
+    Of rows with one id and text one stays. Rows without an id can't stand for a group and all stay.
     """
     found = groups(docs, id_col, text_col, width).filter(F.col(id_col).isNotNull())
-    first = found.groupBy("group_fp").agg(F.min(F.struct(id_col, "text_hash")).alias("first"))
-    keep = first.select(F.col(f"first.{id_col}").alias(id_col), F.col("first.text_hash").alias(_HASH)).distinct()
-    named = docs.withColumn(_HASH, F.xxhash64(text_col)).join(keep, [id_col, _HASH], "left_semi").dropDuplicates([id_col, _HASH])
-    return named.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.filter(F.col(id_col).isNull()))
-
-
-#: A column name that no table should have.
-_HASH = "__text_hash__"
+    return first_of_groups(docs, found.select(id_col, "text_hash", F.col("group_fp").alias("group")), id_col, text_col)
 
 
 def hex_digits(fp):

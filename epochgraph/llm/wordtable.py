@@ -1,7 +1,8 @@
 """A memo from words to dense indices whose look-ups are vectorised over a block of text.
 
 Python dictionaries cost several hundred nanoseconds a word once they outgrow the CPU cache. Here every word of a block is
-hashed at once from prefix sums, and probes an open-addressing table in numpy. Two independent 64-bit hashes identify a word.
+hashed at once from prefix sums, and probes an open-addressing table in numpy. Two 64-bit hashes from independent random byte codes
+identify a word.
 """
 
 from __future__ import annotations
@@ -38,19 +39,20 @@ class WordTable:
         self.first = np.zeros(1 << 15, np.uint64)
         self.second = np.zeros(1 << 15, np.uint64)
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes for each word data[start:end]; words are in order and don't overlap."""
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: int = 2) -> list[np.ndarray]:
+        """``of`` hashes (at most two) for each word data[start:end]; words are in order and don't overlap."""
         if len(self.power) <= len(data):
             self._grow_powers(self.odd, len(data) + 1)
         out = []
-        for code in self.code:
+        for code in self.code[:of]:
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(code[data] * self.power[: len(data)], out=sums[1:])
             out.append(_mixed((sums[ends] - sums[starts]) * self.inverse[starts]))
         for i in np.flatnonzero(ends - starts > LONG_WORD):
             digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
-            out[0][i], out[1][i] = np.frombuffer(digest, np.uint64)
-        return out[0], out[1]
+            for hashed, value in zip(out, np.frombuffer(digest, np.uint64), strict=False):
+                hashed[i] = value
+        return out
 
     def indices(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes], bool]:
         """Index of each word, the words that are new (they got the next indices in this order), and if the table was cleared."""
@@ -61,10 +63,12 @@ class WordTable:
         missing = np.flatnonzero(found < 0)
         if not len(missing):
             return found, [], cleared
-        _, at, back = np.unique(first[missing] ^ (second[missing] << np.uint64(1)), return_index=True, return_inverse=True)
-        new = missing[at]
+        order = missing[np.lexsort((second[missing], first[missing]))]
+        fresh = np.ones(len(order), bool)  # where a run of equal words begins
+        fresh[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+        new = order[fresh]
         self._insert(first[new], second[new])
-        found[missing] = self.size - len(new) + back
+        found[order] = self.size - len(new) + np.cumsum(fresh) - 1
         raw = data.tobytes()
         return found, [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], cleared
 

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
+from epochgraph.llm import near, simhash
 from support import SF
 
 
@@ -50,3 +52,24 @@ def test_rows_without_id_and_repeated_rows(spark):
     found = corpus_pipeline.thin(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in found) == [(0, "a b c d e f"), (0, "a b c d e f"), (3, "A b c d e f"), (4, "other text")]
     assert corpus_pipeline.thin(spark, spark.createDataFrame([], "doc_id long, text string"), SF).count() == 0
+
+
+def test_clashing_columns_and_equal_ids(spark):
+    """Of rows with one id and text one stays whatever else differs, and no column is overwritten."""
+    rows = [(1, "a b c d e f", "x", 0, {"k": 1}), (1, "a b c d e f", "y", 1, {"k": 2}), (2, "a b c d e f", "z", 2, None), (3, "other words", "h", 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text_hash__ string, _hash int, _kept map<string,int>")
+    for stage in (lambda d: corpus_pipeline.thin(spark, d, SF), simhash.one_of_each):
+        found = [tuple(r) for r in stage(df).collect()]
+        assert stage(df).columns == df.columns and len(found) == 2 and all(r in rows for r in found)
+        assert sorted(r[0] for r in found) == [1, 3] and {r[:4] for r in found} == {tuple(r)[:4] for r in stage(df.repartition(3)).collect()}
+
+
+def test_long_text(spark):
+    """A text of several blocks, one word apart from its copy, and the same shingles as word by word."""
+    rng = random.Random(8)
+    words = [f"W{rng.randrange(3000)}" for _ in range(500_000)]
+    long = " ".join(words)
+    other = " ".join(words[:1000] + ["changed"] + words[1001:])
+    docs = spark.createDataFrame([(1, other), (2, long), (3, "short")], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.thin(spark, docs, SF).collect()} == {1, 3}
+    assert len(next(near._sets(pa.array([long])))) == len(shingles(long))
