@@ -1,10 +1,11 @@
-"""Exact token counts of whole texts, huge ones by overlapping chunks that are spliced where both sides provably agree.
+"""Exact token counts of whole texts by overlapping chunks that are spliced where both sides provably agree.
 
-A text of up to two chunks is encoded whole. A longer one is encoded chunk by chunk with offsets, each chunk overlapping the one
-before. A position is stable if no token of any of the known tokenizer kinds can cross it and no context beyond it changes the
-tokens on either side: before a single space between two letters, or before a single line feed between two visible characters.
-Two chunks are spliced at a stable position of their overlap where, up to a later stable position, both gave the same tokens.
-If there is none the overlap is widened, in the end to all of the earlier chunk, which is then replaced by a longer one.
+A text is encoded chunk by chunk with offsets, each chunk overlapping the one before; one of a single chunk needs no splice. The
+chunks of a whole batch are encoded together. A position is stable if no token of any of the known tokenizer kinds can cross it and no context
+beyond it changes the tokens on either side: before a single space between two letters, or before a single line feed between two
+visible characters. Two chunks are spliced at a stable position of their overlap where, up to a later stable position, both gave
+the same tokens. A text in which some chunks don't align is taken anew, and there overlaps are widened, in the end to all of the earlier
+chunk, which is then replaced by a longer one.
 
 Null texts count as empty, repeated rows stay, null ids pass through, and other columns of the input are not looked at.
 """
@@ -22,8 +23,10 @@ from pyspark.sql import DataFrame
 
 from .tokens import WordEncoder, drops_white_space
 
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 4096
 OVERLAP_CHARS = 256
+#: Characters of text that are encoded together.
+STEP = 1 << 19
 
 #: Ids, and the characters at which each token begins and ends.
 Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -81,42 +84,69 @@ def resynchronised(text: str, encode: Callable[[str], Encoded], chunk: int = CHU
     yield ids[starts >= since]
 
 
+def chunks(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
+    """Begin and end of each chunk of a text of n characters."""
+    last = max(0, -(-(n - chunk) // (chunk - overlap)))
+    return [(k * (chunk - overlap), min(n, k * (chunk - overlap) + chunk)) for k in range(last + 1)]
+
+
+def spliced(text: str, bounds: list[tuple[int, int]], parts: list[Encoded]) -> int | None:
+    """How many tokens a text has by its encoded chunks; None if two of them don't align."""
+    total = since = 0
+    for k, (low, _) in enumerate(bounds):
+        ids, starts, ends = parts[k]
+        at = None
+        if k + 1 < len(bounds):
+            begin, end = bounds[k + 1][0], bounds[k][1]
+            ahead = (parts[k + 1][0], parts[k + 1][1] + begin, parts[k + 1][2] + begin)
+            at = splice_position(text, (ids, starts + low, ends + low), ahead, max(begin, since), end)
+            if at is None:
+                return None
+        total += int(((starts + low >= since) & (at is None or ends + low <= at)).sum())
+        since = at
+    return total
+
+
 class Counter:
     """Counts by one vocabulary file: a tokenizers .json or a sentencepiece .model."""
 
     def __init__(self, path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.chunk, self.overlap = chunk, overlap
-        self.words = WordEncoder(path) if drops_white_space(path) else None
-        if path.endswith(".model"):
+        if drops_white_space(path):
+            self._encode = WordEncoder(path).encode_with_spans
+        elif path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self._count = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-            self._encode = lambda text: _proto(model, text)
+            self._encode = lambda texts: [_proto(model, text) for text in texts]
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            self._count = lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            self._encode = lambda text: _offsets(tokenizer.encode(text, add_special_tokens=False))
+            self._encode = lambda texts: [_offsets(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def counts(self, column: pa.Array) -> np.ndarray:
-        lengths = np.asarray(pa.compute.utf8_length(column).fill_null(0))
-        huge = lengths > 2 * self.chunk
-        out = np.zeros(len(column), np.int64)
-        small = pa.compute.if_else(pa.array(huge), "", column) if huge.any() else column
-        if self.words:
-            for rows, _, counts in self.words.encode(small):
-                np.add.at(out, rows, counts)
-        else:
-            out[:] = self._count([x or "" for x in small.to_pylist()])
-        for i in np.flatnonzero(huge).tolist():
-            out[i] = sum(len(x) for x in resynchronised(column[i].as_py(), self._encode, self.chunk, self.overlap))
+        """Tokens of each text; the texts of about STEP characters are worked on together."""
+        out, held, size = np.zeros(len(column), np.int64), [], 0
+        for i, text in enumerate(column.to_pylist()):
+            held.append((i, text or ""))
+            size += len(text or "")
+            if size >= STEP:
+                self._add(held, out)
+                held, size = [], 0
+        self._add(held, out)
         return out
 
+    def _add(self, held: list[tuple[int, str]], out: np.ndarray) -> None:
+        bounds = [chunks(len(text), self.chunk, self.overlap) for _, text in held]
+        parts = iter(self._encode([text[a:b] for (_, text), of in zip(held, bounds, strict=True) for a, b in of]))
+        for (i, text), of in zip(held, bounds, strict=True):
+            n = spliced(text, of, [next(parts) for _ in of])
+            out[i] = sum(len(x) for x in resynchronised(text, lambda t: self._encode([t])[0], self.chunk, self.overlap)) if n is None else n
+
 
 def _offsets(e) -> Encoded:
     spans = np.array(e.offsets, np.int64).reshape(-1, 2)

@@ -79,6 +79,23 @@ class WordEncoder:
             sums = np.concatenate([[0], np.cumsum(per_word)])
             yield rows, ids, np.diff(sums[parts])
 
+    def encode_with_spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, begins, ends) of each text; begins and ends are the characters at which each id's word begins and ends."""
+        column = pa.array(texts, pa.string())
+        data, offsets = text_buffers(column)
+        found: list[list[tuple]] = [[] for _ in texts]
+        for begin, end, rows, starts in blocks(data, offsets):
+            text = data[begin:end]
+            ids, per_word, first, stop = self._block(text, starts - begin)
+            bounds = np.append(starts - begin, len(text))
+            words, sums = np.searchsorted(first, bounds, "left"), np.concatenate([[0], np.cumsum(per_word)])
+            place = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)]) if (text >= 0x80).any() else np.arange(len(text) + 1)  # characters before each byte
+            first, stop = (np.repeat(place[x], per_word) for x in (first, stop))
+            for r, a, b, at, size in zip(rows.tolist(), sums[words[:-1]].tolist(), sums[words[1:]].tolist(), place[bounds[:-1]].tolist(), np.diff(place[bounds]).tolist(), strict=True):
+                before = found[r][-1][3] if found[r] else 0
+                found[r].append((ids[a:b], first[a:b] - at + before, stop[a:b] - at + before, before + size))
+        return [parts[0][:3] if len(parts) == 1 else tuple(np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(3)) for parts in found]
+
     def _block(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         space = is_space(data)
         new_row = np.zeros(len(data) + 1, bool)

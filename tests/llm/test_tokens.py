@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from epochgraph.llm import packing, token_count
@@ -38,9 +39,37 @@ def test_ids(library, odd_docs):
 
 @pytest.mark.parametrize("name, chunk, overlap", [("word_bpe_49k.json", 300, 8), ("byte_bpe_50k.json", 600, 16), ("piece_bpe_32k.model", 600, 16)])
 def test_chunks_resynchronise(documents, name, chunk, overlap):
-    counter = token_count.Counter(public_tokenizers.path(name), chunk, overlap)
-    texts = [r["text"] for r in documents.limit(150).collect()] + ["x" * 5000, "a b " * 2000, "é " * 3000, "\n" * 3000]
-    assert counter.counts(pa.array(texts)).tolist() == [len(counter._encode(t)[0]) if name.endswith("json") else n for t, n in zip(texts, counter._count(texts), strict=True)]
+    path = public_tokenizers.path(name)
+    counter = token_count.Counter(path, chunk, overlap)
+    texts = [r["text"] for r in documents.limit(150).collect()] + ["x" * 5000, "a b " * 2000, "é " * 3000, "\n" * 3000, "日本 語の\n文 " * 900, None, ""]
+    if name.endswith("json"):
+        model = Tokenizer.from_file(path)
+        want = [len(model.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    else:
+        want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode([t or "" for t in texts])]
+    assert counter.counts(pa.array(texts)).tolist() == want
+
+
+def test_spans(library):
+    """Each id with the bounds of its word, in characters, over a text of several blocks."""
+    texts = ["", "Ab,  cd. é日 x", "été " * 700_000]
+    for text, (ids, begins, ends) in zip(texts, WordEncoder(PATH).encode_with_spans(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert (begins < ends).all() and (np.diff(begins) >= 0).all() and not any(text[a:b].split() != [text[a:b]] for a, b in list(zip(begins.tolist(), ends.tolist(), strict=True))[-50:])
+
+
+def test_chunks_cover(spark):
+    for n in range(0, 90):
+        bounds = token_count.chunks(n, 20, 6)
+        assert bounds[0][0] == 0 and bounds[-1][1] == n and all(b - c == 6 for (_, b), (c, _) in zip(bounds, bounds[1:], strict=False))
+
+
+def test_long_pieces():
+    """A text beyond two blocks, cut into pieces of the capacity as the library's ids are."""
+    text = "Some words, of all kinds. " * 110_000
+    ids = [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 1]
+    got = list(packing.document_pieces(pa.array(["a", text, "b"]), packing.encoder(PATH), 4096, 1))
+    assert [(p, s, n, c) for r, p, s, n, c in got if r == 1] == [(k, 4096 * k, len(part), zlib.crc32(np.array(part, "<u4"))) for k, part in enumerate(ids[i : i + 4096] for i in range(0, len(ids), 4096))]
 
 
 def test_counts(library, odd_docs, spark):
