@@ -5,7 +5,8 @@ backslashes, ``|`` gets one backslash more before the ``|``, so no control strin
 again. A line feed or per cent sign in a role is written as ``%0A`` or ``%25``.
 
 Turns are dealt out by conversation and sorted, and batches of them stream through: a conversation that spans batches comes out in
-parts, so memory is bounded by a batch however long a conversation is.
+numbered parts, so memory is bounded by two batches however long a conversation is. Only one task reads a conversation, as its digest is
+sequential.
 """
 
 from __future__ import annotations
@@ -69,24 +70,25 @@ def _own(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, formatted, n_turns, loss): a row for each conversation, or for each part of one that spans batches, in order.
+    """(id, part, last, formatted, n_turns, loss): a row for each conversation, or for each part of one that spans batches.
 
-    ``loss`` holds the byte spans of the learned role's texts in ``formatted``. Null texts and roles count as empty; rows with a
-    null id form one conversation; of rows with the same turn the smaller role, then text, comes first, and repeats stay.
+    Parts are numbered from 0 and the last one says so; they can be stored and read back in any order. ``loss`` holds the byte
+    spans of the learned role's texts in ``formatted``. Null texts and roles count as empty; rows with a null id form one
+    conversation; of rows with the same turn the smaller role, then text, comes first, and repeats stay. An empty table gives an
+    empty result, and a conversation or text of any length only more or larger parts.
     """
     kind = turns.schema[id_col].dataType.simpleString()
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = turns.select(id_col, turn_col, role_col, text_col).repartition(parts, id_col).sortWithinPartitions(id_col, turn_col, role_col, text_col)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the columns of the batch before, which can't tell yet if its last conversation goes on
         for batch in batches:
             if not len(batch):
                 continue
             ids, roles, texts = batch.column(0), batch.column(2), batch.column(3)
             out, at = assembled(roles, texts)
-            before, after = ids.slice(0, len(ids) - 1), ids.slice(1)
-            same = pc.or_kleene(pc.equal(before, after).fill_null(False), pc.and_(pc.is_null(before), pc.is_null(after)))
-            first = np.concatenate([[0], np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1])
+            first = np.concatenate([[0], np.flatnonzero(~_same(ids.slice(0, len(ids) - 1), ids.slice(1))) + 1])
             stop = np.append(first[1:], len(ids))
             learned = pc.equal(roles, LEARNED_ROLE).fill_null(False).to_numpy(zero_copy_only=False)
             spans = np.stack([at[:, 3], at[:, 4]], 1) - np.repeat(at[first, 0], stop - first)[:, None]
@@ -96,9 +98,22 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
             loss = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(where, first), len(where)), pa.int32()), pairs)
             offsets = np.append(at[first, 0], len(out)).astype(np.int32)
             formatted = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), formatted, pa.array(stop - first), loss], names=[id_col, "formatted", "n_turns", "loss"])
+            part, last = np.zeros(len(first), np.int32), np.ones(len(first), bool)
+            if held and _same(held[0].slice(len(held[0]) - 1), ids.slice(0, 1))[0]:
+                held[2][-1], part[0] = False, held[1][-1] + 1
+            if held:
+                yield pa.RecordBatch.from_arrays([held[0], pa.array(held[1]), pa.array(held[2]), *held[3:]], names=names)
+            held = [ids.take(pa.array(first)), part, last, formatted, pa.array(stop - first), loss]
+        if held:
+            yield pa.RecordBatch.from_arrays([held[0], pa.array(held[1]), pa.array(held[2]), *held[3:]], names=names)
 
-    return rows.mapInArrow(made, f"`{id_col}` {kind}, formatted string, n_turns long, loss array<array<bigint>>")
+    names = [id_col, "part", "last", "formatted", "n_turns", "loss"]
+    return rows.mapInArrow(made, f"`{id_col}` {kind}, part int, last boolean, formatted string, n_turns long, loss array<array<bigint>>")
+
+
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two columns of ids are equal; nulls are."""
+    return pc.or_kleene(pc.equal(a, b).fill_null(False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
 
 
 def turns_of(formatted: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -108,8 +123,13 @@ def turns_of(formatted: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Digests of each conversation, read from the output of ``format_conversations`` as it streams by."""
+    """Digests of each conversation, read from the rows of ``format_conversations``, in whatever order they come.
+
+    A part that is missing or there twice fails the job. Null ids are one conversation; an empty table gives an empty result.
+    """
     kind = formatted.schema[id_col].dataType.simpleString()
+    parts = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    formatted = formatted.select(id_col, "part", "last", "formatted", "loss").repartition(parts, id_col).sortWithinPartitions(id_col, "part")
 
     class Digest:
         def __init__(self):
@@ -127,10 +147,12 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
                 self.loss.update(content)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, digest = None, None
+        now, digest, after, ended = None, None, 0, True
         schema = pa.schema([pa.field(id_col, pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
         def row() -> list:
+            if not ended:
+                raise ValueError(f"conversation {now}: its last part is missing")
             return [now, digest.n, digest.turns.hexdigest(), digest.loss_chars, digest.loss.hexdigest(), digest.chars]
 
         def batch_of(rows: list) -> pa.RecordBatch:
@@ -140,11 +162,14 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
         id_type = pa.int64()
         for batch in batches:
             id_type, done = batch.schema.field(0).type, []
-            for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for key, part, last, text, spans in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), batch.column(3).cast(pa.binary()).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if digest is None or key != now:
                     if digest is not None:
                         done.append(row())
-                    now, digest = key, Digest()
+                    now, digest, after = key, Digest(), 0
+                if part != after:
+                    raise ValueError(f"conversation {key}: part {part} where {after} should be")
+                after, ended = part + 1, last
                 digest.add(text, spans)
             if done:
                 yield batch_of(done)

@@ -31,6 +31,24 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_parts_of_conversations(spark, tmp_path):
+    """Small batches cut conversations into parts, which a stored table gives back in another order; gaps fail."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {t} " * 5) for c in (1, 2, None) for t in range(8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {tuple(r) for r in chat.read_back(chat.format_conversations(df)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        chat.format_conversations(df).write.parquet(str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    stored = spark.read.parquet(str(tmp_path / "parts")).orderBy(F.rand(3))
+    assert stored.count() > 6
+    assert {tuple(r) for r in chat.read_back(stored).collect()} == whole and len(whole) == 3
+    for gap in ("part <> 1", "NOT last", "part <> 0"):
+        with pytest.raises(Exception, match="conversation"):
+            chat.read_back(stored.filter(gap)).collect()
+
+
 def test_streams(odd_docs, documents):
     for docs in (odd_docs, documents):
         want = Counter()
