@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import logging
 import os
-import re
 import sys
 import time
 import webbrowser
@@ -22,7 +21,7 @@ log = logging.getLogger("epochgraph")
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="epochgraph", description="How many packages depended on others, at every time.")
     p.add_argument("--db", default="./db-dump.tar.gz", metavar="PATH", help="the registry's dump, a folder of its tables, or a folder that --save has written")
-    p.add_argument("--exclude", action="append", default=[], metavar="REGEX", type=_regex, help=argparse.SUPPRESS)
+    p.add_argument("--exclude", action="append", default=[], metavar="REGEX", help=argparse.SUPPRESS)
     p.add_argument("--jobs", "-j", type=int, default=min(os.cpu_count() or 1, 32), metavar="N", help="threads of a local run [default: %(default)s]")
     p.add_argument("--relative", action="store_true", help="as a fraction of all packages, not a number")
     p.add_argument("--title", help=argparse.SUPPRESS)
@@ -33,14 +32,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _regex(text: str) -> str:
-    try:
-        re.compile(text)
-    except re.error as e:
-        raise argparse.ArgumentTypeError(str(e)) from e
-    return text
-
-
 def _query(text: str) -> str:
     try:
         return query.check(text)
@@ -58,6 +49,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return 1
     logging.basicConfig(level=logging.INFO if sys.stderr.isatty() else logging.WARNING)
     spark = spark or SparkSession.builder.master(f"local[{opt.jobs}]").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", str(max(8, opt.jobs))).getOrCreate()
+    for pattern in opt.exclude:
+        if wrong := prepare.pattern_error(spark, pattern):
+            print(f"wrong pattern {pattern!r}: {wrong}", file=sys.stderr)
+            return 2
     began = time.monotonic()
     saved = dump._exists(spark, f"{opt.db}/packages.parquet")
     registry = dump.open_saved(spark, opt.db) if saved else dump.load(spark, opt.db)

@@ -24,12 +24,27 @@ REQUIREMENT = f"ARRAY<{COMPARATOR}>"
 
 #: Operator signs and their names; a bare version is a caret, one with a wildcard part a wildcard.
 OPERATORS = {"=": "exact", ">": "greater", ">=": "greater_eq", "<": "less", "<=": "less_eq", "~": "tilde", "^": "caret"}
+#: Operators in their order.
+ORDERED = ("exact", "greater", "greater_eq", "less", "less_eq", "tilde", "caret", "wildcard")
 SIGNS = {name: sign for sign, name in OPERATORS.items()} | {"wildcard": ""}
 
-_PART = r"0|[1-9][0-9]*"
+#: The greatest number that a part may be.
+GREATEST = 2**64 - 1
+
+
+def _up_to(greatest: int) -> str:
+    """A pattern of the numbers up to ``greatest``, without leading zeros: those with fewer digits, then those below it from some digit on."""
+    digits = str(greatest)
+    below = [f"{digits[:i]}[{int(i == 0)}-{int(d) - 1}][0-9]{{{len(digits) - i - 1}}}" for i, d in enumerate(digits) if int(d) > int(i == 0)]
+    return "|".join(["0", f"[1-9][0-9]{{0,{len(digits) - 2}}}", *below, digits])
+
+
+_PART = _up_to(GREATEST)
 _IDENTIFIERS = r"[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*"
-VERSION_PATTERN = rf"^({_PART})\.({_PART})\.({_PART})(?:-({_IDENTIFIERS}))?(?:\+({_IDENTIFIERS}))?$"
-COMPARATOR_PATTERN = rf"^ *(>=|<=|=|>|<|~|\^)? *({_PART})(?:\.({_PART}|[*xX])(?:\.({_PART}|[*xX])(?:-({_IDENTIFIERS}))?(?:\+({_IDENTIFIERS}))?)?)? *$"
+_PRE = r"(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)"
+_PRES = rf"{_PRE}(?:\.{_PRE})*"
+VERSION_PATTERN = rf"^({_PART})\.({_PART})\.({_PART})(?:-({_PRES}))?(?:\+({_IDENTIFIERS}))?$"
+COMPARATOR_PATTERN = rf"^ *(>=|<=|=|>|<|~|\^)? *({_PART})(?:\.({_PART}|[*xX])(?:\.({_PART}|[*xX])(?:-({_PRES}))?(?:\+({_IDENTIFIERS}))?)?)? *$"
 ANY_PATTERN = r"^ *[*xX] *$"
 
 
@@ -154,6 +169,12 @@ def clamped(req: Column, greatest: Column) -> Column:
     return F.when(greatest.isNotNull() & matches(req, next_incompatible(greatest)), caret_on(greatest)).otherwise(req)
 
 
+def requirement_order(req: Column) -> Column:
+    """What requirements are ordered by: comparator by comparator, the operator first, a part not given before any number; fewer come first."""
+    rank = lambda op: reduce(lambda c, item: c.when(op == item[1], item[0]), list(enumerate(ORDERED))[1:], F.when(op == ORDERED[0], 0))
+    return F.transform(req, lambda c: F.struct(rank(c["op"]).alias("op"), c["major"], c["minor"], c["patch"], c["pre_empty"], c["pre"]))
+
+
 def requirement_text(req: Column) -> Column:
     """Canonical text: ``*`` if empty, else the comparators joined."""
     sign = lambda op: reduce(lambda c, item: c.when(op == item[0], item[1]), list(SIGNS.items())[1:], F.when(op == "exact", "="))

@@ -6,12 +6,11 @@ results carry validity intervals.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import semver
+from ..sources.shared import durable
 from .temporal import FROM, TO, coalesce_intervals, interval_join, running_max_intervals, since, subtract_intervals
 
 #: Names of the features that every release has: the package itself, and its defaults.
@@ -20,14 +19,8 @@ PACKAGE, DEFAULT = "", "default"
 MAX_ROUNDS = 65_535
 #: Every so many rounds what is known is merged into fewer rows.
 MERGE_ROUNDS = 8
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, so that loops neither grow plans nor depend on one executor."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+#: Rows of a round (some 60 bytes each) up to which they are broadcast.
+FEW = 100_000
 
 
 def resolved(dependencies: DataFrame, releases: DataFrame) -> DataFrame:
@@ -110,22 +103,28 @@ def reachable(matches: DataFrame, edges: DataFrame) -> DataFrame:
     """(version_id, feature, query_id, interval): nodes from which a match can be reached, matches included.
 
     Semi-naive: each round follows edges backwards from what the last round added, less what was known. Intervals are
-    subtracted, so cycles end and a node that is reachable only at times is followed at just these.
+    subtracted, so cycles end and a node that is reachable only at times is followed at just these. Edges are dealt by their
+    target once. A round that added few rows broadcasts them, so that it shuffles no edges, and one that meets few known rows subtracts
+    them all; else edges and known rows are met by shuffled joins, of which adaptive execution splits the hot keys.
     """
     keys = ["version_id", "feature", "query_id"]
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     back = edges.select(F.col("dst_v").alias("version_id"), F.col("dst_f").alias("feature"), "src_v", "src_f", FROM, TO)
     back = durable(back.repartition(parts, "version_id", "feature"))
     known = fresh = durable(coalesce_intervals(matches.select("version_id", F.lit(PACKAGE).alias("feature"), "query_id", FROM, TO), keys))
+    n_known = n_fresh = fresh.count()
     for i in range(MAX_ROUNDS):
-        if fresh.isEmpty():
+        if not n_fresh:
             return coalesce_intervals(known, keys)
-        found = interval_join(fresh, back, ["version_id", "feature"]).select(F.col("src_v").alias("version_id"), F.col("src_f").alias("feature"), "query_id", FROM, TO).persist()
-        # where little was found its keys are broadcast, and what is known isn't shuffled
-        touched = known.join(found.select(*keys).distinct(), keys, "left_semi")
+        few = F.broadcast(fresh) if n_fresh <= FEW else fresh
+        found = interval_join(back, few, ["version_id", "feature"]).select(F.col("src_v").alias("version_id"), F.col("src_f").alias("feature"), "query_id", FROM, TO)
+        touched = known
+        if n_known > FEW:  # what is known of other keys stays where it is
+            found = durable(found)
+            touched = known.join(found.select(*keys).distinct(), keys, "left_semi")
         fresh = durable(subtract_intervals(found, touched, keys))
-        found.unpersist()
-        known = known.unionByName(fresh)  # disjoint by construction
+        n_fresh = fresh.count()
+        known, n_known = known.unionByName(fresh), n_known + n_fresh  # disjoint by construction
         if i % MERGE_ROUNDS == MERGE_ROUNDS - 1:
             known = durable(coalesce_intervals(known, keys))
     raise RuntimeError("the closure doesn't end")

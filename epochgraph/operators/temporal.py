@@ -75,6 +75,7 @@ def subtract_intervals(df: DataFrame, taken: DataFrame, keys: list[str]) -> Data
     order = Window.partitionBy(*keys).orderBy("ts")
     flat = df.select(*keys, FROM, TO, F.lit(True).alias("_own")).unionByName(taken.select(*keys, FROM, TO, F.lit(False).alias("_own")))
     steps = F.array(F.struct(F.col(FROM).alias("ts"), F.lit(1).alias("diff")), F.struct(F.col(TO).alias("ts"), F.lit(-1).alias("diff")))
+    flat = flat.repartition(*keys)  # one shuffle for the sums and the windows
     both = flat.select(*keys, "_own", F.explode(steps).alias("_s")).groupBy(*keys, F.col("_s.ts").alias("ts"))
     both = both.agg(F.sum(F.when(F.col("_own"), F.col("_s.diff")).otherwise(0)).alias("_a"), F.sum(F.when(F.col("_own"), 0).otherwise(F.col("_s.diff"))).alias("_b"))
     cover = both.withColumn("_here", (F.sum("_a").over(order) > 0) & (F.sum("_b").over(order) == 0))

@@ -16,8 +16,10 @@ from .query import bind
 
 
 def prepared(registry: Registry, predicates: DataFrame, transitive: bool = False, exclude_patterns: Sequence[str] = ()) -> Registry:
-    """The registry as the dataflow reads it. Direct counts need only the dependencies on the queries' packages."""
+    """The registry as the dataflow reads it. Direct counts need only the dependencies on the queries' packages, the closure reads releases often."""
     registry = exclude(registry, exclude_patterns)
+    if transitive:
+        registry = replace(registry, releases=graph.durable(registry.releases))
     if not transitive:
         wanted = predicates.select("crate_id").distinct()
         registry = replace(registry, dependencies=registry.dependencies.join(wanted, "crate_id", "left_semi").select(registry.dependencies.columns))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import semver
@@ -23,6 +24,15 @@ def exclude(registry: Registry, patterns: Sequence[str]) -> Registry:
     return replace(registry, releases=registry.releases.join(gone, "crate_id", "left_anti").select(registry.releases.columns))
 
 
+def pattern_error(spark: SparkSession, pattern: str) -> str | None:
+    """What is wrong with a pattern, in the dialect that runs it; None if nothing is."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as e:
+        return str(e.java_exception.getMessage()).splitlines()[0]
+    return None
+
+
 def greatest_so_far(releases: DataFrame) -> DataFrame:
     """(crate_id, greatest, pos_from, pos_to): the greatest version ever published, by place in the order of publication.
 

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, semver
 from ..operators import graph, series, temporal
 from ..operators.temporal import FROM, TO
-from ..sources import star
+from ..sources import dump, star
 from . import counts, prepare, query
 
 #: One package, one of its major versions, and either of two packages.
@@ -77,7 +77,13 @@ def direct_series_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relative_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.over_time(_direct_registry(spark, sf_dir), QUERIES_ASKED, relative=True)
-    return found.select("ts", "query_id", "value", "total", F.round(F.col("value") / F.col("total"), 9).alias("fraction"))
+    return found.withColumn("fraction", F.col("fraction").cast("double"))
+
+
+def chart_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a relative chart draws at each time."""
+    found = counts.over_time(_direct_registry(spark, sf_dir), QUERIES_ASKED, relative=True)
+    return found.select("ts", "query_id", series.chart_value(F.col("value"), F.col("total")).alias("shown"))
 
 
 def excluded_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +159,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_step_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks add and views take away: the net count of each user as it changes."""
+    """Events with even ids add and others take away: the net count of each user as it changes."""
     rows = _events(spark, sf_dir).select("user_id", "ts", F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("diff"))
     changes = temporal.consolidate(rows, ["user_id", "ts"])
     return series.cumulative(changes, ["user_id"], "ts", "diff", "net")
@@ -178,18 +184,70 @@ def event_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semver_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct requirement against every distinct small version number."""
+    """Every distinct requirement against every distinct version number: the requirements are few (at most 79 texts) and broadcast."""
     reqs = star.dependencies(spark, sf_dir).select("req_key", "req").dropDuplicates(["req_key"])
-    versions = star.releases(spark, sf_dir, features=False).filter("ver.patch < 20").select("num", "ver").dropDuplicates(["num"])
-    both = reqs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).join(versions.withColumn("k", F.col("ver.major").cast("int")), "k")
-    return both.filter(semver.matches(F.col("req"), F.col("ver"))).select("req_key", "num")
+    versions = star.releases(spark, sf_dir, features=False).select("num", "ver").dropDuplicates(["num"])
+    return versions.join(F.broadcast(reqs), semver.matches(F.col("req"), F.col("ver"))).select("req_key", "num")
 
 
 def semver_matching_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct requirement against every distinct version number: the requirements are few (at most 79 texts) and broadcast."""
+    """The same with the version's parts, read from its text."""
+    found = semver_matching(spark, sf_dir)
+    ver = semver.version(F.col("num"))
+    return found.select("req_key", "num", *(ver[n].cast("long").alias(n) for n in ("major", "minor", "patch")))
+
+
+def prerelease_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements that name a prerelease, by each operator, against all releases of the same package."""
+    releases = star.releases(spark, sf_dir, features=False).select("crate_id", "version_id", "num", "ver")
+    sign = F.element_at(F.array(*map(F.lit, ("^", ">=", "~", "<", ">", "<=", "="))), (F.col("version_id") % 7 + 1).cast("int"))
+    asked = releases.filter("NOT ver.pre_empty").select("crate_id", F.col("version_id").alias("asked_by"), F.concat(sign, "num").alias("req_text"))
+    asked = asked.withColumn("req", semver.requirement(F.col("req_text")))
+    return asked.join(releases, "crate_id").filter(semver.matches(F.col("req"), F.col("ver"))).select("asked_by", semver.requirement_text(F.col("req")).alias("req_key"), "version_id")
+
+
+def requirement_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct requirements (at most 79) in their order."""
     reqs = star.dependencies(spark, sf_dir).select("req_key", "req").dropDuplicates(["req_key"])
-    versions = star.releases(spark, sf_dir, features=False).select("num", "ver").dropDuplicates(["num"])
-    return versions.join(F.broadcast(reqs), semver.matches(F.col("req"), F.col("ver"))).select("req_key", "num")
+    place = F.row_number().over(Window.orderBy(semver.requirement_order(F.col("req"))))
+    return reqs.select("req_key", place.cast("long").alias("place"))
+
+
+def requirement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts made from line items spell a version or a requirement: parts left out, leading zeros, wildcards, and numbers out of range."""
+    q = F.coalesce(F.floor("l_quantity"), F.lit(0)).cast("string")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tails = ("", ".0", ".0.1", ".01.0", ".1.2-rc.1", ".1.2-rc.01", ".1.2+b.07", ".*", ".x.1", ".18446744073709551615.0", ".18446744073709551616.0", ".111111111111111111111.0")
+    tail = F.element_at(F.array(*map(F.lit, tails)), (F.col("l_partkey") % len(tails) + 1).cast("int"))
+    texts = rows.select(F.concat(q, tail).alias("text")).distinct()
+    return texts.select("text", semver.version(F.col("text")).isNotNull().alias("is_version"), semver.requirement(F.col("text")).isNotNull().alias("is_requirement"))
+
+
+def dump_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins of a dump: many users share one, in two spellings, and teams of another service don't count."""
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    login = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    users = customer.select(F.col("c_custkey").alias("id"), login.alias("gh_login"))
+    service = F.when(F.col("n_nationkey") % 4 == 0, "gitlab:").otherwise("github:")
+    teams = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.concat(service, F.lit("Org"), F.col("n_regionkey").cast("string"), F.lit(":"), "n_name").alias("login"))
+    return dump.owners_of(users, teams)
+
+
+def dump_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared features of a dump: own ones, those of a package by its name or by its new name in a release, and weak ones."""
+    packages = star.packages(spark, sf_dir)
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("version_id"), F.col("l_suppkey").alias("to"), "l_linenumber").distinct()
+    name = F.concat(F.lit("c"), F.col("to").cast("string"))
+    alias = F.concat(F.lit("al"), F.col("to").cast("string"))
+    item = F.when(F.col("l_linenumber") == 1, F.concat(name, F.lit("/x"))).when(F.col("l_linenumber") == 2, F.concat(name, F.lit("?/y"))).when(F.col("l_linenumber") == 3, F.concat(alias, F.lit("/z"))).otherwise("own")
+    lists = items.withColumn("item", item).groupBy("version_id").agg(F.array_sort(F.collect_list("item")).alias("made"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("crate_id"))
+    text = F.to_json(F.create_map(F.lit("full"), "made", F.lit("none"), F.array().cast("array<string>")))
+    versions = orders.join(lists, F.col("id") == F.col("version_id")).select("id", "crate_id", F.lit("1.0.0").alias("num"), text.alias("features"))
+    renamed = items.filter("l_linenumber = 3").select(F.col("version_id").alias("id"), "version_id", F.col("to").alias("crate_id"), alias.alias("explicit_name"))
+    found = dump.features_of(versions, renamed, packages).select("version_id", F.explode("features").alias("f"))
+    flat = F.concat(F.transform("f.enables", lambda e: F.struct(F.lit(False).alias("weak"), e["crate_id"].alias("to"), e["feature"].alias("to_feature"))), F.transform("f.weak_enables", lambda e: F.struct(F.lit(True).alias("weak"), e["crate_id"].alias("to"), e["feature"].alias("to_feature"))))
+    return found.select("version_id", F.col("f.feature").alias("feature"), F.explode_outer(flat).alias("e")).select("version_id", "feature", "e.weak", F.col("e.to").alias("to_crate"), "e.to_feature")
 
 
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,11 +262,10 @@ QUERIES: dict[str, Query] = {
         running_max_recent, resolve_requirements, direct_edges, match_releases, direct_series, direct_series_multi, relative_series, excluded_series, exclude_filter,
         requirement_clamp, dependency_features, feature_edges, transitive_series, transitive_snapshot, owner_query, owner_series, chart_points, total_series,
         event_step_series, event_running_max, event_sessions, event_idle, semver_matching, semver_matching_all, name_keys,
-        resolve_requirements_over_time, direct_edges_over_time, feature_edges_over_time,
+        resolve_requirements_over_time, direct_edges_over_time, feature_edges_over_time, transitive_over_time,
+        chart_values, prerelease_matching, requirement_order, requirement_texts, dump_owners, dump_features,
     )
 }
-#: Without SQL that is fast enough for the driver; tests hold it against SQL on the smallest tables.
-WITHOUT_SQL: dict[str, Query] = {"transitive_over_time": transitive_over_time}
 
 
 # SQL. A version is a number: major, minor, patch with nine digits each; prereleases match no requirement here.
@@ -219,10 +276,10 @@ RELEASES = """rel AS (
   FROM orders
 )"""
 DEPENDENCIES = """dep AS (
-  SELECT DISTINCT l_orderkey AS v, l_suppkey AS c, l_linenumber AS op, CAST(l_quantity AS INT) % 3 AS qa, CAST(l_quantity AS INT) % 5 AS qb,
-    CASE l_linenumber WHEN 1 THEN '*' WHEN 2 THEN '^' || (CAST(l_quantity AS INT) % 3) WHEN 3 THEN '^' || (CAST(l_quantity AS INT) % 3) || '.' || (CAST(l_quantity AS INT) % 5)
-      WHEN 4 THEN '~' || (CAST(l_quantity AS INT) % 3) || '.' || (CAST(l_quantity AS INT) % 5) WHEN 5 THEN '>=' || (CAST(l_quantity AS INT) % 3) || '.' || (CAST(l_quantity AS INT) % 5) || '.0'
-      WHEN 6 THEN '<' || (CAST(l_quantity AS INT) % 3) || '.' || (CAST(l_quantity AS INT) % 5) || '.0' ELSE '=' || (CAST(l_quantity AS INT) % 3) || '.' || (CAST(l_quantity AS INT) % 5) END AS req,
+  SELECT DISTINCT l_orderkey AS v, l_suppkey AS c, l_linenumber AS op, CAST(coalesce(floor(l_quantity), 0) AS INT) % 3 AS qa, CAST(coalesce(floor(l_quantity), 0) AS INT) % 5 AS qb,
+    CASE l_linenumber WHEN 1 THEN '*' WHEN 2 THEN '^' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 3) WHEN 3 THEN '^' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 3) || '.' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 5)
+      WHEN 4 THEN '~' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 3) || '.' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 5) WHEN 5 THEN '>=' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 3) || '.' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 5) || '.0'
+      WHEN 6 THEN '<' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 3) || '.' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 5) || '.0' ELSE '=' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 3) || '.' || (CAST(coalesce(floor(l_quantity), 0) AS INT) % 5) END AS req,
     CASE WHEN l_returnflag <> 'N' THEN 'dev' WHEN l_linestatus = 'F' THEN 'normal' ELSE 'build' END AS kind,
     CASE WHEN l_tax >= 0.04 THEN 'c' || l_suppkey ELSE '' END AS feature, l_discount < 0.05 AS defaults, l_discount >= 0.08 AS extra
   FROM lineitem
@@ -296,6 +353,28 @@ RESOLVED = f"""d0 AS (SELECT DISTINCT c, op, qa, qb, NULL AS qp, req FROM dep),
         s AS (SELECT *, lag(v) OVER (PARTITION BY c, req ORDER BY f) AS was FROM m),
         res AS (SELECT c, req, v, f, {END.format(k='c, req')} AS u FROM s WHERE was IS DISTINCT FROM v)"""
 
+#: The closure over intervals: edges between (release, feature) nodes, what reaches a match along them, and when that release was recent.
+CLOSURE = f"""{RESOLVED.replace('FROM dep)', 'FROM cdep)').replace('NULL AS qp', 'qp')}, {FEATURE_EDGES},
+asked AS (SELECT DISTINCT v, c, req, feature, unnest(CASE WHEN NOT defaults AND NOT extra THEN [''] WHEN defaults AND extra THEN ['default', 'extra'] WHEN defaults THEN ['default'] ELSE ['extra'] END) AS g FROM cdep WHERE kind <> 'dev'),
+iedge AS (
+  SELECT a.v AS sv, a.feature AS sf, res.v AS dv, a.g AS dg, res.f, res.u FROM asked a JOIN res ON res.c = a.c AND res.req = a.req
+  UNION ALL SELECT v, f, v, g, t, TIMESTAMP '9999-12-31' FROM inner_edges
+  UNION ALL SELECT k.v, k.f, res.v, k.g, res.f, res.u FROM cross_on k JOIN (SELECT DISTINCT v, c, req FROM cdep) d ON d.v = k.v AND d.c = k.c JOIN res ON res.c = d.c AND res.req = d.req
+),
+ireach AS (
+  SELECT q, v, '' AS g, t AS f, TIMESTAMP '9999-12-31' AS u FROM match
+  UNION SELECT r.q, e.sv, e.sf, greatest(r.f, e.f), least(r.u, e.u) FROM ireach r JOIN iedge e ON e.dv = r.v AND e.dg = r.g AND e.f < r.u AND r.f < e.u
+),
+nm AS (SELECT DISTINCT c, t AS f, arg_max(v, (NOT pre, t, v)) OVER (PARTITION BY c ORDER BY t RANGE UNBOUNDED PRECEDING) AS v FROM rel),
+ns AS (SELECT *, lag(v) OVER (PARTITION BY c ORDER BY f) AS was FROM nm),
+nw AS (SELECT v, f, {END.format(k='c')} AS u FROM ns WHERE was IS DISTINCT FROM v),
+ihit AS (
+  SELECT q, v, f, u FROM ireach
+  UNION SELECT m.q, d.v, greatest(res.f, m.t), res.u FROM cdep d JOIN res ON res.c = d.c AND res.req = d.req JOIN match m ON m.v = res.v AND m.t < res.u
+),
+live AS (SELECT DISTINCT h.q, h.v, greatest(h.f, nw.f) AS f, least(h.u, nw.u) AS u FROM ihit h JOIN nw ON nw.v = h.v AND h.f < nw.u AND nw.f < h.u)"""
+CLOSURE = f"WITH RECURSIVE {RELEASES}, {DEPENDENCIES}, {CLAMPED}, {PREDICATES}, {MATCH}, {CLOSURE}"
+
 ORACLE_SQL: dict[str, str] = {
     "running_max_recent": f"""WITH {RELEASES}, m AS (SELECT c, t AS f, arg_max(v, (NOT pre, t, v)) OVER (PARTITION BY c ORDER BY t RANGE UNBOUNDED PRECEDING) AS v FROM rel),
         k AS (SELECT DISTINCT c, f, v FROM m), s AS (SELECT *, lag(v) OVER (PARTITION BY c ORDER BY f) AS was FROM k)
@@ -309,7 +388,10 @@ ORACLE_SQL: dict[str, str] = {
     "direct_series": SERIES.replace(PREDICATES, "pred(q, c, a) AS (VALUES (0, 7, CAST(NULL AS INT)))") + " SELECT t AS ts, q AS query_id, value FROM kept",
     "direct_series_multi": f"{SERIES} SELECT t AS ts, q AS query_id, value FROM kept",
     "relative_series": f"""{SERIES}, born AS (SELECT c, min(t) AS t FROM rel GROUP BY c)
-        SELECT k.t AS ts, k.q AS query_id, k.value, b.total, round(k.value / b.total, 9) AS fraction FROM kept k JOIN (SELECT i.t, count(*) AS total FROM instants i JOIN born ON born.t <= i.t GROUP BY ALL) b ON b.t = k.t""",
+        SELECT k.t AS ts, k.q AS query_id, k.value, b.total, CAST(CAST(k.value AS FLOAT) / CAST(b.total AS FLOAT) AS DOUBLE) AS fraction FROM kept k JOIN (SELECT i.t, count(*) AS total FROM instants i JOIN born ON born.t <= i.t GROUP BY ALL) b ON b.t = k.t""",
+    "chart_values": f"""{SERIES}, born AS (SELECT c, min(t) AS t FROM rel GROUP BY c)
+        SELECT k.t AS ts, k.q AS query_id, CASE WHEN b.total = 0 THEN 0.0 WHEN k.value = b.total THEN 0.5 ELSE CAST(CAST(k.value AS FLOAT) / CAST(b.total AS FLOAT) AS DOUBLE) END AS shown
+        FROM kept k JOIN (SELECT i.t, count(*) AS total FROM instants i JOIN born ON born.t <= i.t GROUP BY ALL) b ON b.t = k.t""",
     "excluded_series": f"""{SERIES.replace('FROM orders', 'FROM orders WHERE o_custkey % 10 <> 9')}, born AS (SELECT c, min(t) AS t FROM rel GROUP BY c)
         SELECT k.t AS ts, k.q AS query_id, k.value, b.total FROM kept k JOIN (SELECT i.t, count(*) AS total FROM instants i JOIN born ON born.t <= i.t GROUP BY ALL) b ON b.t = k.t""",
     "exclude_filter": f"""WITH {RELEASES} SELECT v AS version_id, c AS crate_id, a || '.' || b || '.' || p || CASE WHEN pre THEN '-alpha' ELSE '' END AS num FROM rel
@@ -321,6 +403,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT t AS as_of, sv AS src_v, sf AS src_f, dv AS dst_v, df AS dst_f FROM edge""",
     "transitive_snapshot": f"""WITH RECURSIVE {RELEASES}, {DEPENDENCIES}, {CLAMPED}, {PREDICATES}, {MATCH}, day AS (SELECT unnest([{', '.join(f"TIMESTAMP '{d}'" for d in DATES)}]) AS t), dd AS (SELECT * FROM cdep),
         {FEATURE_EDGES}, {EDGES}, {REACH} SELECT t AS as_of, q AS query_id, v AS version_id FROM found""",
+    "transitive_series": f"""{CLOSURE}, instants AS (SELECT DISTINCT t FROM rel),
+        counted AS (SELECT i.t, l.q, count(DISTINCT l.v) AS value FROM instants i JOIN live l ON l.f <= i.t AND i.t < l.u GROUP BY ALL), {DENSE} SELECT t AS ts, q AS query_id, value FROM kept""",
+    "transitive_over_time": f"""{CLOSURE}, reached AS (SELECT *, max(u) OVER (PARTITION BY q, v ORDER BY f, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM live),
+        numbered AS (SELECT *, count(*) FILTER (high IS NULL OR f > high) OVER (PARTITION BY q, v ORDER BY f, u) AS n FROM reached)
+        SELECT q AS query_id, v AS version_id, min(f) AS valid_from, max(u) AS valid_to FROM numbered GROUP BY q, v, n""",
     "owner_query": """WITH k AS (SELECT s_suppkey AS crate_id FROM supplier WHERE s_nationkey = 3) SELECT unnest([0, 1]) AS query_id, crate_id FROM k""",
     "owner_series": SERIES.replace(PREDICATES, "pred(q, c, a) AS (SELECT 0, s_suppkey, CAST(NULL AS INT) FROM supplier WHERE s_nationkey = 3)") + " SELECT t AS ts, q AS query_id, value FROM kept",
     "chart_points": f"""{SERIES}, seen AS (SELECT *, max(value) OVER (PARTITION BY q ORDER BY t) AS top FROM kept), started AS (SELECT *, lag(value) OVER (PARTITION BY q ORDER BY t) AS was FROM seen WHERE top > 0)
@@ -339,9 +426,27 @@ ORACLE_SQL: dict[str, str] = {
     "event_idle": """WITH e AS (SELECT DISTINCT user_id, ts FROM events), g AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM e)
         SELECT user_id, ts + INTERVAL 6 HOUR AS valid_from, coalesce(next, TIMESTAMP '9999-12-31') AS valid_to FROM g WHERE next IS NULL OR next > ts + INTERVAL 6 HOUR""",
     "semver_matching": f"""WITH {RELEASES}, {DEPENDENCIES}, d0 AS (SELECT DISTINCT op, qa, qb, NULL AS qp, req FROM dep)
-        SELECT DISTINCT d.req AS req_key, r.a || '.' || r.b || '.' || r.p AS num FROM rel r JOIN d0 d ON r.p < 20 AND {FITS}""",
-    "semver_matching_all": f"""WITH {RELEASES}, {DEPENDENCIES}, d0 AS (SELECT DISTINCT op, qa, qb, NULL AS qp, req FROM dep)
         SELECT DISTINCT d.req AS req_key, r.a || '.' || r.b || '.' || r.p AS num FROM rel r JOIN d0 d ON {FITS}""",
+    "semver_matching_all": f"""WITH {RELEASES}, {DEPENDENCIES}, d0 AS (SELECT DISTINCT op, qa, qb, NULL AS qp, req FROM dep)
+        SELECT DISTINCT d.req AS req_key, r.a || '.' || r.b || '.' || r.p AS num, r.a AS major, r.b AS minor, r.p AS patch FROM rel r JOIN d0 d ON {FITS}""",
+    "prerelease_matching": f"""WITH {RELEASES}, x AS (SELECT *, ['^', '>=', '~', '<', '>', '<=', '='][(v % 7 + 1)::INT] AS s FROM rel WHERE pre)
+        SELECT x.v AS asked_by, x.s || x.a || '.' || x.b || '.' || x.p || '-alpha' AS req_key, r.v AS version_id FROM x JOIN rel r ON r.c = x.c AND CASE
+          WHEN r.pre THEN (r.a, r.b, r.p) = (x.a, x.b, x.p) AND x.s NOT IN ('<', '>')
+          WHEN x.s = '^' THEN r.a = x.a AND CASE WHEN x.a > 0 THEN (r.b, r.p) >= (x.b, x.p) WHEN x.b > 0 THEN r.b = x.b AND r.p >= x.p ELSE r.b = x.b AND r.p = x.p END
+          WHEN x.s = '~' THEN r.a = x.a AND r.b = x.b AND r.p >= x.p
+          WHEN x.s IN ('>', '>=') THEN (r.a, r.b, r.p) >= (x.a, x.b, x.p)
+          WHEN x.s IN ('<', '<=') THEN (r.a, r.b, r.p) < (x.a, x.b, x.p) ELSE FALSE END""",
+    "requirement_order": f"""WITH {DEPENDENCIES}, one AS (SELECT req, any_value(op) AS op, any_value(qa) AS qa, any_value(qb) AS qb FROM dep GROUP BY req)
+        SELECT req AS req_key, row_number() OVER (ORDER BY CASE op WHEN 1 THEN -1 WHEN 2 THEN 6 WHEN 3 THEN 6 WHEN 4 THEN 5 WHEN 5 THEN 2 WHEN 6 THEN 3 ELSE 0 END, qa, op = 3, qb) AS place FROM one""",
+    "requirement_texts": """WITH t AS (SELECT DISTINCT CAST(coalesce(floor(l_quantity), 0) AS BIGINT) AS q, (l_partkey % 12)::INT AS k FROM lineitem),
+        tails(k, tail, v, r) AS (VALUES (0, '', FALSE, TRUE), (1, '.0', FALSE, TRUE), (2, '.0.1', TRUE, TRUE), (3, '.01.0', FALSE, FALSE), (4, '.1.2-rc.1', TRUE, TRUE), (5, '.1.2-rc.01', FALSE, FALSE),
+          (6, '.1.2+b.07', TRUE, TRUE), (7, '.*', FALSE, TRUE), (8, '.x.1', FALSE, FALSE), (9, '.18446744073709551615.0', TRUE, TRUE), (10, '.18446744073709551616.0', FALSE, FALSE), (11, '.111111111111111111111.0', FALSE, FALSE))
+        SELECT q || tail AS text, v AS is_version, r AS is_requirement FROM t JOIN tails USING (k)""",
+    "dump_owners": """SELECT arg_min(CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END, c_custkey) AS owner, 'user' AS kind, max(c_custkey) AS owner_id FROM customer GROUP BY lower(c_mktsegment)
+        UNION ALL SELECT 'Org' || n_regionkey || '/' || n_name, 'team', n_nationkey::BIGINT FROM nation WHERE n_nationkey % 4 <> 0""",
+    "dump_features": """WITH i AS (SELECT DISTINCT l_orderkey AS v, l_suppkey AS c, l_linenumber AS n FROM lineitem)
+        SELECT v AS version_id, 'full' AS feature, n = 2 AS weak, CASE WHEN n <= 3 THEN i.c ELSE o_custkey END AS to_crate, CASE n WHEN 1 THEN 'x' WHEN 2 THEN 'y' WHEN 3 THEN 'z' ELSE 'own' END AS to_feature FROM i JOIN orders ON o_orderkey = v
+        UNION ALL SELECT DISTINCT v, 'none', NULL, NULL, NULL FROM i JOIN orders ON o_orderkey = v""",
     "resolve_requirements_over_time": f"WITH {RELEASES}, {DEPENDENCIES}, {RESOLVED} SELECT c AS crate_id, req AS req_key, v AS version_id, f AS valid_from, u AS valid_to FROM res",
     "direct_edges_over_time": f"""WITH {RELEASES}, {DEPENDENCIES}, {RESOLVED}
         SELECT d.v AS src, res.v AS dst, f AS valid_from, u AS valid_to FROM (SELECT DISTINCT v, c, req FROM dep) d JOIN res ON res.c = d.c AND res.req = d.req""",

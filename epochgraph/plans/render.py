@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..operators import series
 
-#: Series with more points are thinned for the page only: steps that no screen can tell apart.
-MAX_POINTS = 20_000
+#: Of series with more points the page draws, for each of so many equal spans of time, the first, least, greatest and last one.
+MAX_POINTS, SPANS = 20_000, 4_000
 TITLES = {
     (False, False): "number of packages depending directly",
     (False, True): "number of packages depending transitively",
@@ -55,12 +55,23 @@ def first_releases(releases: DataFrame) -> DataFrame:
     return releases.groupBy("crate_id").agg(F.min("created_at").alias("ts")).groupBy("ts").agg(F.count("*").alias("n"))
 
 
+def extremes(values: list[list[float]]) -> list[list[float]]:
+    """The points of a long series that a screen can show: no peak and no drop is lost."""
+    ms, v = np.array([p[0] for p in values]), np.array([p[1] for p in values])
+    span = (ms - ms[0]) * SPANS // max(1, ms[-1] - ms[0] + 1)
+    first = np.flatnonzero(np.append(True, span[1:] != span[:-1]))
+    order = np.lexsort((np.arange(len(v)), v, span))  # by value inside a span
+    last = np.append(first[1:], len(v)) - 1
+    keep = np.unique(np.concatenate([first, last, order[first], order[last]]))
+    return [values[i] for i in keep.tolist()]
+
+
 def page(data: dict[int, list[list[float]]], labels: list[str], title: str, relative: bool) -> str:
     """The HTML, with everything it needs inside."""
     lines = [{"name": name, "values": data.get(i, [])} for i, name in enumerate(labels)]
     for line in lines:
-        if (n := len(line["values"])) > MAX_POINTS:
-            line["values"] = [line["values"][int(i)] for i in np.linspace(0, n - 1, MAX_POINTS)]
+        if len(line["values"]) > MAX_POINTS:
+            line["values"] = extremes(line["values"])
     text = json.dumps({"title": title, "relative": relative, "lines": lines}).replace("</", "<\\/")
     return TEMPLATE.replace("/*DATA*/", text)
 

@@ -7,7 +7,6 @@ there by Spark. ``load`` gives the prepared tables; ``save`` and ``open_saved``
 from __future__ import annotations
 
 import tarfile
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, semver
 from .repair import mend
+from .shared import shared_folder
 from .schema import ENABLES, FEATURES, Registry
 from .star import with_requirements
 
@@ -27,6 +27,8 @@ TABLES = {
     "versions": "id BIGINT, crate_id BIGINT, num STRING, created_at TIMESTAMP, features STRING, yanked STRING",
     "dependencies": "id BIGINT, version_id BIGINT, crate_id BIGINT, req STRING, optional STRING, default_features STRING, features STRING, kind INT, explicit_name STRING",
 }
+#: A row's place in its table: in the file for CSV, by the id for Parquet, whose files have no order.
+ORDINAL = "_ordinal"
 #: The dump's numbers for kinds.
 KINDS, OWNER_KINDS = {0: "normal", 1: "build", 2: "dev"}, {0: "user", 1: "team"}
 #: A release that enables a feature of a package that never existed; the feature counts as its own.
@@ -54,12 +56,11 @@ def unpack(spark: SparkSession, path: str, folder: str) -> None:
 def tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The raw tables of an archive (``.tar.gz``), or of a folder with a CSV folder or Parquet file for each."""
     if path.endswith((".tar.gz", ".tgz")):
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-dump-")
-        folder = f"{shared}/dump-{uuid.uuid4().hex}"
+        folder = f"{shared_folder(spark)}/dump-{uuid.uuid4().hex}"
         unpack(spark, path, folder)
         return {t: read_csv(spark, f"{folder}/{t}", t) for t in TABLES}
     parquet = _exists(spark, f"{path}/crates.parquet")
-    return {t: spark.read.parquet(f"{path}/{t}.parquet") if parquet else read_csv(spark, f"{path}/{t}", t) for t in TABLES}
+    return {t: spark.read.parquet(f"{path}/{t}.parquet").withColumn(ORDINAL, F.col(TABLES[t].split(" ")[0]).cast("long")) if parquet else read_csv(spark, f"{path}/{t}", t) for t in TABLES}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -72,7 +73,7 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     options = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": False, "timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS][X]"}
     raw = spark.read.options(**options).csv(path)
     wanted = [c.split(" ") for c in TABLES[table].split(", ")]
-    return raw.select(*((F.col(n) if n in raw.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
+    return raw.withColumn(ORDINAL, F.monotonically_increasing_id()).select(ORDINAL, *((F.col(n) if n in raw.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
 
 
 def _true(column: str) -> Column:
@@ -87,12 +88,18 @@ def _list(column: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """With ``_n``, a row's place; of a table made elsewhere the id."""
+    return df.withColumn("_n", F.col(ORDINAL) if ORDINAL in df.columns else F.col("id"))
+
+
 def owners_of(users: DataFrame, teams: DataFrame) -> DataFrame:
     """(owner, kind, owner_id): of users with one login the last row's id counts, under the first one's spelling."""
-    order = users.withColumn("_n", F.monotonically_increasing_id())
+    order = _numbered(users)
     people = order.groupBy(names.user_key(F.col("gh_login")).alias("_key")).agg(F.min_by("gh_login", "_n").alias("owner"), F.max_by("id", "_n").alias("owner_id")).select("owner", F.lit("user").alias("kind"), "owner_id")
     rest = F.expr("substr(login, 8)")
-    groups = teams.filter(F.col("login").startswith("github:") & F.contains(rest, F.lit(":"))).withColumn("_n", F.monotonically_increasing_id())
+    groups = teams.filter(F.col("login").startswith("github:") & F.contains(rest, F.lit(":")))
+    groups = _numbered(groups)
     groups = groups.withColumn("_name", F.translate(rest, ":", "/"))
     groups = groups.groupBy(names.user_key(F.col("_name")).alias("_key")).agg(F.min_by("_name", "_n").alias("owner"), F.max_by("id", "_n").alias("owner_id")).select("owner", F.lit("team").alias("kind"), "owner_id")
     return people.unionByName(groups)
@@ -123,15 +130,22 @@ def features_of(versions: DataFrame, dependencies: DataFrame, packages: DataFram
     return per.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("feature", "enables", "weak_enables"))).cast(FEATURES).alias("features"))
 
 
+def _version() -> Column:
+    """The release's version; a number that is none fails the job and is named."""
+    ver = semver.version(F.col("num"))
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("release"), F.col("id").cast("string"), F.lit("has a wrong version number:"), F.coalesce("num", F.lit("none"))))
+    return F.when(ver.isNull(), wrong).otherwise(ver)
+
+
 def registry_of(raw: dict[str, DataFrame]) -> Registry:
     """Prepared tables from raw ones: yanked releases dropped, names resolved, known gaps mended."""
     spark = raw["crates"].sparkSession
     packages = raw["crates"].select(F.col("id").alias("crate_id"), "name")
-    versions = raw["versions"].withColumn("load_ord", F.monotonically_increasing_id()).filter(~_true("yanked"))
+    versions = _numbered(raw["versions"]).withColumnRenamed("_n", "load_ord").filter(~_true("yanked"))
     dependencies = raw["dependencies"]
     packages, minted = mend.packages(packages)
     features = features_of(versions, dependencies, packages)
-    releases = versions.select(F.col("id").alias("version_id"), "crate_id", "num", semver.version(F.col("num")).alias("ver"), "created_at", "load_ord").join(features, "version_id", "left")
+    releases = versions.select(F.col("id").alias("version_id"), "crate_id", "num", _version().alias("ver"), "created_at", "load_ord").join(features, "version_id", "left")
     releases = releases.withColumn("features", F.coalesce("features", F.array().cast(FEATURES)))
     named = dependencies.join(packages.select("crate_id", F.col("name").alias("_name")), "crate_id", "left")
     wanted = _list(F.col("features").cast("string")) if dict(dependencies.dtypes)["features"] == "string" else F.coalesce("features", F.array().cast("array<string>"))

@@ -43,7 +43,8 @@ def releases(spark: SparkSession, sf_dir: str, features: bool = True) -> DataFra
 
 
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").filter("l_quantity = floor(l_quantity)").select("l_orderkey", "l_suppkey", "l_linenumber", F.expr("CAST(l_quantity AS INT) % 3").alias("a"), F.expr("CAST(l_quantity AS INT) % 5").alias("b"), "l_returnflag", "l_linestatus", (F.col("l_tax") >= 0.04).alias("optional"), (F.col("l_discount") < 0.05).alias("defaults"), (F.col("l_discount") >= 0.08).alias("extra"))
+    """A requirement's numbers come from the whole part of the quantity; none counts as 0."""
+    rows = _table(spark, sf_dir, "lineitem").withColumn("_q", F.coalesce(F.floor("l_quantity"), F.lit(0)).cast("int")).select("l_orderkey", "l_suppkey", "l_linenumber", F.expr("_q % 3").alias("a"), F.expr("_q % 5").alias("b"), "l_returnflag", "l_linestatus", (F.col("l_tax") >= 0.04).alias("optional"), (F.col("l_discount") < 0.05).alias("defaults"), (F.col("l_discount") >= 0.08).alias("extra"))
     rows = rows.distinct()
     text = F.expr("""CASE l_linenumber WHEN 1 THEN '*' WHEN 2 THEN concat('^', a) WHEN 3 THEN concat('^', a, '.', b) WHEN 4 THEN concat('~', a, '.', b)
         WHEN 5 THEN concat('>=', a, '.', b, '.0') WHEN 6 THEN concat('<', a, '.', b, '.0') ELSE concat('=', a, '.', b) END""")

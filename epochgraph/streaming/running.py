@@ -1,7 +1,8 @@
 """The changing parts as streams: which release is each package's latest, and counts from change logs.
 
 Releases arrive as a stream; each micro-batch folds into one row of state for each package, kept as a Parquet table under a version
-number that only grows, so that a batch that is run again gives the same result.
+number that only grows, so that a batch that is run again gives the same result. A batch starts from the last version before its own; two
+versions are kept.
 """
 
 from __future__ import annotations
@@ -20,19 +21,27 @@ class LatestReleases:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _state(self, batch: int) -> DataFrame | None:
-        path = f"{self.folder}/state/batch={batch}"
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return None
-        return self.spark.read.parquet(path)
+    def _path(self, batch: int | None = None):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state" + ("" if batch is None else f"/batch={batch}"))
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        """The batches whose state was written whole."""
+        at, system = self._path()
+        if not system.exists(at):
+            return []
+        found = [s.getPath() for s in system.listStatus(at)]
+        done = [p for p in found if system.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName().removeprefix("batch=")) for p in done)
 
     def fold(self, releases: DataFrame, batch: int) -> None:
         rank = F.struct(F.col("ver.pre_empty").alias("stable"), "created_at", "version_id")
         fresh = releases.groupBy("crate_id").agg(F.max(rank).alias("rank"))
-        before = self._state(batch - 1)
-        if before is None:
-            before = fresh.limit(0)
+        versions = self._versions()
+        earlier = [v for v in versions if v < batch]
+        if batch and not earlier:
+            raise RuntimeError(f"batch {batch}: the state of the batches before it is missing")
+        before = self.spark.read.parquet(f"{self.folder}/state/batch={earlier[-1]}") if earlier else fresh.limit(0)
         both = before.withColumnRenamed("rank", "old").join(fresh, "crate_id", "full_outer")
         folded = both.withColumn("new", F.when(F.col("old").isNull() | (F.col("rank") > F.col("old")), F.col("rank")).otherwise(F.col("old"))).persist()
         folded.select("crate_id", F.col("new").alias("rank")).write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch}")
@@ -41,6 +50,9 @@ class LatestReleases:
         rows = moved.select("crate_id", F.col("new.created_at").alias("created_at"), F.explode(steps).alias("s")).filter("s.r IS NOT NULL")
         rows.select("crate_id", F.col("s.r.version_id").alias("version_id"), "created_at", F.col("s.diff").alias("diff")).write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch}")
         folded.unpersist()
+        for version in earlier[:-1]:  # a batch that is run again needs the one before it
+            at, system = self._path(version)
+            system.delete(at, True)
 
     def start(self, stream: DataFrame, available_now: bool = True) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.fold).option("checkpointLocation", f"{self.folder}/checkpoint")

@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 import __spark_entry__ as entry  # noqa: E402
 from epochgraph.plans import queries as core  # noqa: E402
 
-SQL = core.ORACLE_SQL | {"transitive_series": core.TRANSITIVE_SERIES_SQL}
+SQL = core.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")

@@ -1,5 +1,6 @@
 """Streams against the batch answer."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from support import SF
@@ -20,6 +21,12 @@ def test_latest_releases(spark, tmp_path):
     assert now == {r["version_id"] for r in graph.recent(releases).filter("valid_to > '9999-01-01'").collect()}
     latest.fold(spark.read.parquet(str(tmp_path / "in")).limit(0), 9)
     assert latest.changes().filter("batch = 9").count() == 0
+    state = lambda n: {tuple(r) for r in spark.read.parquet(str(tmp_path / f"out/state/batch={n}")).select("crate_id", "rank.version_id").collect()}
+    assert {v for _, v in state(9)} == now and len(list(tmp_path.glob("out/state/batch=*"))) == 2
+    latest.fold(releases.limit(1).withColumn("created_at", F.lit("2030-01-01").cast("timestamp")), 12)
+    assert len(state(12)) == len(state(9)) and len(state(12) - state(9)) <= 1
+    with pytest.raises(RuntimeError, match="missing"):
+        LatestReleases(spark, str(tmp_path / "new")).fold(releases, 5)
 
 
 def test_windowed_changes(spark, tmp_path):
