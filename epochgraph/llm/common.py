@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..sources.shared import durable
 
 #: Bytes of text that one vectorised step works on.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

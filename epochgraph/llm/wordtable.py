@@ -8,6 +8,7 @@ identify a word.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 
@@ -145,6 +146,7 @@ class Ragged:
         return self.flat[np.arange(total) + np.repeat(self.start[index] - (ends - counts), counts)], counts
 
 
+@lru_cache(maxsize=4)  # tables of one worker share them
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1

@@ -133,3 +133,11 @@ def test_bounds_lose_nothing():
     i, j = vectors.linked(a, b, 0.93)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(unit(a) @ unit(b).T >= 0.93)), strict=True)) and len(i) > 20
+
+
+def test_long_fingerprint(spark):
+    """A text of several blocks: shingles across their bounds count."""
+    rnd = random.Random(9)
+    text = " ".join(f"W{rnd.randrange(5000)}é" for _ in range(120_000))
+    (row,) = simhash.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(simhash.hex_digits("fp").alias("fp")).collect()
+    assert row["fp"] == f"{fingerprint(text):016x}"

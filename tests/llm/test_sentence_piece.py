@@ -67,3 +67,14 @@ def test_unigram():
     for _ in range(200):
         word = "▁" + "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 9)))
         assert sum(pieces.get(p, unknown) for p in machine.path(word)) == pytest.approx(best(word), abs=1e-4)
+
+
+def test_long_text(library, spark):
+    """A text of several blocks, encoded and decoded."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeé日🙂.,") for _ in range(rnd.randrange(1, 9))) for _ in range(4000)]
+    text = " ".join(rnd.choice(words) + rnd.choice(["", "", "\n", "  "]) for _ in range(150_000))
+    (row,) = sp.encoded(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
+    assert row["ids"] == library.encode(text)
+    (trip,) = sp.round_trips(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
+    assert trip["round_trip"] and trip["decoded_bytes"] == len(text.encode())
