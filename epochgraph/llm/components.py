@@ -39,16 +39,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), *hashed).first())
 
 
-def first_of_groups(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def first_of_groups(docs: DataFrame, hashed: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that come first in their group, by id and then by the text's hash.
 
-    ``named`` (id, text_hash, group) has a row for each row of ``docs`` that has an id; text_hash is ``xxhash64`` of the text. Of rows
-    with one id and text one stays, the one whose row hashes to the least. Rows without an id all stay. What goes is told
-    by id and hash alone, so while it can be broadcast no text is shuffled but those of repeated rows.
+    ``hashed`` (id, text_hash) has a row for each row of ``docs`` that has an id; text_hash is ``xxhash64`` of the text. ``first`` has
+    for each group the struct (id, text_hash) that stays. Of rows with one id and text one stays, the one whose row hashes to the
+    least. Rows without an id all stay. What goes is told by id and hash alone, so while it can be broadcast no text is shuffled but
+    those of repeated rows.
     """
-    first = named.groupBy("group").agg(F.min(F.struct(id_col, "text_hash")).alias("first"))
     keep = first.select(F.col(f"first.{id_col}").alias("_id"), F.col("first.text_hash").alias("_hash"), F.lit(True).alias("_kept"))
-    rows = named.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n"))
+    rows = hashed.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n"))
     moved = checkpointed(rows.join(keep, ["_id", "_hash"], "left").filter("_kept IS NULL OR _n > 1"))
     if moved.count() <= BROADCAST_ROWS:
         moved = F.broadcast(moved)

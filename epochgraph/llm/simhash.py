@@ -224,7 +224,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows with one id and text one stays. Rows without an id can't stand for a group and all stay.
     """
     found = groups(docs, id_col, text_col, width).filter(F.col(id_col).isNotNull())
-    return first_of_groups(docs, found.select(id_col, "text_hash", F.col("group_fp").alias("group")), id_col, text_col)
+    first = found.groupBy("group_fp").agg(F.min(F.struct(id_col, "text_hash")).alias("first"))
+    return first_of_groups(docs, found.select(id_col, "text_hash"), first, id_col, text_col)
 
 
 def hex_digits(fp):
