@@ -47,6 +47,26 @@ def test_near_copies(spark):
     assert len(want) < len(texts) // 2
 
 
+def test_large_groups_are_cut(spark):
+    """A group of near copies far larger than what one task compares is found whole, and no task compares more."""
+    rng = random.Random(12)
+    texts = []
+    for size in (70, 30, 1, 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(size):
+            own = list(words)
+            own[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near.one_of_each(docs, hot_key=16).collect()} == kept(texts) == {0, 70, 100, 101}
+    routed = spark.createDataFrame([(1, x, 70) for x in range(70)] + [(2, x, 16) for x in range(16)], "key long, node long, n long")
+    tiles = {}
+    for r in near.tiled(routed, 16).collect():
+        tiles.setdefault(r["key"], set()).add(r["node"])
+    assert tiles[2] == set(range(16)) and max(map(len, tiles.values())) < 70
+    assert all(any({a, b} <= t for t in tiles.values()) for a in range(70) for b in range(a))
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (3, "A b c d e f"), (4, "other text")]
     found = corpus_pipeline.thin(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
