@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, packing, quality, sentence_piece, simhash, token_count, transport, url_rules, vectors
+from . import chat, language, merkle, packing, quality, sentence_piece, sharding, simhash, token_count, transport, trie, url_rules, vectors
 
 WORDS = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -58,6 +58,18 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placements(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_piece": op1_sentence_piece,
     "op2_token_counts": op2_token_counts,
@@ -69,9 +81,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_transport_streams": op9_transport_streams,
     "op10_url_rules": op10_url_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sharding": op12_sharding,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.ORACLE_SQL,
     "op10_url_rules": url_rules.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_prefix_trie": trie.ORACLE_SQL,
 }
