@@ -14,49 +14,46 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .places import placed
 from .sql import CRC_TABLE, crc32_sql
 
 #: Turns in a subtrie beyond which it is divided, and about as many as a bucket gets (some 200 bytes each in a task).
 TURNS_IN_TASK = 200_000
-#: Conversation ids that are made one text at a time.
-IDS_IN_RUN = 4_096
+#: Ids that agree but for so many low bits are made one text at a time.
+RUN_BITS = 12
 NODES = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 TOPS = f"{NODES}, parent string"
 EMPTY = sha256(b"").hexdigest()
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, place, turn struct<d, n>): a turn's digest and the code points of its text, by place from 0.
+    """(conv_id, turns array<struct<d, n>>): the digest of each turn and the code points of its text, in order.
 
     Turns stand in the order of ``turn``, null first, and ties in that of their digests; a null role or text is empty; rows
-    without conv_id belong to no conversation. A conversation of any length is placed by several tasks.
+    without conv_id belong to no conversation. A conversation comes together in one row, at 24 bytes a turn however long its texts.
     """
     role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
     whole = F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text)
     digest = F.unhex(F.substring(F.sha2(whole, 256), 1, 32))
-    rows = conversations.filter("conv_id IS NOT NULL").select("conv_id", F.col("turn").alias("at"), digest.alias("d"), F.char_length(text).cast("long").alias("n"))
-    return placed(rows, ["conv_id"], ["at", "d"]).select("conv_id", "place", F.struct("d", "n").alias("turn"), "total")
+    rows = conversations.filter("conv_id IS NOT NULL").select("conv_id", F.struct(F.col("turn").alias("at"), digest.alias("d"), F.char_length(text).cast("long").alias("n")).alias("t"))
+    turns = F.array_sort(F.collect_list("t"))
+    return rows.groupBy("conv_id").agg(F.transform(turns, lambda t: F.struct(t["d"].alias("d"), t["n"].alias("n"))).alias("turns"))
 
 
-def rebuilt(turns: DataFrame, block: int = 100, most: int = 6) -> DataFrame:
-    """(conv_id, turns array): the first h turns of the block's first conversation, then the own ones after the first h.
+def rebuilt(conversations: DataFrame, block: int = 100, most: int = 6) -> DataFrame:
+    """(conv_id, turns): the first h turns of the block's first conversation, if there is one, then the own ones after the first h.
 
-    h is the CRC-32 of the id modulo ``most``. A conversation's digests, 24 bytes a turn, come together in one row.
+    h is the CRC-32 of the id modulo ``most``.
     """
-    h = F.crc32(F.col("conv_id").cast("string")) % most
-    own = turns.withColumn("h", h)
-    lead = turns.filter((F.col("conv_id") % block == 0) & (F.col("place") < most - 1)).select(F.col("conv_id").alias("lead"), "place", "turn")
-    asking = turns.filter("place = 0").select("conv_id", (F.col("conv_id") - F.col("conv_id") % block).alias("lead"), h.alias("h"))
-    taken = asking.join(lead, "lead").filter("place < h").select("conv_id", F.lit(0).alias("part"), "place", "turn")
-    kept = own.filter("place >= h").select("conv_id", F.lit(1).alias("part"), "place", "turn")
-    none = asking.select("conv_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("place"), F.lit(None).alias("turn"))
-    rows = taken.unionByName(kept).unionByName(none).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "place", "turn"))).alias("rows"))
-    return rows.select("conv_id", F.transform(F.filter("rows", lambda r: r["part"] < 2), lambda r: r["turn"]).alias("turns"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % most).cast("int")
+    lead = conversations.filter(F.col("conv_id") % block == 0).select(F.col("conv_id").alias("lead"), F.slice("turns", 1, most - 1).alias("first"))
+    both = conversations.withColumn("lead", F.col("conv_id") - F.col("conv_id") % block).join(lead, "lead", "left")
+    taken = F.slice(F.coalesce("first", F.slice("turns", 1, 0)), F.lit(1), h)
+    kept = F.slice("turns", h + 1, F.greatest(F.size("turns"), F.lit(1)))
+    return both.select("conv_id", F.concat(taken, kept).alias("turns"))
 
 
 def _key(turns: Column) -> Column:
@@ -65,12 +62,17 @@ def _key(turns: Column) -> Column:
 
 
 def id_digests(members: DataFrame) -> DataFrame:
-    """(key, ends_sha256) from (key, conv_id): the SHA-256 of each key's ids in ascending order, comma-joined.
+    """(key, ends_sha256) from distinct (key, conv_id): the SHA-256 of each key's ids in ascending order, comma-joined.
 
-    Ids are joined in runs by many tasks; a digest is sequential, so one task reads a key's runs, one at a time.
+    Ids are joined in runs by their upper bits, so a key with very many is the work of many tasks. A digest is sequential, so where a
+    key has several runs one task reads them, one at a time.
     """
-    runs = placed(members.select("key", "conv_id"), ["key"], ["conv_id"])
-    runs = runs.groupBy("key", F.expr(f"place div {IDS_IN_RUN}").alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda i: i.cast("string")), ",").alias("ids"))
+    run = F.shiftright("conv_id", RUN_BITS)
+    texts = F.transform(F.array_sort(F.collect_list("conv_id")), lambda i: i.cast("string"))
+    runs = members.groupBy("key", run.alias("run")).agg(F.array_join(texts, ",").alias("ids"))
+    parts = F.count("*").over(Window.partitionBy("key"))
+    runs = runs.withColumn("parts", parts)
+    single = runs.filter("parts = 1").select("key", F.sha2("ids", 256).alias("ends_sha256"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, sha256()
@@ -89,7 +91,8 @@ def id_digests(members: DataFrame) -> DataFrame:
         if key is not None:
             yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([state.hexdigest()])], ["key", "ends_sha256"])
 
-    return runs.repartition("key").sortWithinPartitions("key", "run").mapInArrow(digests, "key string, ends_sha256 string")
+    several = runs.filter("parts > 1").repartition("key").sortWithinPartitions("key", "run").select("key", "ids")
+    return single.unionByName(several.mapInArrow(digests, "key string, ends_sha256 string"))
 
 
 class Node:
@@ -199,8 +202,8 @@ def nodes_of(conversations: DataFrame, most: int = TURNS_IN_TASK) -> DataFrame:
                              (F.col("saved_tokens") + (F.col("n_convs") - 1) * chars).alias("saved_tokens"), F.when(F.col("here"), F.col("ends_sha256")).otherwise(EMPTY).alias("ends_sha256"), F.when(F.col("depth") == F.col("k"), F.col("parent")).alias("parent"))
         out.append(chain.filter("parent IS NULL"))
         tops = tops.unionByName(chain.filter("parent IS NOT NULL"))
-    root = checkpointed(_summed(tops.filter("parent = ''"), turnless, ""))
-    keys.append(root.select(F.lit("").alias("key"), "conv_id"))
+    root = checkpointed(_summed(tops.filter("parent = ''"), turnless))
+    keys.append(root.select(F.col("at").alias("key"), "conv_id"))
     named = keys[0]
     for more in keys[1:]:
         named = named.unionByName(more)
@@ -213,7 +216,7 @@ def nodes_of(conversations: DataFrame, most: int = TURNS_IN_TASK) -> DataFrame:
     return nodes
 
 
-def _summed(tops: DataFrame, ending: DataFrame, at: str | None = None) -> DataFrame:
+def _summed(tops: DataFrame, ending: DataFrame) -> DataFrame:
     """What the children of branches, and the conversations that end there, add up to."""
     children = tops.select(F.col("parent").alias("at"), "conv_id", "n_convs", F.lit(1).cast("long").alias("n_children"), "n_leaves", F.col("saved_tokens").alias("saved"), F.lit(None).cast("string").alias("ends"))
     zero = F.lit(0).cast("long")

@@ -83,7 +83,7 @@ def test_chains_and_ends(spark):
 
 
 def test_ids_in_runs(spark, monkeypatch):
-    monkeypatch.setattr(trie, "IDS_IN_RUN", 3)
+    monkeypatch.setattr(trie, "RUN_BITS", 2)
     df = spark.range(100).select(F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("key"), F.col("id").alias("conv_id"))
     found = {r["key"]: r.ends_sha256 for r in trie.id_digests(df).collect()}
     assert found == {k: sha256(",".join(str(i) for i in range(100) if (i % 10 == 0) == (k == "few")).encode()).hexdigest() for k in ("few", "many")}
