@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--title", help=argparse.SUPPRESS)
     p.add_argument("--transitive", action="store_true", help="count transitive dependencies too, not just direct ones")
     p.add_argument("--save", metavar="FOLDER", help="also write the prepared tables as Parquet")
+    p.add_argument("--lines", metavar="FOLDER", help="also write the lines as text files, in parallel")
     p.add_argument("--open", action="store_true", help="open the chart in a browser")
     p.add_argument("queries", nargs="+", metavar="QUERIES", type=_query)
     return p
@@ -64,14 +65,18 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     try:
         found = counts.over_time(registry, opt.queries, opt.transitive, opt.exclude, opt.relative).persist()
         terminal = sys.stdout.isatty()
-        text = counts.lines(found, len(opt.queries), opt.relative, head=10 if terminal else None)
     except query.QueryError as e:
         print(e, file=sys.stderr)
         return 1
+    printed = 0
+    for line in counts.lines(found, len(opt.queries), opt.relative, head=10 if terminal else None):
+        print(line)
+        printed += 1
     log.info("query time: %.2f s", time.monotonic() - began)
-    print(*text, sep="\n")
+    if opt.lines:
+        counts.write_lines(found, len(opt.queries), opt.lines, opt.relative)
     if terminal or opt.open:
-        if not text:
+        if not printed:
             print("zero results", file=sys.stderr)
         else:
             releases = prepare.exclude(registry, opt.exclude).releases if opt.relative else None

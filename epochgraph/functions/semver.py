@@ -151,6 +151,53 @@ def matches(req: Column, v: Column) -> Column:
     return F.forall(req, lambda c: comparator_matches(c, v)) & (v["pre_empty"] | names_pre)
 
 
+def names_prerelease(req: Column) -> Column:
+    """Whether a requirement can take prereleases at all."""
+    return F.exists(req, lambda c: ~c["pre_empty"])
+
+
+def version_key(major: Column, minor: Column, patch: Column) -> Column:
+    """A text that orders as the three numbers do."""
+    return F.concat(*(F.lpad(n.cast(NUMBER).cast("string"), 20, "0") for n in (major, minor, patch)))
+
+
+def stable_range(req: Column) -> Column:
+    """struct<low, high>: the stable versions that a requirement takes are those with ``low <= version_key < high``; none if low >= high.
+
+    Each comparator is such a range, so all of them together are the greatest low and the least high end. A prerelease in a comparator
+    stands before its numbers, so among stable versions it is as if it weren't there, but that nothing equals it and that the numbers
+    themselves are above it.
+    """
+    zero = F.lit(0).cast(NUMBER)
+    top = F.lit("~")  # after all digits
+
+    def one(c: Column) -> Column:
+        op, major, minor, patch, stable = c["op"], c["major"], c["minor"], c["patch"], c["pre_empty"]
+        least = version_key(major, F.coalesce(minor, zero), F.coalesce(patch, zero))
+        # the first version after those that share the parts given
+        after = F.when(minor.isNull(), version_key(major + 1, zero, zero)).when(patch.isNull(), version_key(major, minor + 1, zero)).otherwise(version_key(major, minor, patch + 1))
+        tilde = F.when(minor.isNull(), version_key(major + 1, zero, zero)).otherwise(version_key(major, minor + 1, zero))
+        caret = F.when((major > 0) | minor.isNull(), version_key(major + 1, zero, zero)).when((minor > 0) | patch.isNull(), version_key(major, minor + 1, zero)).otherwise(version_key(major, minor, patch + 1))
+        low = F.when(op.isin("less", "less_eq"), "").when(op == "greater", F.when(stable, after).otherwise(least)).otherwise(least)
+        high = (
+            F.when(op.isin("greater", "greater_eq"), top)
+            .when(op == "less", least)
+            .when(op.isin("exact", "wildcard"), F.when(stable, after).otherwise(least))
+            .when(op == "less_eq", F.when(stable, after).otherwise(least))
+            .when(op == "tilde", tilde)
+            .otherwise(caret)
+        )
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    whole = F.struct(F.lit("").alias("low"), top.alias("high"))
+
+    def both(a: Column, c: Column) -> Column:
+        b = one(c)
+        return F.struct(F.greatest(a["low"], b["low"]).alias("low"), F.least(a["high"], b["high"]).alias("high"))
+
+    return F.aggregate(req, whole, both)
+
+
 def next_incompatible(v: Column) -> Column:
     """The least version number that a caret on ``v`` excludes."""
     zero = F.lit(0)
@@ -165,7 +212,7 @@ def caret_on(v: Column) -> Column:
 
 
 def clamped(req: Column, greatest: Column) -> Column:
-    """A requirement that would take the next incompatible version becomes a caret on the greatest one; null if there is none yet."""
+    """A requirement that would take the next incompatible version becomes a caret on the greatest one; as it is if there is none yet."""
     return F.when(greatest.isNotNull() & matches(req, next_incompatible(greatest)), caret_on(greatest)).otherwise(req)
 
 

@@ -6,12 +6,16 @@ results carry validity intervals.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import semver
 from ..sources.shared import durable
-from .temporal import FROM, TO, coalesce_intervals, interval_join, running_max_intervals, since, subtract_intervals
+from .temporal import FROM, TO, coalesce_intervals, forever, interval_join, running_max_intervals, since, subtract_intervals
 
 #: Names of the features that every release has: the package itself, and its defaults.
 PACKAGE, DEFAULT = "", "default"
@@ -21,15 +25,63 @@ MAX_ROUNDS = 65_535
 MERGE_ROUNDS = 8
 #: Rows of a round (some 60 bytes each) up to which they are broadcast.
 FEW = 100_000
+#: Places over which the edges to one node are spread.
+SALTS = 16
+#: Distinct sets of declared features whose paths a task remembers.
+SHAPES = 10_000
 
 
 def resolved(dependencies: DataFrame, releases: DataFrame) -> DataFrame:
-    """(crate_id, req_key, version_id, interval): the greatest matching release as time goes on."""
-    wanted = dependencies.groupBy("crate_id", "req_key").agg(F.first("req").alias("req"))
+    """(crate_id, req_key, version_id, interval): the greatest matching release as time goes on.
+
+    A requirement that can't take prereleases is a range of stable versions, answered by ``swept``. The others, which are few, are
+    compared with the releases of their package one by one.
+    """
+    wanted = dependencies.groupBy("crate_id", "req_key").agg(F.first("req").alias("req")).withColumn("_pre", semver.names_prerelease(F.col("req")))
+    wanted = wanted.withColumn("_pre", F.coalesce("_pre", F.lit(False)))
+    stable = swept(wanted.filter("NOT _pre"), releases)
     offered = releases.select("crate_id", "created_at", F.struct("ver", "version_id").alias("best"))
-    fitting = wanted.join(offered, "crate_id").filter(semver.matches(F.col("req"), F.col("best.ver")))
+    fitting = wanted.filter("_pre").join(offered, "crate_id").filter(semver.matches(F.col("req"), F.col("best.ver")))
     best = running_max_intervals(fitting, ["crate_id", "req_key"], "best", "created_at")
-    return best.select("crate_id", "req_key", F.col("best.version_id").alias("version_id"), FROM, TO)
+    return stable.unionByName(best.select("crate_id", "req_key", F.col("best.version_id").alias("version_id"), FROM, TO))
+
+
+def swept(wanted: DataFrame, releases: DataFrame) -> DataFrame:
+    """(crate_id, req_key, version_id, interval) for requirements (crate_id, req_key, req) by their ranges of stable versions.
+
+    A package's stable releases, sorted by version, are each linked to the nearest lesser version that came out earlier. The greatest
+    release of a range, and the links from it on as long as they stay inside, are all that the requirement ever resolved to, latest
+    first; so work is in proportion to releases, requirements and results, not to their pairs. Spark deals out and sorts by package; a
+    task holds one package's releases at a time, some 150 bytes each.
+    """
+    number = F.col("ver")
+    offered = releases.filter("ver.pre_empty").select("crate_id", F.lit(0).alias("kind"), semver.version_key(number["major"], number["minor"], number["patch"]).alias("low"), F.lit("").alias("high"), F.lit("").alias("req_key"), "ver", "version_id", F.unix_micros("created_at").alias("at"))
+    reach = wanted.filter("crate_id IS NOT NULL").select("crate_id", "req_key", semver.stable_range(F.col("req")).alias("r")).filter("r.low < r.high")
+    asked = reach.select("crate_id", F.lit(1).alias("kind"), "r.low", "r.high", "req_key", F.lit(None).cast(semver.VERSION).alias("ver"), F.lit(None).cast("long").alias("version_id"), F.lit(None).cast("long").alias("at"))
+    rows = offered.unionByName(asked).repartition("crate_id").sortWithinPartitions("crate_id", "kind", "ver", "version_id").drop("ver")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        package, keys, times, ids, links = None, [], [], [], []
+        for batch in batches:
+            out = []
+            for crate, kind, low, high, req_key, release, at in zip(*(batch[c].to_pylist() for c in ("crate_id", "kind", "low", "high", "req_key", "version_id", "at")), strict=True):
+                if crate != package:
+                    package, keys, times, ids, links = crate, [], [], [], []
+                if not kind:
+                    link = len(keys) - 1
+                    while link >= 0 and times[link] >= at:
+                        link = links[link]
+                    keys.append(low), times.append(at), ids.append(release), links.append(link)
+                    continue
+                i, until = bisect_left(keys, high) - 1, None
+                while i >= 0 and keys[i] >= low:
+                    out.append((crate, req_key, ids[i], times[i], until))
+                    i, until = links[i], times[i]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["crate_id", "req_key", "version_id", "a", "b"])
+
+    found = rows.mapInArrow(sweep, "crate_id long, req_key string, version_id long, a long, b long")
+    return found.select("crate_id", "req_key", "version_id", F.timestamp_micros("a").alias(FROM), F.coalesce(F.timestamp_micros("b"), forever()).alias(TO))
 
 
 def direct_edges(dependencies: DataFrame, resolutions: DataFrame) -> DataFrame:
@@ -39,8 +91,12 @@ def direct_edges(dependencies: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def recent(releases: DataFrame) -> DataFrame:
-    """(version_id, interval): while a release is its package's latest; any stable one comes before prereleases."""
-    rank = F.struct(F.col("ver.pre_empty").alias("stable"), "created_at", "version_id")
+    """(version_id, interval): while a release is its package's latest; any stable one comes before prereleases.
+
+    Where times were clipped to asked dates, ``published_at`` tells which release came later.
+    """
+    published = "published_at" if "published_at" in releases.columns else "created_at"
+    rank = F.struct(F.col("ver.pre_empty").alias("stable"), F.col(published).alias("published"), "version_id")
     best = running_max_intervals(releases.select("crate_id", "created_at", rank.alias("rank")), ["crate_id"], "rank", "created_at")
     return best.select(F.col("rank.version_id").alias("version_id"), FROM, TO)
 
@@ -99,26 +155,91 @@ def feature_edges(releases: DataFrame, dependencies: DataFrame, resolutions: Dat
     return dependency_edges(dependencies, resolutions).unionByName(own).unionByName(cross_feature_edges(releases, dependencies, resolutions))
 
 
-def reachable(matches: DataFrame, edges: DataFrame) -> DataFrame:
-    """(version_id, feature, query_id, interval): nodes from which a match can be reached, matches included.
+def inner_paths(releases: DataFrame) -> DataFrame:
+    """(version_id, feature, above, since): all features of a release that lead to a feature inside the release, by any number of steps.
 
-    Semi-naive: each round follows edges backwards from what the last round added, less what was known. Intervals are
-    subtracted, so cycles end and a node that is reachable only at times is followed at just these. Edges are dealt by their
-    target once. A round that added few rows broadcasts them, so that it shuffles no edges, and one that meets few known rows subtracts
-    them all; else edges and known rows are met by shuffled joins, of which adaptive execution splits the hot keys.
+    A release's own edges hold from its publication on, so their closure does too. Cycles are features above each other. Only
+    features that any other leads to have a row.
+    """
+    own = F.transform(F.col("features"), lambda f: F.transform(F.filter(f["enables"], lambda e: e["crate_id"] == F.col("crate_id")), lambda e: F.struct(f["feature"].alias("src"), e["feature"].alias("dst"))))
+    rows = releases.filter("features IS NOT NULL").select("version_id", "created_at", F.flatten(own).alias("own"), "features.feature")
+    plain = rows.filter("size(feature) = 0").select("version_id", F.lit(PACKAGE).alias("feature"), F.array(F.lit(DEFAULT)).alias("above"), F.col("created_at").alias("since"))
+    shaped = rows.filter("size(feature) > 0").select("version_id", "created_at", F.col("own.src").alias("src"), F.col("own.dst").alias("dst"), "feature")
+
+    def paths(src: list[str], dst: list[str], declared: list[str]) -> dict[str, list[str]]:
+        below: dict[str, set[str]] = {DEFAULT: {PACKAGE}}
+        for f in declared:
+            below.setdefault(f, set()).add(PACKAGE)
+        for a, b in zip(src, dst, strict=True):
+            below.setdefault(a, set()).add(b)
+        above: dict[str, list[str]] = {}
+        for start in below:
+            seen, todo = {start}, [start]
+            while todo:
+                for b in below.get(todo.pop(), ()):
+                    if b not in seen:
+                        seen.add(b)
+                        todo.append(b)
+                        above.setdefault(b, []).append(start)
+        return above
+
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, dict[str, list[str]]] = {}  # releases of a package mostly declare the same
+        for batch in batches:
+            ids, names, lists, times = [], [], [], []
+            for i, *shape, at in zip(*(batch[c].to_pylist() for c in ("version_id", "src", "dst", "feature", "at")), strict=True):
+                key = tuple(map(tuple, shape))
+                if key not in known:
+                    if len(known) >= SHAPES:
+                        known.clear()
+                    known[key] = paths(*shape)
+                for name, above in known[key].items():
+                    ids.append(i), names.append(name), lists.append(above), times.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(lists, pa.list_(pa.string())), pa.array(times, pa.int64())], ["version_id", "feature", "above", "at"])
+
+    made = shaped.withColumn("at", F.unix_micros("created_at")).drop("created_at").mapInArrow(closed, "version_id long, feature string, above array<string>, at long")
+    return plain.unionByName(made.select("version_id", "feature", "above", F.timestamp_micros("at").alias("since")))
+
+
+def outer_edges(releases: DataFrame, dependencies: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """The edges between nodes of different releases' dependencies."""
+    return dependency_edges(dependencies, resolutions).unionByName(cross_feature_edges(releases, dependencies, resolutions))
+
+
+def _with_inner(nodes: DataFrame) -> DataFrame:
+    """Rows for nodes (version_id, feature, above, since, interval) and for all those that lead to them inside their release."""
+    own = F.struct("feature", F.col(FROM).alias("start"))
+    more = F.transform(F.coalesce("above", F.array().cast("array<string>")), lambda f: F.struct(f.alias("feature"), F.greatest(F.col(FROM), F.col("since")).alias("start")))
+    each = nodes.withColumn("_n", F.explode(F.concat(F.array(own), F.filter(more, lambda n: (n["feature"] != F.col("feature")) & (n["start"] < F.col(TO))))))
+    return each.select("version_id", F.col("_n.feature").alias("feature"), "query_id", F.col("_n.start").alias(FROM), TO)
+
+
+def reachable(matches: DataFrame, releases: DataFrame, edges: DataFrame) -> DataFrame:
+    """(version_id, feature, query_id, interval): nodes from which a match can be reached, matches included; intervals are disjoint.
+
+    ``edges`` lead from release to release. What a release's own edges add is known before (``inner_paths``) and comes with the node, so
+    a round is one dependency and all that is above it. Semi-naive: each round follows edges backwards from what the last one
+    added, less what was known. Intervals are subtracted, so cycles end and a node that is reachable only at times is followed at just these.
+    Edges are dealt by their target once, hot targets over ``SALTS`` places. A round that added few rows broadcasts them, so that it shuffles no edges, and one
+    that meets few known rows subtracts them all; else edges and known rows are met by shuffled joins, of which adaptive execution
+    splits the hot keys.
     """
     keys = ["version_id", "feature", "query_id"]
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    back = edges.select(F.col("dst_v").alias("version_id"), F.col("dst_f").alias("feature"), "src_v", "src_f", FROM, TO)
-    back = durable(back.repartition(parts, "version_id", "feature"))
-    known = fresh = durable(coalesce_intervals(matches.select("version_id", F.lit(PACKAGE).alias("feature"), "query_id", FROM, TO), keys))
+    inner = durable(inner_paths(releases))
+    back = edges.join(inner.withColumnsRenamed({"version_id": "src_v", "feature": "src_f"}), ["src_v", "src_f"], "left")
+    salt = F.pmod(F.xxhash64("src_v"), F.lit(SALTS))
+    back = back.select(F.col("dst_v").alias("version_id"), F.col("dst_f").alias("feature"), "src_v", "src_f", "above", "since", FROM, TO)
+    back = durable(back.repartition(parts, "version_id", "feature", salt))
+    start = matches.select("version_id", F.lit(PACKAGE).alias("feature"), "query_id", FROM, TO).join(inner, ["version_id", "feature"], "left")
+    known = fresh = durable(coalesce_intervals(_with_inner(start), keys))
     n_known = n_fresh = fresh.count()
     for i in range(MAX_ROUNDS):
         if not n_fresh:
-            return coalesce_intervals(known, keys)
+            return known
         few = F.broadcast(fresh) if n_fresh <= FEW else fresh
-        found = interval_join(back, few, ["version_id", "feature"]).select(F.col("src_v").alias("version_id"), F.col("src_f").alias("feature"), "query_id", FROM, TO)
-        touched = known
+        found = interval_join(back, few, ["version_id", "feature"]).select(F.col("src_v").alias("version_id"), F.col("src_f").alias("feature"), "query_id", "above", "since", FROM, TO)
+        found, touched = _with_inner(found), known
         if n_known > FEW:  # what is known of other keys stays where it is
             found = durable(found)
             touched = known.join(found.select(*keys).distinct(), keys, "left_semi")
@@ -131,6 +252,5 @@ def reachable(matches: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reaching(reached: DataFrame, latest: DataFrame) -> DataFrame:
-    """(version_id, query_id, interval): recent releases of which any feature reaches a match."""
-    nodes = coalesce_intervals(reached.select("version_id", "query_id", FROM, TO), ["version_id", "query_id"])
-    return interval_join(nodes, latest, ["version_id"])
+    """(version_id, query_id, interval): recent releases of which any feature reaches a match, once for each feature."""
+    return interval_join(reached.select("version_id", "query_id", FROM, TO), latest, ["version_id"])

@@ -66,16 +66,41 @@ def chart_points(series: DataFrame, now: Column) -> DataFrame:
 
     Leading zeros and repeats go. A zero stands right before the first value: a second earlier, or at the second's start if
     the time isn't whole. The last value is drawn again at ``now``.
+
+    Each day is summed up by its last and its greatest value, and days hand these on, so that a task orders a query's days or one of
+    its days, never all of its times.
     """
-    order = Window.partitionBy("query_id").orderBy("ts")
-    seen = series.withColumn("_max", F.max("value").over(order)).filter("_max > 0").withColumn("_last", F.lag("value").over(order))
-    points = seen.filter("_last IS NULL OR _last <> value")
+    rows = series.select("query_id", "ts", "value", F.to_date("ts").alias("_day"))
+    days = rows.groupBy("query_id", "_day").agg(F.max_by("value", "ts").alias("_was"), F.max("value").alias("_top"))
+    order = Window.partitionBy("query_id").orderBy("_day")
+    days = days.select("query_id", "_day", F.lag("_was").over(order).alias("_was"), F.max("_top").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_top"))
+    inside = Window.partitionBy("query_id", "_day").orderBy("ts")
+    seen = rows.join(days, ["query_id", "_day"]).withColumns({
+        "_last": F.coalesce(F.lag("value").over(inside), "_was"),
+        "_before": F.greatest(F.max("value").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_top"), F.lit(0)),
+    })
+    points = seen.withColumn("_first", (F.col("_before") <= 0) & (F.col("value") > 0)).filter("_first OR _before > 0 AND _last <> value")
     whole = F.date_trunc("second", "ts")
-    start = points.filter("_last IS NULL").select("query_id", F.greatest(F.when(whole == F.col("ts"), F.col("ts") - F.expr("INTERVAL 1 SECOND")).otherwise(whole), F.lit("1970-01-01 00:00:00").cast("timestamp")).alias("ts"), F.lit(0).cast("long").alias("value"))
+    start = points.filter("_first").select("query_id", F.greatest(F.when(whole == F.col("ts"), F.col("ts") - F.expr("INTERVAL 1 SECOND")).otherwise(whole), F.lit("1970-01-01 00:00:00").cast("timestamp")).alias("ts"), F.lit(0).cast("long").alias("value"))
     last = series.groupBy("query_id").agg(F.max(F.struct("ts", "value")).alias("l")).filter(F.col("l.ts") < now).select("query_id", now.alias("ts"), F.col("l.value").alias("value"))
     return start.unionByName(points.select("query_id", "ts", "value")).unionByName(last)
 
 
+def thinned(points: DataFrame, most: int, spans: int) -> DataFrame:
+    """(query_id, ms, shown) of which series with more than ``most`` points keep, in each of ``spans`` equal spans of time, the first, least, greatest and last one.
+
+    No peak and no drop is lost. All in aggregates; ties in value keep the earliest least and the latest greatest point.
+    """
+    whole = points.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("ms").alias("_from"), F.max("ms").alias("_to"))
+    rows = points.join(whole, "query_id")
+    few = rows.filter(F.col("_n") <= most).select("query_id", "ms", "shown")
+    span = F.expr(f"(ms - _from) * {spans} div (_to - _from + 1)")
+    by_time, by_value = F.struct("ms", "shown"), F.struct("shown", "ms")
+    each = rows.filter(F.col("_n") > most).groupBy("query_id", span.alias("_span")).agg(F.min(by_time).alias("a"), F.max(by_time).alias("b"), F.min(by_value).alias("c"), F.max(by_value).alias("d"))
+    kept = F.array_distinct(F.array(*(F.struct(F.col(c)["ms"].alias("ms"), F.col(c)["shown"].alias("shown")) for c in "abcd")))
+    return few.unionByName(each.select("query_id", F.explode(kept).alias("p")).select("query_id", "p.ms", "p.shown"))
+
+
 def chart_value(value: Column, total: Column | None) -> Column:
     """What a chart shows for a value: itself, or its share of the total; an empty total is 0 and a share of all is drawn as a half."""
     if total is None:

@@ -6,6 +6,8 @@ evaluated instant by instant. The open end is a far timestamp.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +88,40 @@ def subtract_intervals(df: DataFrame, taken: DataFrame, keys: list[str]) -> Data
 def as_of(df: DataFrame, ts: Column) -> DataFrame:
     """The rows that hold at one instant."""
     return df.filter((F.col(FROM) <= ts) & (ts < F.col(TO)))
+
+
+def at_dates(df: DataFrame, dates: Sequence[str]) -> DataFrame:
+    """The rows that hold at each of some dates, with the date as ``as_of``."""
+    each = df.withColumn("as_of", F.explode(F.array(*(F.lit(d).cast("timestamp") for d in dates))))
+    return as_of(each, F.col("as_of"))
+
+
+def clipped(rows: DataFrame, ts: str, dates: Sequence[str]) -> DataFrame:
+    """``rows`` with each time moved to the first of some dates that isn't before it; rows after the last date go.
+
+    What holds at a date depends on what came until then, so an answer asked at these dates alone stays the same, while windows and
+    joins see as many instants as there are dates. Filtered where the rows are read, so the scan skips what is later.
+    """
+    steps = sorted(dates)
+    moved = F.lit(steps[-1]).cast("timestamp")
+    for d in reversed(steps[:-1]):
+        moved = F.when(F.col(ts) <= F.lit(d).cast("timestamp"), F.lit(d).cast("timestamp")).otherwise(moved)
+    return rows.filter(F.col(ts) <= F.lit(steps[-1]).cast("timestamp")).withColumn(ts, moved)
+
+
+def fill_forward(rows: DataFrame, keys: list[str], ts: str, order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` replaced by the greatest one of its keys up to its place, its own included; null where there is none yet.
+
+    A place is ``order``, of which ``ts`` is the first part; rows of one place count together. Values are carried in two levels, from
+    day to day and inside a day, so no task orders more than a key's days or one of its days, and all joins are by equality. ``rows`` are
+    read twice.
+    """
+    day = F.to_date(ts)
+    days = rows.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), day.alias("_d")).agg(F.max(value).alias("_before"))
+    earlier = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_before", F.max("_before").over(earlier))
+    inside = Window.partitionBy(*keys, "_day").orderBy(*order)
+    rows = rows.withColumn("_day", day).withColumn(value, F.max(value).over(inside))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    both = rows.join(days, [*same, F.col("_day") == F.col("_d")])
+    return both.withColumn(value, F.greatest(value, "_before")).drop("_day", "_d", "_before", *(f"_k{i}" for i in range(len(keys))))

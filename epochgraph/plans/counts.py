@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, series
@@ -36,7 +36,7 @@ def dependents(registry: Registry, predicates: DataFrame, transitive: bool = Fal
         return graph.dependents(matches, graph.direct_edges(dependencies, resolutions), latest)
     resolutions = graph.durable(graph.resolved(dependencies, releases))
     direct = graph.dependents(matches, graph.direct_edges(dependencies, resolutions), latest)
-    reached = graph.reachable(matches, graph.feature_edges(releases, dependencies, resolutions))
+    reached = graph.reachable(matches, releases, graph.outer_edges(releases, dependencies, resolutions))
     return direct.select("version_id", "query_id", FROM, TO).unionByName(graph.reaching(reached, latest).select("version_id", "query_id", FROM, TO))
 
 
@@ -53,24 +53,46 @@ def over_time(registry: Registry, queries: Iterable[str], transitive: bool = Fal
     return series.relative(found, registry.releases) if relative else found
 
 
-def lines(found: DataFrame, n_queries: int, relative: bool = False, head: int | None = None) -> list[str]:
-    """The series as text, a line for each time; with ``head`` only so many first and last lines if there are over twice as many."""
-    value = "fraction" if relative else "value"
-    table = series.wide(found, list(range(n_queries)), value).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "values")
-    if head is None:
-        rows, cut = list(table.orderBy("ts").toLocalIterator()), None
-    else:
-        first = table.orderBy("ts").limit(2 * head + 1).collect()
-        rows, cut = first, None
-        if len(first) > 2 * head:
-            rows, cut = first[:head] + table.orderBy(F.desc("ts")).limit(head).collect()[::-1], head
-    out = [f"{_shown(r['ts'])} [{', '.join(_number(v) for v in r['values'])}]" for r in rows]
-    return out if cut is None else [*out[:cut], "...", *out[cut:]]
+def text_lines(found: DataFrame, n_queries: int, relative: bool = False) -> DataFrame:
+    """(ts, line): the series as text, a line for each time with the values in the queries' order, made by the executors."""
+    table = series.wide(found, list(range(n_queries)), "fraction" if relative else "value")
+    shown = F.regexp_replace(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.?0*$", "")
+    values = F.transform("values", lambda v: F.coalesce(shortest(v.cast("float")) if relative else v.cast("string"), F.lit("NaN")))
+    return table.select("ts", F.concat(shown, F.lit(" ["), F.array_join(values, ", "), F.lit("]")).alias("line"))
+
 
+def shortest(value: Column) -> Column:
+    """A single-precision number in the fewest digits that tell it apart: with a point, or with an exponent below 1e-4 and from 1e16 on."""
+    text = value.cast("string")
+    digits = F.regexp_replace(F.regexp_extract(text, r"^-?([0-9.]+)", 1), r"\.0$", "")
+    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    bare = F.regexp_replace(digits, r"\.", "")
+    far = F.concat(digits, F.lit("e"), exponent.cast("string"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), bare)
+    large = F.concat(F.rpad(bare, F.greatest(exponent + 1, F.length(bare)), F.lit("0")), F.lit(".0"))
+    size = F.abs(value)
+    plain = F.when(exponent.isNull(), text).when((size < F.lit(1e-4).cast("float")) | (size >= 1e16), F.concat(sign, far)).when(exponent < 0, F.concat(sign, small)).otherwise(F.concat(sign, large))
+    return F.when(F.isnan(value), "NaN").otherwise(plain)
 
-def _shown(ts: str) -> str:
-    return ts.rstrip("0").rstrip(".") if "." in ts else ts
 
+def write_lines(found: DataFrame, n_queries: int, path: str, relative: bool = False) -> None:
+    """The text of ``lines`` in part files whose names are in the order of time; a re-run replaces them all."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = text_lines(found, n_queries, relative).repartitionByRange(parts, "ts").sortWithinPartitions("ts")
+    rows.select("line").write.mode("overwrite").text(path)
 
-def _number(v: float | int) -> str:
-    return str(v) if isinstance(v, int) else f"{v:.7g}"
+
+def lines(found: DataFrame, n_queries: int, relative: bool = False, head: int | None = None) -> Iterator[str]:
+    """The text's lines, which come to the driver a partition at a time; with ``head`` only so many first and last lines if there are over twice as many."""
+    table = text_lines(found, n_queries, relative)
+    if head is None:
+        yield from (r["line"] for r in table.orderBy("ts").toLocalIterator())
+        return
+    first = table.orderBy("ts").limit(2 * head + 1).collect()
+    if len(first) <= 2 * head:
+        yield from (r["line"] for r in first)
+        return
+    yield from (r["line"] for r in first[:head])
+    yield "..."
+    yield from (r["line"] for r in table.orderBy(F.desc("ts")).limit(head).collect()[::-1])

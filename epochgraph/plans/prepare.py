@@ -6,11 +6,13 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import semver
+from ..operators.temporal import clipped, fill_forward
 from ..sources.schema import Registry
+from ..sources.shared import durable
 
 
 def exclude(registry: Registry, patterns: Sequence[str]) -> Registry:
@@ -33,31 +35,31 @@ def pattern_error(spark: SparkSession, pattern: str) -> str | None:
     return None
 
 
-def greatest_so_far(releases: DataFrame) -> DataFrame:
-    """(crate_id, greatest, pos_from, pos_to): the greatest version ever published, by place in the order of publication.
+def asked_at(registry: Registry, dates: Sequence[str]) -> Registry:
+    """The registry as far as answers at some dates depend on it, to be used after ``clamp``, which judges by the true times.
 
-    A place is (created_at, load_ord). Only the few places at which the greatest changes are kept.
+    Releases after the last date go, their dependencies with them, and each other one counts from the first date that isn't before it;
+    ``published_at`` keeps its time. Every later step then sees at most as many instants as there are dates.
     """
-    order = Window.partitionBy("crate_id").orderBy("pos_from")
-    rows = releases.select("crate_id", F.struct("created_at", "load_ord").alias("pos_from"), "ver")
-    best = rows.withColumn("greatest", F.max("ver").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    best = best.withColumn("_last", F.lag("greatest").over(order)).filter(~F.col("_last").eqNullSafe(F.col("greatest")))
-    return best.select("crate_id", "greatest", "pos_from", F.lead("pos_from", 1).over(order).alias("pos_to"))
+    releases = clipped(registry.releases.withColumn("published_at", F.col("created_at")), "created_at", dates)
+    dependencies = registry.dependencies.join(releases.select("version_id"), "version_id", "left_semi").select(registry.dependencies.columns)
+    return replace(registry, releases=releases, dependencies=dependencies)
 
 
 def clamp(registry: Registry) -> Registry:
     """Requirements that would take any future version are narrowed to what was compatible when their release came out.
 
-    Judged once for each dependency, against the greatest version of its target published by then, its own release included.
-    Dependencies of releases that are gone, or on packages without any release by then, stay as they are.
+    Judged once for each dependency, against the greatest version of its target published by then, its own release included; a place
+    in the order of publication is (created_at, load_ord). Dependencies of releases that are gone, or on packages without any release
+    by then, stay as they are. Publications and the places that are asked about are filled forward together.
     """
-    deps, columns = registry.dependencies, registry.dependencies.columns
-    place = registry.releases.select("version_id", F.struct("created_at", "load_ord").alias("_pos"))
-    spans = greatest_so_far(registry.releases).withColumn("_next", semver.next_incompatible(F.col("greatest"))).withColumnRenamed("crate_id", "_target")
-    inside = (F.col("_pos") >= F.col("pos_from")) & (F.col("pos_to").isNull() | (F.col("_pos") < F.col("pos_to")))
-    rows = deps.join(place, "version_id", "left").join(spans, (F.col("crate_id") == F.col("_target")) & inside, "left")
-    too_wide = F.coalesce(semver.matches(F.col("req"), F.col("_next")), F.lit(False))
-    narrow = F.when(too_wide, semver.caret_on(F.col("greatest"))).otherwise(F.col("req"))
-    rows = rows.withColumn("_req", narrow)
+    deps, columns, releases = registry.dependencies, registry.dependencies.columns, registry.releases
+    places = releases.select("version_id", "created_at", "load_ord")
+    asked = deps.select("version_id", "crate_id").distinct().join(places, "version_id")
+    offered = releases.select(F.lit(None).cast("long").alias("version_id"), "crate_id", "created_at", "load_ord", F.col("ver").alias("greatest"))
+    events = durable(asked.withColumn("greatest", F.lit(None).cast(releases.schema["ver"].dataType)).select(offered.columns).unionByName(offered))
+    known = fill_forward(events, ["crate_id"], "created_at", ["created_at", "load_ord"], "greatest").filter("version_id IS NOT NULL")
+    rows = deps.join(known.select("version_id", "crate_id", "greatest"), ["version_id", "crate_id"], "left")
+    rows = rows.withColumn("_req", semver.clamped(F.col("req"), F.col("greatest")))
     key = F.when(F.col("_req") == F.col("req"), F.col("req_key")).otherwise(semver.requirement_text(F.col("_req")))
     return replace(registry, dependencies=rows.withColumn("req_key", key).withColumn("req", F.col("_req")).select(columns))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import names, semver
 from ..operators import graph, series, temporal
 from ..operators.temporal import FROM, TO
-from ..sources import dump, star
+from ..sources import dump, repair, star
+from ..sources.schema import Registry
 from . import counts, prepare, query
 
 #: One package, one of its major versions, and either of two packages.
@@ -27,8 +28,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _at(df: DataFrame, *columns: str) -> DataFrame:
     """The rows that hold at each of DATES."""
-    dates = F.explode(F.array(*(F.lit(d).cast("timestamp") for d in DATES)))
-    return df.select("*", dates.alias("as_of")).filter((F.col(FROM) <= F.col("as_of")) & (F.col("as_of") < F.col(TO))).select("as_of", *columns).distinct()
+    return temporal.at_dates(df, DATES).select("as_of", *columns).distinct()
+
+
+def _early(spark: SparkSession, sf_dir: str, features: bool = False) -> DataFrame:
+    """Releases as answers at DATES see them."""
+    return temporal.clipped(star.releases(spark, sf_dir, features=features), "created_at", DATES)
 
 
 def running_max_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def resolve_requirements_over_time(spark: SparkSession, sf_dir: str) -> DataFram
 
 def resolve_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At DATES alone."""
-    return _at(resolve_requirements_over_time(spark, sf_dir), "crate_id", "req_key", "version_id")
+    return _at(graph.resolved(star.dependencies(spark, sf_dir), _early(spark, sf_dir)), "crate_id", "req_key", "version_id")
 
 
 def direct_edges_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +57,8 @@ def direct_edges_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def direct_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At DATES alone."""
-    return _at(direct_edges_over_time(spark, sf_dir), "src", "dst")
+    deps = graph.durable(star.dependencies(spark, sf_dir))
+    return _at(graph.direct_edges(deps, graph.resolved(deps, _early(spark, sf_dir))), "src", "dst")
 
 
 def _direct_registry(spark: SparkSession, sf_dir: str):
@@ -113,7 +119,8 @@ def feature_edges_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At DATES alone."""
-    return _at(feature_edges_over_time(spark, sf_dir), "src_v", "src_f", "dst_v", "dst_f")
+    deps, releases = graph.durable(star.dependencies(spark, sf_dir)), _early(spark, sf_dir, features=True)
+    return _at(graph.feature_edges(releases, deps, graph.durable(graph.resolved(deps, releases))), "src_v", "src_f", "dst_v", "dst_f")
 
 
 def transitive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +137,10 @@ def transitive_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transitive_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At DATES alone."""
-    return _at(transitive_over_time(spark, sf_dir), "query_id", "version_id")
+    registry = star.registry(spark, sf_dir)
+    predicates = graph.durable(query.bind(registry, QUERIES_ASKED))
+    registry = prepare.asked_at(counts.prepared(registry, predicates, transitive=True), DATES)
+    return _at(counts.dependents(registry, predicates, transitive=True), "query_id", "version_id")
 
 
 def owner_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,6 +260,59 @@ def dump_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("version_id", F.col("f.feature").alias("feature"), F.explode_outer(flat).alias("e")).select("version_id", "feature", "e.weak", F.col("e.to").alias("to_crate"), "e.to_feature")
 
 
+def _dumped(spark: SparkSession, sf_dir: str) -> Registry:
+    """The whole loader over a dump made from the tables: names, owners, features, yanked releases, known gaps."""
+    return dump.registry_of(star.dump_tables(spark, sf_dir))
+
+
+def dump_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages with those that the dump lacks."""
+    return _dumped(spark, sf_dir).packages
+
+
+def dump_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases that weren't yanked and those that the dump lacks, their place in the semantic order of their package, and what their features enable."""
+    rows = _dumped(spark, sf_dir).releases
+    place = F.row_number().over(Window.partitionBy("crate_id").orderBy("ver", "version_id"))
+    shown = lambda es: F.array_join(F.transform(es, lambda e: F.concat(e["crate_id"].cast("string"), F.lit("/"), e["feature"])), "+")
+    features = F.array_join(F.transform("features", lambda f: F.concat(f["feature"], F.lit("="), shown(f["enables"]), F.lit("?"), shown(f["weak_enables"]))), ";")
+    return rows.select("version_id", "crate_id", "num", "created_at", place.cast("long").alias("place"), features.alias("features"))
+
+
+def dump_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies of a dump: defaults folded into one flag, optional and renamed ones by the feature that turns them on."""
+    rows = _dumped(spark, sf_dir).dependencies
+    return rows.select("dep_id", "version_id", "crate_id", "req_key", "feature", "default_features", F.array_join("features", ",").alias("features"), "kind")
+
+
+def dump_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the dump's requirements, of two comparators and prereleases too, resolved to at all times."""
+    registry = _dumped(spark, sf_dir)
+    return graph.resolved(registry.dependencies, registry.releases)
+
+
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed lines: counts, and shares as the shortest single-precision numbers."""
+    found = counts.over_time(_direct_registry(spark, sf_dir), QUERIES_ASKED, relative=True)
+    n = len(QUERIES_ASKED)
+    return counts.text_lines(found, n).join(counts.text_lines(found, n, relative=True).withColumnRenamed("line", "shares"), "ts")
+
+
+def text_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a terminal shows of them: the first and last ten with a mark between."""
+    found = counts.over_time(_direct_registry(spark, sf_dir), QUERIES_ASKED)
+    rows = list(enumerate(counts.lines(found, len(QUERIES_ASKED), head=10)))
+    return spark.createDataFrame(rows, "place long, line string")
+
+
+def chart_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chart's axes span, and what is drawn of each series if a page takes few points: the first, least, greatest and last of each span."""
+    points = chart_points(spark, sf_dir).select("query_id", F.unix_millis("ts").alias("ms"), F.col("value").alias("shown"))
+    drawn = series.thinned(points, 100, 25)
+    axes = series.extents(points.select(F.col("ms").alias("ts"), F.col("shown").alias("value")))
+    return drawn.unionByName(axes.select(F.lit(-1).alias("query_id"), F.explode(F.array(F.struct(F.col("first").alias("ms"), F.lit(0).cast("long").alias("shown")), F.struct(F.col("last").alias("ms"), F.col("greatest").alias("shown")))).alias("p")).select("query_id", "p.ms", "p.shown"))
+
+
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
     made = F.translate("p_name", " ", "_")
@@ -264,6 +327,7 @@ QUERIES: dict[str, Query] = {
         event_step_series, event_running_max, event_sessions, event_idle, semver_matching, semver_matching_all, name_keys,
         resolve_requirements_over_time, direct_edges_over_time, feature_edges_over_time, transitive_over_time,
         chart_values, prerelease_matching, requirement_order, requirement_texts, dump_owners, dump_features,
+        dump_packages, dump_releases, dump_dependencies, dump_resolved, text_lines, text_head, chart_extents,
     )
 }
 
@@ -375,7 +439,61 @@ ihit AS (
 live AS (SELECT DISTINCT h.q, h.v, greatest(h.f, nw.f) AS f, least(h.u, nw.u) AS u FROM ihit h JOIN nw ON nw.v = h.v AND h.f < nw.u AND nw.f < h.u)"""
 CLOSURE = f"WITH RECURSIVE {RELEASES}, {DEPENDENCIES}, {CLAMPED}, {PREDICATES}, {MATCH}, {CLOSURE}"
 
+#: Known gaps: each missing package, release and dependency gets the next id that isn't used.
+GAPS = f"""pk(id, name) AS (
+  SELECT c_custkey, 'c' || c_custkey FROM customer
+  UNION ALL SELECT id, name FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT unnest(range(1, (SELECT max(c_custkey) + 12 FROM customer))) AS id EXCEPT SELECT c_custkey FROM customer)) f
+    JOIN (SELECT unnest({repair.PACKAGES}) AS name, unnest(range(1, {len(repair.PACKAGES) + 1})) AS n) USING (n)
+), gap_release AS (
+  SELECT f.id AS v, pk.id AS c, g.name, g.num, g.t::TIMESTAMP AS t, g.n
+  FROM (SELECT *, row_number() OVER () AS n FROM (VALUES {', '.join(map(str, repair.RELEASES))}) x(name, num, t)) g JOIN pk USING (name)
+  JOIN (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) + 17 FROM orders))) AS id EXCEPT SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 3)) f USING (n)
+), gap_dependency AS (
+  SELECT row_number() OVER (ORDER BY r.n, d.n) AS n, r.v, pk.id AS c, CASE WHEN r.num = '0.3.0' AND d.name = 'lazy_static' THEN '^1.0' WHEN r.num = '0.3.0' AND d.name = 'quickcheck' THEN '^0.6' ELSE d.req END AS req, d.feature, d.kind
+  FROM gap_release r JOIN (SELECT *, row_number() OVER () AS n FROM (VALUES {', '.join(map(str, repair.PARTIAL_IO_DEPENDENCIES))}) x(name, req, feature, kind)) d ON r.name = 'partial-io' JOIN pk ON pk.name = d.name
+)"""
+#: A dump's releases: numbers, and prereleases by their place among those that occur.
+DUMPED = f"""ranked AS (SELECT unnest(['1', 'a.b', 'alpha', 'alpha.1', 'alpha.2', 'alpha.10']) AS pre, unnest(range(6)) AS rank),
+drel AS (
+  SELECT o_orderkey AS v, o_custkey AS c, o_orderdate::TIMESTAMP AS t, o_orderkey % 3 AS a, (o_orderkey // 3) % 5 AS b, o_orderkey // 15 AS p,
+    CASE WHEN o_orderstatus = 'P' AND o_orderkey % 4 = 0 THEN ['a.b', 'alpha', 'alpha.1', 'alpha.2', 'alpha.10', '1'][((o_orderkey // 4) % 6 + 1)::INT] END AS pre
+  FROM orders WHERE o_orderkey % 7 <> 3),
+numbered AS (SELECT drel.*, coalesce(rank, 9) AS rank, a || '.' || b || '.' || p || coalesce('-' || drel.pre, '') AS num FROM drel LEFT JOIN ranked USING (pre)),
+ddep AS (
+  SELECT DISTINCT l_orderkey AS v, l_suppkey AS c, l_linenumber AS op, q % 3 AS qa, q % 5 AS qb, l_tax >= 0.04 AS optional, cents,
+    CASE l_linenumber WHEN 1 THEN '*' WHEN 2 THEN '^' || (q % 3) || '.' || (q % 5) WHEN 3 THEN '>=' || (q % 3) || '.' || (q % 5) || ', <' || (q % 3 + 1) WHEN 4 THEN '~' || (q % 3) || '.' || (q % 5)
+      WHEN 5 THEN '>' || (q % 3) || ', <=' || (q % 3 + 1) || '.' || (q % 5) WHEN 6 THEN '>=' || (q % 3) || '.' || (q % 5) || '.0-alpha.2' ELSE '=' || (q % 3) || '.' || (q % 5) END AS req,
+    CASE WHEN l_returnflag <> 'N' THEN 'dev' WHEN l_linestatus = 'F' THEN 'normal' ELSE 'build' END AS kind
+  FROM (SELECT *, CAST(coalesce(floor(l_quantity), 0) AS INT) AS q, floor(l_discount * 100 + 0.5)::BIGINT AS cents FROM lineitem)
+)"""
+DUMP_FITS = """CASE d.op WHEN 1 THEN r.rank = 9 WHEN 2 THEN r.rank = 9 AND r.a = d.qa AND (CASE WHEN d.qa > 0 THEN r.b >= d.qb ELSE r.b = d.qb END) WHEN 3 THEN r.rank = 9 AND r.a = d.qa AND r.b >= d.qb
+    WHEN 5 THEN r.rank = 9 AND (r.a = d.qa + 1 AND r.b <= d.qb)
+    WHEN 6 THEN CASE WHEN r.rank = 9 THEN (r.a, r.b, r.p) >= (d.qa, d.qb, 0) ELSE (r.a, r.b, r.p) = (d.qa, d.qb, 0) AND r.rank >= 4 END ELSE r.rank = 9 AND r.a = d.qa AND r.b = d.qb END"""
+#: The shortest text of a single-precision number, with a point.
+SHORTEST = "CASE WHEN {0} = 0 THEN '0.0' WHEN {0} < CAST(1e-4 AS FLOAT) THEN regexp_replace(CAST({0} AS VARCHAR), 'e-0', 'e-') ELSE CAST({0} AS VARCHAR) END"
+
 ORACLE_SQL: dict[str, str] = {
+    "dump_packages": f"WITH {GAPS} SELECT id AS crate_id, name FROM pk",
+    "dump_releases": f"""WITH {GAPS}, {DUMPED}, other AS (SELECT l_orderkey AS v, min(l_suppkey) AS o, min(l_suppkey) FILTER (l_linenumber = 3) AS w FROM lineitem GROUP BY ALL),
+        every AS (SELECT v, c, num, t, a, b, p, rank FROM numbered UNION ALL SELECT v, c, num, t, split_part(num, '.', 1)::BIGINT, split_part(num, '.', 2)::BIGINT, split_part(num, '.', 3)::BIGINT, 9 FROM gap_release)
+        SELECT e.v AS version_id, e.c AS crate_id, e.num, e.t AS created_at, row_number() OVER (PARTITION BY e.c ORDER BY e.a, e.b, e.p, e.rank, e.v) AS place,
+          CASE WHEN g.name = 'partial-io' THEN 'tokio=' || e.c || '/tokio-io+' || e.c || '/futures?' WHEN g.v IS NOT NULL OR e.v % 4 <> 0 THEN ''
+            ELSE 'default=' || e.c || '/std?;extra=' || e.c || '/std' || coalesce('+' || o || '/std', '') || '?' || coalesce(w || '/x', '') || ';std=?' END AS features
+        FROM every e LEFT JOIN gap_release g ON g.v = e.v LEFT JOIN other ON other.v = e.v""",
+    "dump_dependencies": f"""WITH {GAPS}, {DUMPED}, unused AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT unnest(range(0, 10000)) AS id EXCEPT SELECT v * 8 + op FROM ddep))
+        SELECT v * 8 + op AS dep_id, v AS version_id, c AS crate_id, req AS req_key, CASE WHEN NOT optional THEN '' WHEN op = 3 THEN 'al' || c ELSE 'c' || c END AS feature, cents < 3 OR cents % 4 >= 2 AS default_features,
+          ['', 'extra', '', 'extra,std'][(cents % 4 + 1)::INT] AS features, kind FROM ddep
+        UNION ALL SELECT id, v, c, req, feature, TRUE, '', kind FROM gap_dependency JOIN unused USING (n)""",
+    "dump_resolved": f"""WITH {GAPS}, {DUMPED}, d0 AS (SELECT DISTINCT c, op, qa, qb, req FROM ddep),
+        m AS (SELECT DISTINCT d.c, d.req, r.t AS f, arg_max(r.v, (r.a, r.b, r.p, r.rank)) OVER (PARTITION BY d.c, d.req ORDER BY r.t RANGE UNBOUNDED PRECEDING) AS v FROM numbered r JOIN d0 d ON r.c = d.c AND {DUMP_FITS}),
+        s AS (SELECT *, lag(v) OVER (PARTITION BY c, req ORDER BY f) AS was FROM m)
+        SELECT c AS crate_id, req AS req_key, v AS version_id, f AS valid_from, {END.format(k='c, req')} AS valid_to FROM s WHERE was IS DISTINCT FROM v""",
+    "text_lines": f"""{SERIES}, born AS (SELECT c, min(t) AS t FROM rel GROUP BY c), total AS (SELECT i.t, count(*) AS total FROM instants i JOIN born ON born.t <= i.t GROUP BY ALL),
+        shares AS (SELECT k.t, k.q, k.value, CAST(k.value AS FLOAT) / CAST(total AS FLOAT) AS x FROM kept k JOIN total USING (t))
+        SELECT t AS ts, strftime(t, '%Y-%m-%d %H:%M:%S') || ' [' || string_agg(value::VARCHAR, ', ' ORDER BY q) || ']' AS line,
+          strftime(t, '%Y-%m-%d %H:%M:%S') || ' [' || string_agg({SHORTEST.format('CAST(x AS FLOAT)')}, ', ' ORDER BY q) || ']' AS shares FROM shares GROUP BY t""",
+    "text_head": f"""{SERIES}, written AS (SELECT strftime(t, '%Y-%m-%d %H:%M:%S') || ' [' || string_agg(value::VARCHAR, ', ' ORDER BY q) || ']' AS line, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM kept GROUP BY t)
+        SELECT CASE WHEN n <= 20 OR i < 10 THEN i ELSE i - n + 21 END AS place, line FROM written WHERE n <= 20 OR i < 10 OR i >= n - 10 UNION ALL SELECT 10, '...' FROM (SELECT DISTINCT n FROM written) WHERE n > 20""",
     "running_max_recent": f"""WITH {RELEASES}, m AS (SELECT c, t AS f, arg_max(v, (NOT pre, t, v)) OVER (PARTITION BY c ORDER BY t RANGE UNBOUNDED PRECEDING) AS v FROM rel),
         k AS (SELECT DISTINCT c, f, v FROM m), s AS (SELECT *, lag(v) OVER (PARTITION BY c ORDER BY f) AS was FROM k)
         SELECT v AS version_id, f AS valid_from, {END.format(k='c')} AS valid_to FROM s WHERE was IS DISTINCT FROM v""",
@@ -458,6 +576,12 @@ ORACLE_SQL: dict[str, str] = {
     "name_keys": """SELECT p_partkey, replace(replace(p_name, ' ', '_'), '_', '-') AS package_key, regexp_matches(replace(p_name, ' ', '_'), '^[A-Za-z][A-Za-z0-9_-]{0,63}$') AS package_valid,
         lower(p_brand) AS user_key, regexp_matches(p_brand, '^[0-9A-Za-z]+(-[0-9A-Za-z]+)*$') AND length(p_brand) <= 39 AS user_valid, contains(p_brand || '/' || p_name, '/') AS team FROM part""",
 }
+ORACLE_SQL["chart_extents"] = f"""WITH points AS (SELECT query_id, epoch_ms(ts) AS ms, value AS shown FROM ({ORACLE_SQL['chart_points']})),
+    whole AS (SELECT *, count(*) OVER w AS n, (ms - min(ms) OVER w) * 25 // (max(ms) OVER w - min(ms) OVER w + 1) AS span FROM points WINDOW w AS (PARTITION BY query_id)),
+    kept AS (SELECT query_id, min((ms, shown)) AS a, max((ms, shown)) AS b, min((shown, ms)) AS c, max((shown, ms)) AS d FROM whole WHERE n > 100 GROUP BY query_id, span)
+    SELECT query_id, ms, shown FROM whole WHERE n <= 100
+    UNION ALL SELECT DISTINCT query_id, ms, shown FROM (SELECT query_id, unnest([a[1], b[1], c[2], d[2]]) AS ms, unnest([a[2], b[2], c[1], d[1]]) AS shown, unnest(range(4)) FROM kept)
+    UNION ALL SELECT -1, min(ms), 0 FROM points UNION ALL SELECT -1, max(ms), max(shown) FROM points"""
 #: The closure at every date of a release: the snapshot's SQL with all dates. Too slow for any but the smallest tables, so it
 #: is run by the tests alone.
 TRANSITIVE_SERIES_SQL = f"""WITH RECURSIVE {RELEASES}, {DEPENDENCIES}, {CLAMPED}, {PREDICATES}, {MATCH}, instants AS (SELECT DISTINCT t FROM rel), day AS (SELECT t FROM instants), dd AS (SELECT * FROM cdep),

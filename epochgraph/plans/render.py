@@ -34,7 +34,7 @@ def truncated(value: float) -> str:
 
 
 def points(found: DataFrame, now: datetime, totals: DataFrame | None = None) -> dict[int, list[list[float]]]:
-    """For each query its chart points (milliseconds, value or share) in order."""
+    """For each query its chart points (milliseconds, value or share) in order; long series are thinned before they come to the driver."""
     at = series.chart_points(found, F.lit(now.astimezone(UTC).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp"))
     if totals is None:
         rows = at.select("query_id", F.unix_millis("ts").alias("ms"), F.col("value").cast("double").alias("shown"))
@@ -44,7 +44,7 @@ def points(found: DataFrame, now: datetime, totals: DataFrame | None = None) ->
         total = series.cumulative(steps, ["_all"], "ts", "n", "total")
         rows = at.join(total, "ts").select("query_id", F.unix_millis("ts").alias("ms"), series.chart_value(F.col("value"), F.col("total")).alias("shown"))
     out: dict[int, list[list[float]]] = {}
-    for r in rows.orderBy("query_id", "ms").toLocalIterator():
+    for r in series.thinned(rows, MAX_POINTS, SPANS).orderBy("query_id", "ms").toLocalIterator():
         value = r["shown"] if totals is None else float(truncated(r["shown"]))
         out.setdefault(r["query_id"], []).append([r["ms"], int(value) if totals is None else value])
     return out
@@ -55,23 +55,9 @@ def first_releases(releases: DataFrame) -> DataFrame:
     return releases.groupBy("crate_id").agg(F.min("created_at").alias("ts")).groupBy("ts").agg(F.count("*").alias("n"))
 
 
-def extremes(values: list[list[float]]) -> list[list[float]]:
-    """The points of a long series that a screen can show: no peak and no drop is lost."""
-    ms, v = np.array([p[0] for p in values]), np.array([p[1] for p in values])
-    span = (ms - ms[0]) * SPANS // max(1, ms[-1] - ms[0] + 1)
-    first = np.flatnonzero(np.append(True, span[1:] != span[:-1]))
-    order = np.lexsort((np.arange(len(v)), v, span))  # by value inside a span
-    last = np.append(first[1:], len(v)) - 1
-    keep = np.unique(np.concatenate([first, last, order[first], order[last]]))
-    return [values[i] for i in keep.tolist()]
-
-
 def page(data: dict[int, list[list[float]]], labels: list[str], title: str, relative: bool) -> str:
     """The HTML, with everything it needs inside."""
     lines = [{"name": name, "values": data.get(i, [])} for i, name in enumerate(labels)]
-    for line in lines:
-        if len(line["values"]) > MAX_POINTS:
-            line["values"] = extremes(line["values"])
     text = json.dumps({"title": title, "relative": relative, "lines": lines}).replace("</", "<\\/")
     return TEMPLATE.replace("/*DATA*/", text)
 

@@ -12,6 +12,10 @@ from ..functions import semver
 from .schema import FEATURES, Registry
 
 
+#: Prereleases of the dump's releases, from the lowest on but for the last, which is the lowest of all.
+PRERELEASES = ("a.b", "alpha", "alpha.1", "alpha.2", "alpha.10", "1")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,3 +75,37 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
     teams = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.concat_ws("/", "r_name", "n_name").alias("owner"), F.lit("team").alias("kind"), F.col("n_nationkey").cast("long").alias("owner_id"))
     owned = supplier.select(F.explode(F.array(F.lit("user"), F.lit("team"))).alias("kind"), F.col("s_nationkey").cast("long").alias("owner_id"), F.col("s_suppkey").alias("crate_id"))
     return Registry(packages(spark, sf_dir), releases(spark, sf_dir), dependencies(spark, sf_dir), users.unionByName(teams), owned)
+
+
+def dump_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The star-schema tables in the form of a registry dump, to be read by ``dump.registry_of``.
+
+    Every seventh release is yanked, prereleases have identifiers of several kinds, requirements up to two comparators, every third
+    line number renames its dependency, and features name the package itself, a dependency by its package's name and, weakly, one by its new name.
+    """
+    customer, supplier, nation, region, orders, lineitem = (_table(spark, sf_dir, t) for t in ("customer", "supplier", "nation", "region", "orders", "lineitem"))
+    key = F.col("o_orderkey")
+    pre = F.element_at(F.array(*map(F.lit, PRERELEASES)), (F.expr("(o_orderkey div 4) % 6") + 1).cast("int"))
+    num = F.concat_ws(".", key % 3, F.expr("(o_orderkey div 3) % 5"), F.expr("o_orderkey div 15"))
+    to = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("other"), F.min(F.when(F.col("l_linenumber") == 3, F.col("l_suppkey"))).alias("renamed"))
+    extra = F.concat(F.array(F.lit("std")), F.when(F.col("other").isNotNull(), F.array(F.concat(F.lit("c"), F.col("other").cast("string"), F.lit("/std")))).otherwise(F.array()),
+                     F.when(F.col("renamed").isNotNull(), F.array(F.concat(F.lit("al"), F.col("renamed").cast("string"), F.lit("?/x")))).otherwise(F.array()))
+    declared = F.to_json(F.create_map(F.lit("default"), F.array(F.lit("std")), F.lit("std"), F.array().cast("array<string>"), F.lit("extra"), extra))
+    versions = orders.join(to, "o_orderkey", "left").select(
+        key.alias("id"), F.col("o_custkey").alias("crate_id"), F.when((F.col("o_orderstatus") == "P") & (key % 4 == 0), F.concat_ws("-", num, pre)).otherwise(num).alias("num"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        F.when(key % 4 == 0, declared).otherwise("{}").alias("features"), F.when(key % 7 == 3, "t").otherwise("f").alias("yanked"),
+    )
+    rows = lineitem.withColumn("q", F.coalesce(F.floor("l_quantity"), F.lit(0)).cast("int")).select("l_orderkey", "l_suppkey", "l_linenumber", F.expr("q % 3").alias("a"), F.expr("q % 5").alias("b"), "l_returnflag", "l_linestatus", (F.col("l_tax") >= 0.04).alias("optional"), F.floor(F.col("l_discount") * 100 + 0.5).alias("cents")).distinct()
+    text = F.expr("""CASE l_linenumber WHEN 1 THEN '*' WHEN 2 THEN concat(a, '.', b) WHEN 3 THEN concat('>=', a, '.', b, ', <', a + 1) WHEN 4 THEN concat('~', a, '.', b)
+        WHEN 5 THEN concat('>', a, ',<=', a + 1, '.', b) WHEN 6 THEN concat('>=', a, '.', b, '.0-alpha.2') ELSE concat('=', a, '.', b) END""")
+    dependencies = rows.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("version_id"), F.col("l_suppkey").alias("crate_id"), text.alias("req"), F.when(F.col("optional"), "t").otherwise("f").alias("optional"),
+        F.when(F.col("cents") < 3, "t").otherwise("f").alias("default_features"), F.element_at(F.array(*map(F.lit, ("{}", "{extra}", "{default}", "{std,default,extra,std}"))), (F.col("cents") % 4 + 1).cast("int")).alias("features"),
+        F.when(F.col("l_returnflag") != "N", 2).when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("kind"), F.when(F.col("l_linenumber") == 3, F.concat(F.lit("al"), F.col("l_suppkey").cast("string"))).alias("explicit_name"),
+    )
+    users = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("gh_login"))
+    teams = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.lit("github:"), F.regexp_replace("r_name", " ", "-"), F.lit(":"), "n_name").alias("login"))
+    return {
+        "crates": packages(spark, sf_dir).select(F.col("crate_id").alias("id"), "name"), "users": users, "teams": teams, "versions": versions, "dependencies": dependencies,
+        "crate_owners": supplier.select(F.col("s_suppkey").alias("crate_id"), F.col("s_nationkey").cast("long").alias("owner_id"), (F.col("s_suppkey") % 2).cast("int").alias("owner_kind")),
+    }

@@ -157,6 +157,22 @@ def test_queries(spark):
 def test_lines(spark):
     data = [(T0 + timedelta(days=i), 0, i) for i in range(30)]
     df = spark.createDataFrame(data, "ts timestamp, query_id int, value long")
-    assert len(counts.lines(df, 1)) == 30
-    short = counts.lines(df, 1, head=10)
+    assert len(list(counts.lines(df, 1))) == 30
+    short = list(counts.lines(df, 1, head=10))
     assert len(short) == 21 and short[10] == "..." and short[0] == "2020-01-01 00:00:00 [0]" and short[-1] == "2020-01-30 00:00:00 [29]"
+
+
+def test_lines_written_in_order(spark, tmp_path):
+    """The part files, by name, hold the same lines as are printed; a second run leaves nothing of the first."""
+    data = [(T0 + timedelta(days=i, milliseconds=i % 3 * 250), q, i * q) for i in range(50) for q in range(2)]
+    df = spark.createDataFrame(data, "ts timestamp, query_id int, value long")
+    for found in (df, df.filter("value < 30")):
+        counts.write_lines(found, 2, str(tmp_path / "out"))
+        text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+        assert text.splitlines() == list(counts.lines(found, 2))
+    assert "2020-01-02 00:00:00.25 [1, 1]" in list(counts.lines(df.withColumn("value", F.lit(1).cast("long")), 2))
+
+
+@pytest.mark.parametrize("value, shown", [(1 / 3, "0.33333334"), (0.0, "0.0"), (1.0, "1.0"), (0.5, "0.5"), (1e-4, "0.0001"), (0.00012345, "0.00012345"), (9.5e-5, "9.5e-5"), (1e-5, "1e-5"), (1.5e7, "15000000.0"), (2e16, "2e16"), (float("nan"), "NaN"), (0.002, "0.002"), (12.5, "12.5")])
+def test_shortest(spark, value, shown):
+    assert spark.range(1).select(counts.shortest(F.lit(value).cast("float"))).first()[0] == shown

@@ -94,3 +94,15 @@ def test_order(spark):
 def test_clamp(spark, req, top, want):
     v = semver.version(F.lit(top).cast("string"))
     assert spark.range(1).select(semver.requirement_text(semver.clamped(semver.requirement(F.lit(req)), v))).first()[0] == want
+
+
+def test_ranges(spark):
+    """A requirement's range holds just the stable versions that it takes, and it names a prerelease if it may take any."""
+    pairs = spark.createDataFrame([(t, text_of(v)) for t, v in itertools.product([*TEXTS, ">1.2.3-alpha, <=2.0.0-rc.1", "=1.2.3, ^1"], VERSIONS)], "req string, num string")
+    req, ver = semver.requirement(F.col("req")), semver.version(F.col("num"))
+    key = semver.version_key(ver["major"], ver["minor"], ver["patch"])
+    span = semver.stable_range(req)
+    rows = pairs.select("req", "num", ver["pre_empty"].alias("stable"), semver.matches(req, ver).alias("m"), ((span["low"] <= key) & (key < span["high"])).alias("inside"), semver.names_prerelease(req).alias("pre")).collect()
+    wrong = [(r["req"], r["num"]) for r in rows if r["stable"] and r["m"] != r["inside"] or not r["stable"] and r["m"] and not r["pre"]]
+    assert not wrong, wrong[:10]
+    assert sum(r["m"] for r in rows if r["stable"]) > 100

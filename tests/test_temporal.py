@@ -105,3 +105,39 @@ def test_empty(spark):
     none = frame(spark, [])
     assert temporal.coalesce_intervals(none, ["k"]).count() == 0
     assert temporal.subtract_intervals(none, none, ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_fill_forward(spark, seed):
+    """The greatest value up to each place, by going through all rows; several rows of a place, null keys and days without values."""
+    rnd = random.Random(seed)
+    data = [(rnd.choice([None, 1, 2]), T0 + timedelta(hours=rnd.randrange(300)), rnd.randrange(3), rnd.choice([None, None, rnd.randrange(50)]), i) for i in range(200)]
+    df = spark.createDataFrame(data, "k int, ts timestamp, ord int, v int, i int")
+    got = temporal.fill_forward(df, ["k"], "ts", ["ts", "ord"], "v").collect()
+    assert len(got) == len(data)
+    for r in got:
+        seen = [v for k, t, o, v, _ in data if k == r["k"] and (t, o) <= (r["ts"], r["ord"]) and v is not None]
+        assert r["v"] == max(seen, default=None)
+
+
+def test_fill_forward_joins_by_equality(spark):
+    df = spark.createDataFrame([(1, T0, 1)], "k int, ts timestamp, v int").repartition(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = temporal.fill_forward(df, ["k"], "ts", ["ts"], "v")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_clipped_times_keep_answers(spark):
+    """What holds at some dates is the same when each time counts from the first date after it."""
+    rnd = random.Random(5)
+    data = [(rnd.randrange(4), T0 + timedelta(days=rnd.randrange(40)), rnd.randrange(90)) for _ in range(120)]
+    df = spark.createDataFrame(data, "k int, ts timestamp, v int")
+    dates = ["2020-01-20", "2020-01-05", "2020-01-21"]
+    whole = temporal.at_dates(temporal.running_max_intervals(df, ["k"], "v", "ts"), dates).select("as_of", "k", "v")
+    less = temporal.clipped(df, "ts", dates)
+    assert {str(r["ts"])[:10] for r in less.select("ts").distinct().collect()} <= set(dates)
+    found = temporal.at_dates(temporal.running_max_intervals(less, ["k"], "v", "ts"), dates).select("as_of", "k", "v")
+    assert sorted(found.collect()) == sorted(whole.collect()) and found.count()

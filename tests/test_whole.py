@@ -76,4 +76,4 @@ def test_intervals(duck, name, sql):  # noqa: F811
     for a, b in ((sql, core.ORACLE_SQL[name]), (core.ORACLE_SQL[name], sql)):
         duck.sql(f"CREATE OR REPLACE TEMP TABLE a AS {a}")
         duck.sql(f"CREATE OR REPLACE TEMP TABLE b AS {b}")
-        assert duck.sql("SELECT count(*) FROM a").fetchone()[0] > 0 and not duck.sql("SELECT * FROM a EXCEPT ALL SELECT * FROM b").fetchall()
+        assert duck.sql("SELECT count(*) FROM a").fetchall()[0][0] > 0 and not duck.sql("SELECT * FROM a EXCEPT ALL SELECT * FROM b").fetchall()
