@@ -2,11 +2,13 @@
 
 The content view is a logistic model on hashed byte n-grams of the text. The metadata view is one on what a page tells about
 itself without its wording: source, language, length, and counts of its layout (lines, repeated lines and words, capitals,
-digits, signs). Both start from labelled documents; in each round each view labels the unlabelled documents it is surest of for the other.
+digits, signs). Both start from labelled documents; in each round each view labels all the unlabelled documents that it is sure of for the other.
 On labelled documents that neither has seen both views are calibrated, and their calibrated log-odds are averaged.
 
-Training uses a bounded hash sample of labelled documents. In each round executors score all other documents, and only the features
-of the surest go to the driver. Scoring reads every document whole.
+Training uses a bounded hash sample of labelled documents. What the unlabelled ones teach is summed up where they are: in each round
+executors score all of them, whole, and add up the gradient and curvature that those which one view is sure of have for the other's
+model. So however many are exchanged, the driver gets sums of a fixed size, and fits each model to its labelled documents and to the
+parabola that these sums describe, with a fixed weight.
 """
 
 from __future__ import annotations
@@ -21,19 +23,24 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from . import ngrams
-from .common import blocks, checkpointed, text_buffers
+from .common import blocks, text_buffers
 
-#: About so many labelled documents are learned from; so many unlabelled ones of all are exchanged by a view in a round for each class.
-LABELLED, CHOSEN = 4000, 150
-ROUNDS, SHARE, SURE = 4, 0.1, 0.97
+#: About so many labelled documents are learned from.
+LABELLED = 4000
+#: Rounds, the share of all documents that a view teaches of each class, the calibrated probability that they have at least, and what
+#: all of them weigh against the labelled documents.
+ROUNDS, SHARE, SURE, TAUGHT = 4, 0.025, 0.97, (1.4, 0.25)
 #: Share of good documents that the threshold may cost at most, and the score from which a document always stays.
-LOSS, ENOUGH = 0.005, 0.5
+LOSS, ENOUGH = 0.005, 0.7
 SOURCES, LANGUAGES, NUMBERS = 64, 16, 14
 #: Documents that one step of training looks at together.
 PART = 256
+#: Bounds of a view's own log-odds between which documents that it is taught are put together.
+MARGINS = (0.25, 0.5, 1, 2, 4)
+#: Tasks that add up the sums of all others.
+ADDERS = 16
 
 _CLASSES = np.zeros((256, 5), bool)  # capitals, digits, signs, white space, line feeds
 _CLASSES[65:91, 0] = _CLASSES[48:58, 1] = True
@@ -99,15 +106,35 @@ class Linear:
         return (x - self.mean) / self.scale @ self.weights + self.bias
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> Linear:
+@dataclass
+class Means:
+    """Mean features of the documents labelled by the other view: of all of a class about which the own view is about as sure (see MARGINS)."""
+
+    x: np.ndarray
+    label: np.ndarray
+    weight: np.ndarray
+
+    def loss(self, x: np.ndarray, weights: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        """Value and gradient of the logistic loss over the means, as features ``x``; documents of a class count alike."""
+        logit = x @ weights + bias
+        error = (sigmoid(logit) - self.label) * self.weight
+        return float((self.weight * (np.logaddexp(0, logit) - self.label * logit)).sum()), x.T @ error, float(error.sum())
+
+
+def fit_dense(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.5, decay: float = 1e-3, means: Means | None = None) -> Linear:
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z, w, b = (x - mean) / scale, np.zeros(x.shape[1]), 0.0
+    taught = (means.x - mean) / scale if means else None
     weight = balance(y)
     for _ in range(steps):
         error = (sigmoid(z @ w + b) - y) * weight
-        w -= rate * (z.T @ error / len(y) + decay * w)
-        b -= rate * error.mean()
+        slope, shift = z.T @ error / len(y) + decay * w, error.mean()
+        if means:
+            _, more, further = means.loss(taught, w, b)
+            slope, shift = slope + more, shift + further
+        w -= rate * slope
+        b -= rate * shift
     return Linear(mean, scale, w, b)
 
 
@@ -146,13 +173,19 @@ def descended(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndar
     return x
 
 
-def fit_sparse(sample: ngrams.Sample, first: int, y: np.ndarray, weight: np.ndarray, begin: tuple[np.ndarray, float] | None = None, steps: int = 60, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """A logistic model on bucket shares, each scaled by its root mean square, from ``begin`` on.
+def scales(sample: ngrams.Sample) -> np.ndarray:
+    """What each bucket's share is multiplied by: the inverse of its root mean square."""
+    return 1 / np.sqrt(sample.squares() / max(1, len(sample.size)) + 1e-10)
+
+
+def fit_sparse(sample: ngrams.Sample, first: int, y: np.ndarray, weight: np.ndarray, means: Means | None = None, begin: np.ndarray | None = None, steps: int = 60, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """A logistic model on bucket shares, scaled by ``scales``, from where the lessons were taken on.
 
     ``y`` and ``weight`` are of the sample's rows from ``first`` on. Steps run over views of the sample, PART rows at a time.
     """
-    scale = 1 / np.sqrt(sample.squares() / max(1, len(sample.size)) + 1e-10)
+    scale = scales(sample)
     weight = weight / max(1, np.count_nonzero(weight))
+    taught = means.x * scale if means else None
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         narrow = (x[:-1] * scale).astype(np.float32)
@@ -168,9 +201,13 @@ def fit_sparse(sample: ngrams.Sample, first: int, y: np.ndarray, weight: np.ndar
             error = (sigmoid(logit) - own) * of
             slope += np.bincount(ids, shares * np.repeat(error.astype(np.float32), size), ngrams.BUCKETS)
             shift += error.sum()
-        return value, np.append(slope * scale + decay * x[:-1], shift)
+        slope = np.append(slope * scale + decay * x[:-1], shift)
+        if means:
+            more = means.loss(taught, x[:-1], x[-1])
+            value, slope = value + more[0], slope + np.append(*more[1:])
+        return value, slope
 
-    x = descended(loss, np.zeros(ngrams.BUCKETS + 1) if begin is None else np.append(begin[0] / scale, begin[1]), steps)
+    x = descended(loss, np.zeros(ngrams.BUCKETS + 1) if begin is None else begin, steps)
     return x[:-1] * scale, float(x[-1])
 
 
@@ -200,57 +237,45 @@ class Model:
         return sigmoid((a * content + b + c * page + d) / 2)
 
 
-#: Of a round: the models so far to (view, value, id) of the documents that each view is surest of; and ids to their (ids, shares, page).
-Surest = Callable[[np.ndarray, float, Linear, Calibration], list[tuple[int, int, object]]]
-Features = Callable[[list], dict[object, tuple[bytes, bytes, bytes]]]
+#: Of a round: the models so far, and from which calibrated log-odds on each view is sure of bad and of good, to what the content view and the metadata view are taught.
+Teach = Callable[[np.ndarray, float, Linear, Calibration, np.ndarray], tuple[Means, Means]]
+
+
+def sure_from(logits: list[np.ndarray], calibration: Calibration) -> np.ndarray:
+    """The certainty (views x classes) that SHARE of the held documents, a sample of all, exceed, but no less than that of SURE."""
+    odds = np.array([a * x + b for (a, b), x in zip(calibration, logits, strict=True)])
+    most = np.quantile(np.stack([-odds, odds], 1), 1 - SHARE, axis=2)
+    return np.maximum(most, np.log(SURE / (1 - SURE)))
 
 
-def train(rows: list[tuple[object, int, bytes, bytes, bytes]], surest: Surest, features: Features, seed: int = 5) -> Model:
+def train(rows: list[tuple[object, int, bytes, bytes, bytes]], teach: Teach, seed: int = 5, rounds: int = ROUNDS) -> Model:
     """rows: (id, label, bucket ids, shares, page) of the labelled documents; labels are 1 good, 0 bad. A quarter is held for calibration."""
     order = np.random.default_rng(seed).permutation(len(rows)).tolist()
     held = len(rows) // 4
     rows = [rows[i] for i in order]  # those held come first, so that what is learned from is one run
-    place = {r[0]: i for i, r in enumerate(rows)}
     labels = np.array([r[1] for r in rows], float)
     sample, page = ngrams.Sample([r[2:4] for r in rows]), np.array([np.frombuffer(r[4]) for r in rows])
     rows.clear()  # the driver's memory is small
-    own = [dict(enumerate(labels.tolist()[held:], held)) for _ in range(2)]
-    content = None
-    for r in range(ROUNDS + 1):
-        known = [np.array(sorted(o)) for o in own]
-        y = [np.array([o[i] for i in x.tolist()], float) for o, x in zip(own, known, strict=True)]
-        all_y, weight = np.zeros((2, len(page) - held))
-        all_y[known[0] - held], weight[known[0] - held] = y[0], balance(y[0])
-        content = fit_sparse(sample, held, all_y, weight, content)
-        linear = fit_dense(page[known[1]], y[1])
+    own, scale = labels[held:], scales(sample)
+    lessons: tuple[Means | None, Means | None] = (None, None)
+    for r in range(rounds + 1):
+        begin = np.append(content[0] / scale, content[1]) if r else None
+        content = fit_sparse(sample, held, own, balance(own), lessons[0], begin)
+        linear = fit_dense(page[held:], own, means=lessons[1])
         logits = [sample.times(np.arange(held), content[0][:, None])[:, 0] + content[1], linear.logit(page[:held])]
         calibration = ((1.0, 0.0), (1.0, 0.0)) if len(set(labels[:held].tolist())) < 2 else tuple(platt(x, labels[:held]) for x in logits)
-        if r == ROUNDS:
-            break
-        chosen = surest(*content, linear, calibration)
-        if not chosen:
-            break
-        found = features(sorted({x for _, _, x in chosen} - place.keys(), key=str))
-        if found:
-            place |= {x: len(page) + k for k, x in enumerate(found)}
-            sample.add([f[:2] for f in found.values()])
-            page = np.concatenate([page, [np.frombuffer(f[2]) for f in found.values()]])
-        at = np.array([place[x] for _, _, x in chosen])
-        views = [sample.times(at, content[0][:, None])[:, 0] + content[1], linear.logit(page[at])]
-        for k, (mine, value, x) in enumerate(chosen):
-            slope, shift = calibration[1 - mine]
-            if (slope * views[1 - mine][k] + shift > 0) == bool(value):  # else the two contradict each other, and neither is believed
-                own[1 - mine].setdefault(place[x], float(value))
+        if r < rounds and held:
+            lessons = teach(*content, linear, calibration, sure_from(logits, calibration))
     model = Model(*content, linear, calibration, 0.0)
     good = model.combined(*logits)[labels[:held] > 0.5]
     model.least = float(min(ENOUGH, np.quantile(good, LOSS))) if len(good) else 0.0
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, most: int = CHOSEN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
     """Learn from a hash sample of the labels and from all documents besides; of repeated labels the majority counts, ties and nulls teach nothing.
 
-    The metadata view's features of all documents are made once and checkpointed (some 200 bytes a document); texts are read again in each round.
+    Texts are read once for the labelled documents and once in each round.
     """
     rows = columns(docs, id_col, text_col).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     votes = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("label")).filter("label <> 0.5")
@@ -264,81 +289,67 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             page = metadata(*(batch.column(c) for c in ("source", "lang", "n_chars", "text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary()), pa.array([p.tobytes() for p in page], pa.binary())], names=["id", "label", "ids", "shares", "page"])
 
-    def collected(some: DataFrame) -> list:
-        found = some.mapInArrow(features, f"id {kind}, label int, ids binary, shares binary, page binary").dropDuplicates(["id"]).collect()
-        return sorted((tuple(r) for r in found), key=lambda r: (str(r[0]), r[2]))
-
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            page = metadata(*(batch.column(c) for c in ("source", "lang", "n_chars", "text")))
-            hot = page[:, : SOURCES + LANGUAGES]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.flatnonzero(h).astype(np.uint8).tobytes() for h in hot], pa.binary()), pa.array([p.tobytes() for p in page[:, SOURCES + LANGUAGES :]], pa.binary())], names=["id", "names", "numbers"])
-
-    got = collected(chosen)
+    got = chosen.mapInArrow(features, f"id {kind}, label int, ids binary, shares binary, page binary").dropDuplicates(["id"]).collect()
+    got = sorted((tuple(r) for r in got), key=lambda r: (str(r[0]), r[2]))
     if not got:
         return Model(np.zeros(ngrams.BUCKETS), 0.0, None, ((1.0, 0.0), (1.0, 0.0)), 0.0)
     taken = docs.sparkSession.sparkContext.broadcast({r[0] for r in got})
-    shapes = checkpointed(rows.mapInArrow(pages, f"id {kind}, names binary, numbers binary"))
+    return train(got, lambda *models: taught(rows, taken, *models), rounds=rounds)
 
-    def further(some: list) -> dict:
-        wanted = rows.filter(F.col("id").isin(some)).withColumn("label", F.lit(None).cast("int")) if some else None
-        return {r[0]: r[2:] for r in collected(wanted)} if some else {}
 
-    return train(got, lambda *models: surest(rows.select("id", "text"), shapes, taken, most, *models), further)
+def taught(rows: DataFrame, taken: Broadcast, words: np.ndarray, bias: float, linear: Linear, calibration: Calibration, least: np.ndarray) -> tuple[Means, Means]:
+    """What the content view and the metadata view are taught by the other, from all ``rows`` that aren't ``taken``.
 
+    A view teaches a document if its calibrated odds are sure of the label (``least``, see ``sure_from``) and the other's are on the same side.
+    Each task adds up its documents' features by class and margin, some 1.6 MB, and ADDERS tasks add these up.
+    """
+    (a, b), (c, d) = calibration
+    widths, groups = (ngrams.BUCKETS, len(linear.mean)), 2 * (len(MARGINS) + 1)
 
-def _first(found: list[tuple[float, object]], most: int) -> list[tuple[float, object]]:
-    """The ``most`` surest (certainty, id), each id once."""
-    best = {}
-    for certainty, x in sorted(found, key=lambda f: (-f[0], str(f[1]))):
-        best.setdefault(x, certainty)
-        if len(best) == most:
-            break
-    return [(c, x) for x, c in best.items()]
+    def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = np.zeros((2, groups)), [np.zeros((groups, w)) for w in widths]
+        for batch in batches:
+            text = batch.column("text")
+            page = metadata(*(batch.column(x) for x in ("source", "lang", "n_chars", "text")))
+            odds = np.stack([a * (ngrams.scores(text, ngrams.SIGNS, words[:, None])[:, 0] + bias) + b, c * linear.logit(page) + d])
+            value = (odds > 0).astype(int)
+            group = value * (groups // 2) + np.searchsorted(MARGINS, np.abs(odds))
+            free = np.array([x not in taken.value for x in batch.column("id").to_pylist()], bool) & (value[0] == value[1])
+            for view in (0, 1):
+                sure = np.flatnonzero(free & (np.abs(odds[1 - view]) > least[1 - view][value[1 - view]]))
+                n[view] += np.bincount(group[view][sure], minlength=groups)
+                if view:
+                    np.add.at(sums[1], group[1][sure], page[sure])
+                    continue
+                for i in range(0, len(sure), PART):
+                    found = ngrams.counts(text.take(pa.array(sure[i : i + PART])), ngrams.SIGNS)
+                    at = [np.frombuffer(x[0], np.uint16).astype(np.int64) + g * widths[0] for x, g in zip(found, group[0][sure[i : i + PART]].tolist(), strict=True)]
+                    sums[0] += np.bincount(np.concatenate(at), np.concatenate([np.frombuffer(x[1], np.float32) for x in found]), sums[0].size).reshape(groups, -1)
+        yield _row(np.concatenate([x.ravel() for x in (n, *sums)]))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            for x in batch.column("sums"):
+                total = total + np.frombuffer(x.as_buffer())
+        if isinstance(total, np.ndarray):
+            yield _row(total)
 
+    found = rows.mapInArrow(one_pass, "sums binary").repartition(ADDERS).mapInArrow(added, "sums binary").collect()
+    n, *sums = np.split(sum((np.frombuffer(r["sums"]) for r in found), np.zeros(groups * (2 + sum(widths)))), np.cumsum([2 * groups, groups * widths[0]]))
+    labels = np.arange(groups) // (groups // 2)
 
-def surest(texts: DataFrame, shapes: DataFrame, taken: Broadcast, most: int, words: np.ndarray, bias: float, linear: Linear, calibration: Calibration) -> list[tuple[int, int, object]]:
-    """(view, value, id) of the documents, of all that aren't ``taken``, of which each view is surest: SHARE of them, at most ``most`` for each class.
+    def means(view: int) -> Means:
+        own = n.reshape(2, -1)[view]
+        some = np.flatnonzero(own)
+        whole = np.bincount(labels, own)
+        return Means(sums[view].reshape(groups, -1)[some] / own[some, None], labels[some].astype(float), np.array(TAUGHT)[labels[some]] / 2 * own[some] / whole[labels[some]])
 
-    The content view judges ``texts`` (id, text), the metadata view ``shapes`` (id, names, numbers). A task gives only its own surest.
-    """
-    least = float(np.log(SURE / (1 - SURE)))
-    kind = texts.schema["id"].dataType
-    schema = pa.schema([("value", pa.int32()), ("sure", pa.float64()), ("id", to_arrow_type(kind))])
-
-    def content(batch: pa.RecordBatch) -> np.ndarray:
-        return ngrams.scores(batch.column("text"), ngrams.SIGNS, words[:, None])[:, 0] + bias
-
-    def metadata_view(batch: pa.RecordBatch) -> np.ndarray:
-        page = np.zeros((len(batch), SOURCES + LANGUAGES + NUMBERS))
-        for i, (hot, numbers) in enumerate(zip(batch.column("names").to_pylist(), batch.column("numbers").to_pylist(), strict=True)):
-            page[i, np.frombuffer(hot, np.uint8)] = 1
-            page[i, -NUMBERS:] = np.frombuffer(numbers)
-        return linear.logit(page)
-
-    def judged(view: Callable[[pa.RecordBatch], np.ndarray], slope: float, shift: float):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lists, n = {1: [], 0: []}, 0
-            for batch in batches:
-                ids = batch.column("id").to_pylist()
-                free = np.array([x not in taken.value for x in ids], bool)
-                n += int(free.sum())
-                logit = slope * view(batch) + shift
-                for value in (1, 0):
-                    sure = logit if value else -logit
-                    new = [(float(sure[i]), ids[i]) for i in np.flatnonzero((sure > least) & free)]
-                    lists[value] = _first(lists[value] + new, most)
-            found = [(value, c, x) for value, some in lists.items() for c, x in some]
-            yield pa.RecordBatch.from_arrays([pa.array([*c], t) for c, t in zip(zip(*found, (-1, float(n), None), strict=True), schema.types, strict=True)], schema=schema)
-
-        return run
-
-    out = []
-    for view, (rows, logit) in enumerate(((texts, content), (shapes, metadata_view))):
-        found = rows.mapInArrow(judged(logit, *calibration[view]), f"value int, sure double, id {kind.simpleString()}").collect()  # at most 2 ``most`` + 1 rows a task
-        n = min(most, max(1, int(SHARE * sum(r["sure"] for r in found if r["value"] < 0) / 2)))
-        out += [(view, value, x) for value in (1, 0) for _, x in _first([(r["sure"], r["id"]) for r in found if r["value"] == value], n)]
-    return out
+    return means(0), means(1)
+
+
+def _row(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
 
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

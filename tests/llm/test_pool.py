@@ -2,25 +2,54 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from epochgraph.llm import ngrams, quality
 
 
-def test_rare_documents_are_found(spark):
-    """The surest few of 6,000 documents are chosen, wherever they stand; a sample of 1,200 would miss most."""
-    rare = {37, 1999, 2500, 4001, 5990}
-    texts = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id").isin(rare), "qqqq qqqq qqqq").otherwise("plain words").alias("text"))
-    rows = quality.columns(texts.repartition(3), "doc_id", "text")
-    sample = ngrams.counts(pa.array(["qqqq"]), ngrams.SIGNS)[0]
-    words = np.zeros(ngrams.BUCKETS)
-    words[np.frombuffer(sample[0], np.uint16)] = 100
-    page = quality.Linear(np.zeros(94), np.ones(94), np.zeros(94), 0.0)
-    taken = spark.sparkContext.broadcast({37})
-    shapes = rows.select("id", F.lit(b"").alias("names"), F.lit(np.zeros(quality.NUMBERS).tobytes()).alias("numbers"))
-    found = quality.surest(rows.select("id", "text"), shapes, taken, 150, words, -50.0, page, ((1.0, 0.0), (1.0, 0.0)))
-    assert {x for view, value, x in found if (view, value) == (0, 1)} == rare - {37}
-    assert len([x for view, value, x in found if (view, value) == (0, 0)]) == 150
+def test_all_sure_documents_teach(spark):
+    """What the views teach each other, from all of 900 documents in several partitions, against plain sums over dense features."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abc \n"), rng.integers(0, 30))) for _ in range(900)]
+    rows = spark.createDataFrame([(i, t, f"s{i % 3}", "en" if i % 2 else None, i) for i, t in enumerate(texts)], "id long, text string, source string, lang string, n_chars long").repartition(5)
+    words = rng.normal(size=ngrams.BUCKETS) * 12
+    table = rows.orderBy("id").toPandas()
+    page = quality.metadata(*(pa.Array.from_pandas(table[c]) for c in ("source", "lang", "n_chars", "text")))
+    linear = quality.Linear(page.mean(0), np.ones(94), rng.normal(size=94) * 0.5, 0.1)
+    x, calibration, least = dense(texts, ngrams.SIGNS), ((0.7, 0.2), (1.3, -0.1)), np.array([[0.5, 0.8], [0.9, 0.3]])
+    taken = set(range(0, 900, 7))
+    got = quality.taught(rows, spark.sparkContext.broadcast(taken), words, 0.3, linear, calibration, least)
+    odds = [0.7 * (x @ words + 0.3) + 0.2, 1.3 * linear.logit(page) - 0.1]
+    for view, (features, means) in enumerate(zip((x, page), got, strict=True)):
+        groups = {}
+        for i in range(900):
+            own, other = odds[view][i], odds[1 - view][i]
+            if i not in taken and (own > 0) == (other > 0) and abs(other) > least[1 - view][int(other > 0)]:
+                groups.setdefault((int(own > 0), sum(abs(own) > m for m in quality.MARGINS)), []).append(features[i])
+        assert len(groups) > 6 and len(means.x) == len(groups)
+        whole = [sum(len(g) for (v, _), g in groups.items() if v == value) for value in (0, 1)]
+        for row, label, weight, ((value, _), members) in zip(means.x, means.label, means.weight, sorted(groups.items()), strict=True):
+            assert label == value and np.allclose(row, np.mean(members, 0), atol=1e-5)
+            assert np.isclose(weight, quality.TAUGHT[value] / 2 * len(members) / whole[value])
+
+
+def plain_layout(text):
+    data = text.encode()
+    n, whole = len(data), max(1, len(data))
+    kinds = [sum(b in kind for b in data) for kind in (range(65, 91), range(48, 58), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)], [9, 10, 11, 12, 13, 32], [10])]
+    lines, words = data.split(b"\n"), data.split()
+    twice = 1 - len(set(words)) / len(words) if words else 0
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words) if words else 0
+    return [np.log1p(n), np.log1p(kinds[4]), np.log1p(n / (kinds[4] + 1)), np.log1p(n / (kinds[3] + 1)), *(k / whole for k in kinds[:4]), 1 - len(set(lines)) / len(lines), twice, again, n == 0]
+
+
+def test_layout():
+    """Numbers on texts' shapes by plain counts: nulls, none, other scripts, and texts longer than several blocks."""
+    texts = ["", None, "a", "A B\n\nA B\n12 -- ", "\t\x0b\x0c\r ", "日本語 été", "word Word 7, " * 100_000, "x" * 600_000, "one line\n" * 70_000]
+    got = quality.layout(pa.array(texts))
+    assert np.allclose(got, [plain_layout(t or "") for t in texts])
+    page = quality.metadata(pa.array(["s", None] * 4 + ["s"]), pa.array([None] * 9, pa.string()), pa.array([5, None, -1] * 3, pa.int64()), pa.array(texts))
+    assert np.allclose(page[:, -12:], got) and (page[:, : quality.SOURCES].sum(1) == 1).all() and (page[:, quality.SOURCES : -quality.NUMBERS].sum(1) == 1).all()
+    assert np.allclose(page[:, -14], np.log1p([5, 0, 0] * 3)) and page[:, -13].tolist() == [0, 1, 1] * 3
 
 
 def dense(texts, table):
