@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 #: Rows of a bin, at most; a shard has as many bins as it needs.
-BIN_ROWS = 1 << 20
+BIN_ROWS = 1 << 18
 #: From so many rows on the library's draw isn't defined.
 LARGE = 10**9
 
