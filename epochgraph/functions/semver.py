@@ -158,7 +158,28 @@ def names_prerelease(req: Column) -> Column:
 
 def version_key(major: Column, minor: Column, patch: Column) -> Column:
     """A text that orders as the three numbers do."""
-    return F.concat(*(F.lpad(n.cast(NUMBER).cast("string"), 20, "0") for n in (major, minor, patch)))
+    return F.concat(*(F.lpad(n.cast("string"), 21, "0") for n in (major, minor, patch)))
+
+
+def may_be_too_wide(low: Column, high: Column) -> Column:
+    """Whether a range of version keys holds any version that is the first incompatible one after another: M.0.0 or 0.m.0 from 2 on, 0.0.p from 1 on."""
+    major, minor, patch = numbers_of_key(low)
+    zero, one, two = F.lit(0), F.lit(1), F.lit(2)
+    again = ((minor > 0) | (patch > 0)).cast("int")
+    majors = version_key(F.greatest(major + again, two), zero, zero) < high
+    minors = (major == 0) & (version_key(zero, F.greatest(minor + (patch > 0).cast("int"), two), zero) < high)
+    patches = (major == 0) & (minor == 0) & (version_key(zero, zero, F.greatest(patch, one)) < high)
+    return majors | minors | patches
+
+
+def numbers_of_key(key: Column) -> tuple[Column, Column, Column]:
+    """The three numbers that a ``version_key`` was made of."""
+    return tuple(F.substring(key, 1 + 21 * i, 21).cast(NUMBER) for i in range(3))
+
+
+def caret_text(major: Column, minor: Column, patch: Column) -> Column:
+    """The text of the requirement to stay compatible with three numbers."""
+    return F.concat(F.lit("^"), F.concat_ws(".", *(n.cast("string") for n in (major, minor, patch))))
 
 
 def stable_range(req: Column) -> Column:
@@ -169,33 +190,26 @@ def stable_range(req: Column) -> Column:
     themselves are above it.
     """
     zero = F.lit(0).cast(NUMBER)
-    top = F.lit("~")  # after all digits
+    number = lambda *parts: F.struct(*(F.coalesce(p, zero).cast("DECIMAL(21,0)").alias(n) for p, n in zip(parts, ("a", "b", "c"), strict=True)))
+    bottom, top = number(zero, zero, zero), number(*[F.lit("1" + 20 * "0").cast("DECIMAL(21,0)")] * 3)
 
     def one(c: Column) -> Column:
-        op, major, minor, patch, stable = c["op"], c["major"], c["minor"], c["patch"], c["pre_empty"]
-        least = version_key(major, F.coalesce(minor, zero), F.coalesce(patch, zero))
-        # the first version after those that share the parts given
-        after = F.when(minor.isNull(), version_key(major + 1, zero, zero)).when(patch.isNull(), version_key(major, minor + 1, zero)).otherwise(version_key(major, minor, patch + 1))
-        tilde = F.when(minor.isNull(), version_key(major + 1, zero, zero)).otherwise(version_key(major, minor + 1, zero))
-        caret = F.when((major > 0) | minor.isNull(), version_key(major + 1, zero, zero)).when((minor > 0) | patch.isNull(), version_key(major, minor + 1, zero)).otherwise(version_key(major, minor, patch + 1))
-        low = F.when(op.isin("less", "less_eq"), "").when(op == "greater", F.when(stable, after).otherwise(least)).otherwise(least)
-        high = (
-            F.when(op.isin("greater", "greater_eq"), top)
-            .when(op == "less", least)
-            .when(op.isin("exact", "wildcard"), F.when(stable, after).otherwise(least))
-            .when(op == "less_eq", F.when(stable, after).otherwise(least))
-            .when(op == "tilde", tilde)
-            .otherwise(caret)
-        )
+        op, major, minor, patch = c["op"], c["major"], c["minor"], c["patch"]
+        least = number(major, minor, patch)
+        next_major, next_minor, next_patch = number(major + 1, zero, zero), number(major, minor + 1, zero), number(major, minor, patch + 1)
+        # the first version after those that share the parts given; nothing stable equals a prerelease
+        after = F.when(~c["pre_empty"], least).when(minor.isNull(), next_major).when(patch.isNull(), next_minor).otherwise(next_patch)
+        caret = F.when((major > 0) | minor.isNull(), next_major).when((minor > 0) | patch.isNull(), next_minor).otherwise(next_patch)
+        low = F.when(op.isin("less", "less_eq"), bottom).when(op == "greater", after).otherwise(least)
+        high = F.when(op.isin("greater", "greater_eq"), top).when(op == "less", least).when(op == "tilde", F.when(minor.isNull(), next_major).otherwise(next_minor)).when(op == "caret", caret).otherwise(after)
         return F.struct(low.alias("low"), high.alias("high"))
 
-    whole = F.struct(F.lit("").alias("low"), top.alias("high"))
-
     def both(a: Column, c: Column) -> Column:
         b = one(c)
         return F.struct(F.greatest(a["low"], b["low"]).alias("low"), F.least(a["high"], b["high"]).alias("high"))
 
-    return F.aggregate(req, whole, both)
+    key = lambda v: F.concat(*(F.lpad(v[n].cast("string"), 21, "0") for n in "abc"))
+    return F.aggregate(req, F.struct(bottom.alias("low"), top.alias("high")), both, lambda r: F.struct(key(r["low"]).alias("low"), key(r["high"]).alias("high")))
 
 
 def next_incompatible(v: Column) -> Column:

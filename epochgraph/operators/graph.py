@@ -31,43 +31,54 @@ SALTS = 16
 SHAPES = 10_000
 
 
+def ranges(dependencies: DataFrame) -> DataFrame:
+    """(req_key, may_pre, low, high) of each distinct requirement: its range of stable versions, and whether it may take prereleases.
+
+    Checkpointed twice, as later plans would hold the long expressions for parsing once for each use.
+    """
+    texts = durable(dependencies.select("req_key").distinct().withColumn("_r", semver.requirement(F.col("req_key"))))
+    made = texts.select("req_key", semver.names_prerelease(F.col("_r")).alias("may_pre"), semver.stable_range(F.col("_r")).alias("_s"))
+    return durable(made).select("req_key", "may_pre", "_s.low", "_s.high")
+
+
 def resolved(dependencies: DataFrame, releases: DataFrame) -> DataFrame:
     """(crate_id, req_key, version_id, interval): the greatest matching release as time goes on.
 
     A requirement that can't take prereleases is a range of stable versions, answered by ``swept``. The others, which are few, are
     compared with the releases of their package one by one.
     """
-    wanted = dependencies.groupBy("crate_id", "req_key").agg(F.first("req").alias("req")).withColumn("_pre", semver.names_prerelease(F.col("req")))
-    wanted = wanted.withColumn("_pre", F.coalesce("_pre", F.lit(False)))
-    stable = swept(wanted.filter("NOT _pre"), releases)
+    wanted = durable(dependencies.select("crate_id", "req_key").distinct())
+    wanted = wanted.join(ranges(wanted), "req_key")
+    stable = swept(wanted.filter("NOT may_pre"), releases)
     offered = releases.select("crate_id", "created_at", F.struct("ver", "version_id").alias("best"))
-    fitting = wanted.filter("_pre").join(offered, "crate_id").filter(semver.matches(F.col("req"), F.col("best.ver")))
+    unstable = wanted.filter("may_pre").select("crate_id", "req_key", semver.requirement(F.col("req_key")).alias("req"))
+    fitting = unstable.join(offered, "crate_id").filter(semver.matches(F.col("req"), F.col("best.ver")))
     best = running_max_intervals(fitting, ["crate_id", "req_key"], "best", "created_at")
     return stable.unionByName(best.select("crate_id", "req_key", F.col("best.version_id").alias("version_id"), FROM, TO))
 
 
 def swept(wanted: DataFrame, releases: DataFrame) -> DataFrame:
-    """(crate_id, req_key, version_id, interval) for requirements (crate_id, req_key, req) by their ranges of stable versions.
+    """(crate_id, req_key, version_id, interval) for requirements (crate_id, req_key, low, high) by their ranges of stable versions.
 
     A package's stable releases, sorted by version, are each linked to the nearest lesser version that came out earlier. The greatest
     release of a range, and the links from it on as long as they stay inside, are all that the requirement ever resolved to, latest
     first; so work is in proportion to releases, requirements and results, not to their pairs. Spark deals out and sorts by package; a
     task holds one package's releases at a time, some 150 bytes each.
     """
-    number = F.col("ver")
-    offered = releases.filter("ver.pre_empty").select("crate_id", F.lit(0).alias("kind"), semver.version_key(number["major"], number["minor"], number["patch"]).alias("low"), F.lit("").alias("high"), F.lit("").alias("req_key"), "ver", "version_id", F.unix_micros("created_at").alias("at"))
-    reach = wanted.filter("crate_id IS NOT NULL").select("crate_id", "req_key", semver.stable_range(F.col("req")).alias("r")).filter("r.low < r.high")
-    asked = reach.select("crate_id", F.lit(1).alias("kind"), "r.low", "r.high", "req_key", F.lit(None).cast(semver.VERSION).alias("ver"), F.lit(None).cast("long").alias("version_id"), F.lit(None).cast("long").alias("at"))
-    rows = offered.unionByName(asked).repartition("crate_id").sortWithinPartitions("crate_id", "kind", "ver", "version_id").drop("ver")
+    key = semver.version_key(*(F.col("ver")[n] for n in ("major", "minor", "patch")))
+    offered = releases.filter("ver.pre_empty").select("crate_id", key.alias("low"), F.lit(None).cast("string").alias("high"), F.lit(None).cast("string").alias("req_key"), "ver.build", "version_id", F.unix_micros("created_at").alias("at"))
+    asked = wanted.filter("crate_id IS NOT NULL AND low < high").select("crate_id", "low", "high", "req_key", F.lit(None).cast(offered.schema["build"].dataType).alias("build"), F.lit(None).cast("long").alias("version_id"), F.lit(None).cast("long").alias("at"))
+    rows = offered.unionByName(asked).repartition("crate_id")
+    rows = rows.sortWithinPartitions("crate_id", F.col("high").isNotNull(), "low", "build", "version_id").drop("build")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, keys, times, ids, links = None, [], [], [], []
         for batch in batches:
             out = []
-            for crate, kind, low, high, req_key, release, at in zip(*(batch[c].to_pylist() for c in ("crate_id", "kind", "low", "high", "req_key", "version_id", "at")), strict=True):
+            for crate, low, high, req_key, release, at in zip(*(batch[c].to_pylist() for c in ("crate_id", "low", "high", "req_key", "version_id", "at")), strict=True):
                 if crate != package:
                     package, keys, times, ids, links = crate, [], [], [], []
-                if not kind:
+                if high is None:  # a release; all of a package's come before its requirements
                     link = len(keys) - 1
                     while link >= 0 and times[link] >= at:
                         link = links[link]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import semver
+from ..operators.graph import ranges
 from ..operators.temporal import clipped, fill_forward
 from ..sources.schema import Registry
 from ..sources.shared import durable
@@ -51,15 +52,27 @@ def clamp(registry: Registry) -> Registry:
 
     Judged once for each dependency, against the greatest version of its target published by then, its own release included; a place
     in the order of publication is (created_at, load_ord). Dependencies of releases that are gone, or on packages without any release
-    by then, stay as they are. Publications and the places that are asked about are filled forward together.
+    by then, stay as they are.
+
+    Most requirements can't be too wide at any time, which their ranges tell; only the dependencies with others are looked at. For these,
+    publications and the places that are asked about are filled forward together. The verdict needs a version's three numbers alone.
     """
-    deps, columns, releases = registry.dependencies, registry.dependencies.columns, registry.releases
+    columns, releases = registry.dependencies.columns, registry.releases
+    deps = durable(registry.dependencies)  # read four times
+    key = semver.version_key(*(F.col("ver")[n] for n in ("major", "minor", "patch")))
+    wide = ranges(deps).filter(semver.may_be_too_wide(F.col("low"), F.col("high"))).select("req_key", "low", "high")
+    doubtful = deps.join(wide, "req_key")
     places = releases.select("version_id", "created_at", "load_ord")
-    asked = deps.select("version_id", "crate_id").distinct().join(places, "version_id")
-    offered = releases.select(F.lit(None).cast("long").alias("version_id"), "crate_id", "created_at", "load_ord", F.col("ver").alias("greatest"))
-    events = durable(asked.withColumn("greatest", F.lit(None).cast(releases.schema["ver"].dataType)).select(offered.columns).unionByName(offered))
-    known = fill_forward(events, ["crate_id"], "created_at", ["created_at", "load_ord"], "greatest").filter("version_id IS NOT NULL")
-    rows = deps.join(known.select("version_id", "crate_id", "greatest"), ["version_id", "crate_id"], "left")
-    rows = rows.withColumn("_req", semver.clamped(F.col("req"), F.col("greatest")))
-    key = F.when(F.col("_req") == F.col("req"), F.col("req_key")).otherwise(semver.requirement_text(F.col("_req")))
-    return replace(registry, dependencies=rows.withColumn("req_key", key).withColumn("req", F.col("_req")).select(columns))
+    asked = doubtful.select("version_id", "crate_id").distinct().join(places, "version_id")
+    offered = releases.select(F.lit(None).cast("long").alias("version_id"), "crate_id", "created_at", "load_ord", key.alias("top"))
+    events = durable(asked.withColumn("top", F.lit(None).cast("string")).select(offered.columns).unionByName(offered))
+    known = fill_forward(events, ["crate_id"], "created_at", ["created_at", "load_ord"], "top").filter("version_id IS NOT NULL AND top IS NOT NULL")
+    numbers = semver.numbers_of_key(F.col("top"))
+    following = semver.next_incompatible(F.struct(*(n.alias(name) for n, name in zip(numbers, ("major", "minor", "patch"), strict=True))))
+    known = known.select("version_id", "crate_id", "top", semver.version_key(*(following[n] for n in ("major", "minor", "patch"))).alias("_next"))
+    rows = doubtful.join(known, ["version_id", "crate_id"], "left")
+    too_wide = F.coalesce((F.col("low") <= F.col("_next")) & (F.col("_next") < F.col("high")), F.lit(False))
+    caret = F.array(semver.comparator(F.lit("caret"), *numbers)).cast(semver.REQUIREMENT)
+    narrowed = rows.withColumns({"req": F.when(too_wide, caret).otherwise(F.col("req")), "req_key": F.when(too_wide, semver.caret_text(*numbers)).otherwise(F.col("req_key"))})
+    rest = deps.join(wide.select("req_key"), "req_key", "left_anti")
+    return replace(registry, dependencies=rest.select(columns).unionByName(narrowed.select(columns)))

@@ -106,3 +106,17 @@ def test_ranges(spark):
     wrong = [(r["req"], r["num"]) for r in rows if r["stable"] and r["m"] != r["inside"] or not r["stable"] and r["m"] and not r["pre"]]
     assert not wrong, wrong[:10]
     assert sum(r["m"] for r in rows if r["stable"]) > 100
+
+
+def test_what_may_be_too_wide(spark):
+    """No requirement is ever clamped that its range says can't be, and of those that may be most are by some version."""
+    texts = [t for t in TEXTS if "-" not in t] + ["^1.2.3", "^2", "^2.1", "~0.0.1", "<0.0.1", ">=0.0.3, <0.0.4", "=2.0.0", "=0.1.0", "=1.0.0", ">=2.0.1, <3"]
+    tops = [f"{a}.{b}.{c}" for a in range(4) for b in range(4) for c in range(5)]
+    pairs = spark.createDataFrame([(t, v) for t in texts for v in tops], "text string, num string")
+    req, top = semver.requirement(F.col("text")), semver.version(F.col("num"))
+    span = semver.stable_range(req)
+    rows = pairs.select("text", semver.may_be_too_wide(span["low"], span["high"]).alias("may"), (semver.requirement_text(semver.clamped(req, top)) != semver.requirement_text(req)).alias("is")).collect()
+    ever = {t: any(r["is"] for r in rows if r["text"] == t) for t in texts}
+    may = {r["text"]: r["may"] for r in rows}
+    assert not [t for t in texts if ever[t] and not may[t]]
+    assert not may["^1.2.3"] and not may["^2.1"] and may["^2"] and may["*"] and may["0"] and [t for t in texts if may[t] and not ever[t]] == []
