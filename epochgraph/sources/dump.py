@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tarfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,11 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     options = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": False, "timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS][X]"}
     raw = spark.read.options(**options).csv(path)
     wanted = [c.split(" ") for c in TABLES[table].split(", ")]
-    return raw.withColumn(ORDINAL, F.monotonically_increasing_id()).select(ORDINAL, *((F.col(n) if n in raw.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
+    # a file is read by one task, in order, but Spark deals files out by size: a place is the file's place by name, then the row's in it
+    files = sorted((f.rpartition("/")[2] for f in raw.inputFiles()), key=unquote)
+    file = F.array_position(F.array(*map(F.lit, files)), F.col("_metadata.file_name"))
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return raw.withColumn(ORDINAL, F.shiftleft(file, 33) + row).select(ORDINAL, *((F.col(n) if n in raw.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted))
 
 
 def _true(column: str) -> Column:

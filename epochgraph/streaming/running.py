@@ -1,8 +1,8 @@
 """The changing parts as streams: which release is each package's latest, and counts from change logs.
 
 Releases arrive as a stream; each micro-batch folds into one row of state for each package, kept as a Parquet table under a version
-number that only grows, so that a batch that is run again gives the same result. A batch starts from the last version before its own; two
-versions are kept.
+number that only grows, so that a batch that is run again gives the same result. A batch starts from the version of the batch right before
+its own, and fails if that is lost; two versions are kept.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ class LatestReleases:
         fresh = releases.groupBy("crate_id").agg(F.max(rank).alias("rank"))
         versions = self._versions()
         earlier = [v for v in versions if v < batch]
-        if batch and not earlier:
-            raise RuntimeError(f"batch {batch}: the state of the batches before it is missing")
+        if batch and earlier[-1:] != [batch - 1]:  # every batch leaves a state, so a gap means that one was lost
+            raise RuntimeError(f"batch {batch}: the state of batch {batch - 1} is missing")
         before = self.spark.read.parquet(f"{self.folder}/state/batch={earlier[-1]}") if earlier else fresh.limit(0)
         both = before.withColumnRenamed("rank", "old").join(fresh, "crate_id", "full_outer")
         folded = both.withColumn("new", F.when(F.col("old").isNull() | (F.col("rank") > F.col("old")), F.col("rank")).otherwise(F.col("old"))).persist()
