@@ -212,6 +212,12 @@ def stable_range(req: Column) -> Column:
     return F.aggregate(req, F.struct(bottom.alias("low"), top.alias("high")), both, lambda r: F.struct(key(r["low"]).alias("low"), key(r["high"]).alias("high")))
 
 
+def compiled(req: Column) -> Column:
+    """What matching and clamping need of a requirement: struct<may_pre, may_widen, low, high>; whether it may take prereleases, whether it may ever be too wide, its range."""
+    span = F.transform(F.array(stable_range(req)), lambda r: F.struct(names_prerelease(req).alias("may_pre"), may_be_too_wide(r["low"], r["high"]).alias("may_widen"), r["low"].alias("low"), r["high"].alias("high")))
+    return span[0]
+
+
 def next_incompatible(v: Column) -> Column:
     """The least version number that a caret on ``v`` excludes."""
     zero = F.lit(0)

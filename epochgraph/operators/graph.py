@@ -31,24 +31,13 @@ SALTS = 16
 SHAPES = 10_000
 
 
-def ranges(dependencies: DataFrame) -> DataFrame:
-    """(req_key, may_pre, low, high) of each distinct requirement: its range of stable versions, and whether it may take prereleases.
-
-    Checkpointed twice, as later plans would hold the long expressions for parsing once for each use.
-    """
-    texts = durable(dependencies.select("req_key").distinct().withColumn("_r", semver.requirement(F.col("req_key"))))
-    made = texts.select("req_key", semver.names_prerelease(F.col("_r")).alias("may_pre"), semver.stable_range(F.col("_r")).alias("_s"))
-    return durable(made).select("req_key", "may_pre", "_s.low", "_s.high")
-
-
 def resolved(dependencies: DataFrame, releases: DataFrame) -> DataFrame:
     """(crate_id, req_key, version_id, interval): the greatest matching release as time goes on.
 
     A requirement that can't take prereleases is a range of stable versions, answered by ``swept``. The others, which are few, are
     compared with the releases of their package one by one.
     """
-    wanted = durable(dependencies.select("crate_id", "req_key").distinct())
-    wanted = wanted.join(ranges(wanted), "req_key")
+    wanted = durable(dependencies.select("crate_id", "req_key", "may_pre", "low", "high").distinct())
     stable = swept(wanted.filter("NOT may_pre"), releases)
     offered = releases.select("crate_id", "created_at", F.struct("ver", "version_id").alias("best"))
     unstable = wanted.filter("may_pre").select("crate_id", "req_key", semver.requirement(F.col("req_key")).alias("req"))

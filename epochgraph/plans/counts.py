@@ -35,7 +35,8 @@ def dependents(registry: Registry, predicates: DataFrame, transitive: bool = Fal
         resolutions = graph.resolved(dependencies, releases)
         return graph.dependents(matches, graph.direct_edges(dependencies, resolutions), latest)
     resolutions = graph.durable(graph.resolved(dependencies, releases))
-    direct = graph.dependents(matches, graph.direct_edges(dependencies, resolutions), latest)
+    near = dependencies.join(predicates.select("crate_id").distinct(), "crate_id", "left_semi")  # only these can point to a match
+    direct = graph.dependents(matches, graph.direct_edges(near, resolutions), latest)
     reached = graph.reachable(matches, releases, graph.outer_edges(releases, dependencies, resolutions))
     return direct.select("version_id", "query_id", FROM, TO).unionByName(graph.reaching(reached, latest).select("version_id", "query_id", FROM, TO))
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import semver
-from ..operators.graph import ranges
 from ..operators.temporal import clipped, fill_forward
 from ..sources.schema import Registry
 from ..sources.shared import durable
@@ -58,10 +57,9 @@ def clamp(registry: Registry) -> Registry:
     publications and the places that are asked about are filled forward together. The verdict needs a version's three numbers alone.
     """
     columns, releases = registry.dependencies.columns, registry.releases
-    deps = durable(registry.dependencies)  # read four times
+    deps = durable(registry.dependencies)  # read three times
     key = semver.version_key(*(F.col("ver")[n] for n in ("major", "minor", "patch")))
-    wide = ranges(deps).filter(semver.may_be_too_wide(F.col("low"), F.col("high"))).select("req_key", "low", "high")
-    doubtful = deps.join(wide, "req_key")
+    doubtful = deps.filter("may_widen")
     places = releases.select("version_id", "created_at", "load_ord")
     asked = doubtful.select("version_id", "crate_id").distinct().join(places, "version_id")
     offered = releases.select(F.lit(None).cast("long").alias("version_id"), "crate_id", "created_at", "load_ord", key.alias("top"))
@@ -73,6 +71,7 @@ def clamp(registry: Registry) -> Registry:
     rows = doubtful.join(known, ["version_id", "crate_id"], "left")
     too_wide = F.coalesce((F.col("low") <= F.col("_next")) & (F.col("_next") < F.col("high")), F.lit(False))
     caret = F.array(semver.comparator(F.lit("caret"), *numbers)).cast(semver.REQUIREMENT)
-    narrowed = rows.withColumns({"req": F.when(too_wide, caret).otherwise(F.col("req")), "req_key": F.when(too_wide, semver.caret_text(*numbers)).otherwise(F.col("req_key"))})
-    rest = deps.join(wide.select("req_key"), "req_key", "left_anti")
+    narrow = {"req": caret, "req_key": semver.caret_text(*numbers), "low": F.col("top"), "high": F.col("_next"), "may_pre": F.lit(False), "may_widen": F.lit(False)}
+    narrowed = rows.withColumn("_w", too_wide).withColumns({name: F.when(F.col("_w"), value).otherwise(F.col(name)) for name, value in narrow.items()})
+    rest = deps.filter("may_widen IS NULL OR NOT may_widen")
     return replace(registry, dependencies=rest.select(columns).unionByName(narrowed.select(columns)))

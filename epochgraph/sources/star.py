@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semver
 from .schema import FEATURES, Registry
+from .shared import durable
 
 
 #: Prereleases of the dump's releases, from the lowest on but for the last, which is the lowest of all.
@@ -61,11 +62,16 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_requirements(rows: DataFrame) -> DataFrame:
-    """Dependency rows with ``req`` and ``req_key`` for their ``req_text``; each distinct text is parsed once, and a wrong one fails the job."""
+    """Dependency rows with ``req``, ``req_key`` and the parts of ``semver.compiled`` for their ``req_text``.
+
+    Each distinct text is parsed and compiled once, and a wrong one fails the job; the few texts are checkpointed, as plans would hold
+    the long expressions once for each use.
+    """
     texts = rows.select("req_text").distinct().withColumn("req", semver.requirement(F.col("req_text")))
     texts = texts.withColumn("req", F.when(F.col("req").isNull() & F.col("req_text").isNotNull(), F.raise_error(F.concat(F.lit("wrong version requirement: "), F.col("req_text")))).otherwise(F.col("req")))
-    parsed = texts.withColumn("req_key", semver.requirement_text(F.col("req")))
-    return rows.join(parsed, "req_text").select("dep_id", "version_id", "crate_id", "req", "req_key", "feature", "default_features", "features", "kind")
+    parsed = durable(texts.withColumns({"req_key": semver.requirement_text(F.col("req")), "made": semver.compiled(F.col("req"))}))
+    parsed = parsed.select("req_text", "req", "req_key", "made.*")
+    return rows.join(parsed, "req_text").select("dep_id", "version_id", "crate_id", "req", "req_key", "may_pre", "may_widen", "low", "high", "feature", "default_features", "features", "kind")
 
 
 def registry(spark: SparkSession, sf_dir: str) -> Registry:
