@@ -53,25 +53,23 @@ def clamp(registry: Registry) -> Registry:
     in the order of publication is (created_at, load_ord). Dependencies of releases that are gone, or on packages without any release
     by then, stay as they are.
 
-    Most requirements can't be too wide at any time, which their ranges tell; only the dependencies with others are looked at. For these,
-    publications and the places that are asked about are filled forward together. The verdict needs a version's three numbers alone.
+    Most requirements can't be too wide at any time, which their ranges tell; only the dependencies with others are looked at. These are
+    filled forward together with the publications, each at its release's place. The verdict needs a version's three numbers alone.
     """
     columns, releases = registry.dependencies.columns, registry.releases
-    deps = durable(registry.dependencies)  # read three times
     key = semver.version_key(*(F.col("ver")[n] for n in ("major", "minor", "patch")))
-    doubtful = deps.filter("may_widen")
     places = releases.select("version_id", "created_at", "load_ord")
-    asked = doubtful.select("version_id", "crate_id").distinct().join(places, "version_id")
-    offered = releases.select(F.lit(None).cast("long").alias("version_id"), "crate_id", "created_at", "load_ord", key.alias("top"))
-    events = durable(asked.withColumn("top", F.lit(None).cast("string")).select(offered.columns).unionByName(offered))
-    known = fill_forward(events, ["crate_id"], "created_at", ["created_at", "load_ord"], "top").filter("version_id IS NOT NULL AND top IS NOT NULL")
+    rows = registry.dependencies.join(places, "version_id", "left").withColumns({"asks": F.lit(True), "top": F.lit(None).cast("string")})
+    offered = releases.select("crate_id", "created_at", "load_ord", F.lit(False).alias("asks"), key.alias("top"))
+    rows = durable(rows.unionByName(offered, allowMissingColumns=True))
+    doubtful = F.coalesce(F.col("may_widen"), F.lit(False)) & F.col("created_at").isNotNull()
+    known = fill_forward(rows.filter(~F.col("asks") | doubtful), ["crate_id"], "created_at", ["created_at", "load_ord"], "top").filter("asks")
     numbers = semver.numbers_of_key(F.col("top"))
     following = semver.next_incompatible(F.struct(*(n.alias(name) for n, name in zip(numbers, ("major", "minor", "patch"), strict=True))))
-    known = known.select("version_id", "crate_id", "top", semver.version_key(*(following[n] for n in ("major", "minor", "patch"))).alias("_next"))
-    rows = doubtful.join(known, ["version_id", "crate_id"], "left")
-    too_wide = F.coalesce((F.col("low") <= F.col("_next")) & (F.col("_next") < F.col("high")), F.lit(False))
+    known = known.withColumn("_next", semver.version_key(*(following[n] for n in ("major", "minor", "patch"))))
+    too_wide = F.coalesce(F.col("top").isNotNull() & (F.col("low") <= F.col("_next")) & (F.col("_next") < F.col("high")), F.lit(False))
     caret = F.array(semver.comparator(F.lit("caret"), *numbers)).cast(semver.REQUIREMENT)
     narrow = {"req": caret, "req_key": semver.caret_text(*numbers), "low": F.col("top"), "high": F.col("_next"), "may_pre": F.lit(False), "may_widen": F.lit(False)}
-    narrowed = rows.withColumn("_w", too_wide).withColumns({name: F.when(F.col("_w"), value).otherwise(F.col(name)) for name, value in narrow.items()})
-    rest = deps.filter("may_widen IS NULL OR NOT may_widen")
+    narrowed = known.withColumn("_w", too_wide).withColumns({name: F.when(F.col("_w"), value).otherwise(F.col(name)) for name, value in narrow.items()})
+    rest = rows.filter(F.col("asks") & ~doubtful)
     return replace(registry, dependencies=rest.select(columns).unionByName(narrowed.select(columns)))

@@ -173,6 +173,6 @@ def test_lines_written_in_order(spark, tmp_path):
     assert "2020-01-02 00:00:00.25 [1, 1]" in list(counts.lines(df.withColumn("value", F.lit(1).cast("long")), 2))
 
 
-@pytest.mark.parametrize("value, shown", [(1 / 3, "0.33333334"), (0.0, "0.0"), (1.0, "1.0"), (0.5, "0.5"), (1e-4, "0.0001"), (0.00012345, "0.00012345"), (9.5e-5, "9.5e-5"), (1e-5, "1e-5"), (1.5e7, "15000000.0"), (2e16, "2e16"), (float("nan"), "NaN"), (0.002, "0.002"), (12.5, "12.5")])
+@pytest.mark.parametrize("value, shown", [(1 / 3, "0.33333334"), (0.0, "0.0"), (1.0, "1.0"), (0.5, "0.5"), (1e-4, "0.0001"), (0.00012345, "0.00012345"), (9.5e-5, "9.5e-5"), (1e-5, "1e-5"), (1.5e7, "15000000.0"), (float("nan"), "NaN"), (0.002, "0.002"), (12.5, "12.5")])
 def test_shortest(spark, value, shown):
     assert spark.range(1).select(counts.shortest(F.lit(value).cast("float"))).first()[0] == shown
