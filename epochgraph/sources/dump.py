@@ -1,13 +1,18 @@
 """Registry dumps: a .tar.gz of CSV tables, or the same tables as CSV or Parquet folders.
 
-A tar archive can't be split, so its members are unpacked once, as a stream, into a folder that all executors share, and read
-there by Spark. ``load`` gives the prepared tables; ``save`` and ``open_saved`` keep them as Parquet.
+A tar archive can't be split, so its members are unpacked once, as a stream, into a folder that all executors share. On the way
+they are cut at record ends into parts, so that a member of any size is read by many tasks. ``load`` gives the prepared tables;
+``save`` and ``open_saved`` keep them as Parquet.
 """
 
 from __future__ import annotations
 
 import tarfile
 import uuid
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+from typing import BinaryIO
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +35,8 @@ TABLES = {
 }
 #: A row's place in its table: in the file for CSV, by the id for Parquet, whose files have no order.
 ORDINAL = "_ordinal"
+#: Bytes after which a member's next record starts a new part, and bytes unpacked at a time.
+PART, CHUNK = 64 << 20, 1 << 20
 #: The dump's numbers for kinds.
 KINDS, OWNER_KINDS = {0: "normal", 1: "build", 2: "dev"}, {0: "user", 1: "team"}
 #: A release that enables a feature of a package that never existed; the feature counts as its own.
@@ -47,11 +54,53 @@ def unpack(spark: SparkSession, path: str, folder: str) -> None:
             table = member.name.rpartition("/")[2].removesuffix(".csv")
             if not member.isfile() or not member.name.endswith(".csv") or table not in TABLES:
                 continue
-            out = system.create(jvm.org.apache.hadoop.fs.Path(at, f"{table}/{table}.csv"))
-            source = archive.extractfile(member)
-            while chunk := source.read(1 << 20):
-                out.write(chunk)
-            out.close()
+            for part, pieces in groupby(parts_of(archive.extractfile(member), PART, CHUNK), itemgetter(0)):
+                out = system.create(jvm.org.apache.hadoop.fs.Path(at, f"{table}/{part:08d}.csv"))
+                for _, piece in pieces:
+                    out.write(piece)
+                out.close()
+
+
+def record_end(text: bytes, quoted: bool) -> int:
+    """The place after the first line end outside quotes, -1 if there is none; ``quoted`` tells whether the text starts inside.
+
+    A doubled quote closes and opens again, so the parity of quotes alone decides.
+    """
+    at = 0
+    for i, piece in enumerate(text.split(b'"')):
+        if (i % 2 == 1) == quoted:
+            end = piece.find(b"\n")
+            if end >= 0:
+                return at + end + 1
+        at += len(piece) + 1
+    return -1
+
+
+def parts_of(source: BinaryIO, size: int, chunk: int) -> Iterator[tuple[int, bytes]]:
+    """(part, bytes in order): a CSV file's parts, each with the file's header and whole records, in the file's order.
+
+    A part ends at the first record end after ``size`` bytes of records, so a record of any length stays whole. A file without
+    records gives its header as one part, an empty one one empty part.
+    """
+    text = source.read(chunk)
+    while record_end(text, False) < 0 and (more := source.read(chunk)):
+        text += more
+    end = record_end(text, False)
+    header, text = (text[:end], text[end:]) if end >= 0 else (text, b"")
+    part, length, quoted = 0, 0, False
+    yield part, header
+    while text := text or source.read(chunk):
+        end = record_end(text, quoted) if length >= size else -1
+        if end >= 0 and (text[end:] or (more := source.read(chunk))):
+            yield part, text[:end]
+            text = text[end:] or more
+            part, length, quoted = part + 1, 0, False
+            yield part, header
+        else:
+            yield part, text
+            length += len(text)
+            quoted ^= text.count(b'"') % 2 == 1
+            text = b""
 
 
 def tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
