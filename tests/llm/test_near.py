@@ -130,9 +130,27 @@ def test_bounds_lose_nothing():
     rng = np.random.default_rng(6)
     a = rng.normal(size=(300, 24))
     b = np.concatenate([a[:150] + rng.normal(size=(150, 24)) * 0.39, rng.normal(size=(100, 24))])
-    i, j = vectors.linked(a, b, 0.93)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(unit(a) @ unit(b).T >= 0.93)), strict=True)) and len(i) > 20
+    near = unit(a) @ unit(b).T >= 0.93
+    of_a, of_b = vectors.quantised(vectors.unit(a)), vectors.quantised(vectors.unit(b))
+    sure, unsure = vectors.settled(of_a, of_b, 0.93)
+    assert not (sure & ~near).any() and not (near & ~sure & ~unsure).any() and not (sure & unsure).any()
+    assert near.sum() > 20 and sure.sum() > 5 and 0 < unsure.sum() < 50  # codes settle almost all
+    back, open_back = vectors.settled(of_b, of_a, 0.93)  # a pair is settled alike either way round and in other company
+    assert (back.T == sure).all() and (open_back.T == unsure).all()
+    rows = rng.permutation(300)[:40]
+    some, open_some = vectors.settled(tuple(x[rows] for x in of_a), of_b, 0.93)
+    assert (some == sure[rows]).all() and (open_some == unsure[rows]).all()
+
+
+def test_tiles_are_given_codes(spark):
+    """A tile's rows carry a byte a component; components travel only for vectors with an open pair."""
+    rng = np.random.default_rng(8)
+    flat = [(i, v.tolist(), 1, 1) for i, v in enumerate(rng.normal(size=(50, 32)))]
+    rows = spark.createDataFrame(flat, "class long, vector array<double>, label int, copies long").withColumn("size", F.size("vector"))
+    tiles = vectors._tiles(vectors.coded(rows), 16)
+    assert "vector" not in tiles.columns and {r[0] for r in tiles.select(F.length("codes")).collect()} == {32}
+    assert tiles.groupBy("low", "high", "class").count().filter("count > 1").count() == 0
 
 
 def test_long_fingerprint(spark):
