@@ -6,7 +6,7 @@ evaluated instant by instant. The open end is a far timestamp.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,6 +85,44 @@ def subtract_intervals(df: DataFrame, taken: DataFrame, keys: list[str]) -> Data
     return edges.withColumn(TO, F.lead("ts", 1).over(order)).filter("_here").select(*keys, F.col("ts").alias(FROM), TO)
 
 
+def spans_by_days(steps: DataFrame, keys: list[str], diffs: list[str], holds: Callable[..., Column]) -> DataFrame:
+    """(keys, interval): while ``holds`` of the running sums of ``diffs`` is true, for keys that may hold a large share of all rows.
+
+    ``steps`` has one row for each key and ``ts``; ``holds`` takes a column for each sum and is false of zeros. A day's edges are found
+    in the day; days hand on their sums and where the next day's first edge is. So no task orders more than a key's days or one of
+    its days. Costs two joins more than one window a key.
+    """
+    own = [f"_k{i}" for i in range(len(keys))]
+    by_day = [*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.to_date("ts").alias("_d")]
+    from_day_to_day = Window.partitionBy(*own).orderBy("_d")
+    earlier = from_day_to_day.rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_day").orderBy("ts")
+    days = steps.groupBy(*by_day).agg(*(F.sum(d).alias(f"_before_{d}") for d in diffs))
+    days = days.select(*own, "_d", *(F.coalesce(F.sum(f"_before_{d}").over(earlier), F.lit(0)).alias(f"_before_{d}") for d in diffs))
+    same = [*(F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)), F.col("_day") == F.col("_d")]
+    sums = steps.withColumn("_day", F.to_date("ts")).withColumns({f"_in_{d}": F.sum(d).over(inside) for d in diffs}).join(days, same)
+    now = [F.col(f"_in_{d}") + F.col(f"_before_{d}") for d in diffs]
+    just_before = [n - F.col(d) for n, d in zip(now, diffs, strict=True)]
+    edges = sums.withColumn("_begins", holds(*now)).filter(F.col("_begins") != holds(*just_before)).select(*keys, "_day", "ts", "_begins")
+    within = edges.withColumn(TO, F.lead("ts", 1).over(inside)).filter(F.col("_begins") & F.col(TO).isNotNull())
+    last = edges.groupBy(*by_day).agg(F.min("ts").alias("_first"), F.max(F.struct("ts", "_begins")).alias("_last"))
+    last = last.withColumn(TO, F.coalesce(F.lead("_first", 1).over(from_day_to_day), forever())).filter("_last._begins")
+    beyond = last.select(*(F.col(o).alias(k) for k, o in zip(keys, own, strict=True)), F.col("_last.ts").alias(FROM), TO)
+    return within.select(*keys, F.col("ts").alias(FROM), TO).unionByName(beyond)
+
+
+def coalesce_by_days(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same as ``coalesce_intervals``, for keys of any size."""
+    return spans_by_days(changes(df, keys), keys, ["diff"], lambda n: n > 0)
+
+
+def subtract_by_days(df: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    """The same as ``subtract_intervals``, for keys of any size."""
+    own, other = (changes(d, keys).withColumn(name, F.col("diff")) for d, name in ((df, "_own"), (taken, "_taken")))
+    both = own.unionByName(other, allowMissingColumns=True).groupBy(*keys, "ts").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_own", "_taken")))
+    return spans_by_days(both, keys, ["_own", "_taken"], lambda a, b: (a > 0) & (b == 0))
+
+
 def as_of(df: DataFrame, ts: Column) -> DataFrame:
     """The rows that hold at one instant."""
     return df.filter((F.col(FROM) <= ts) & (ts < F.col(TO)))

@@ -182,7 +182,7 @@ def event_running_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each user was active, an event counting for six hours: overlapping intervals as one."""
     rows = _events(spark, sf_dir).select("user_id", F.col("ts").alias(FROM), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias(TO))
-    return temporal.coalesce_intervals(rows, ["user_id"])
+    return temporal.coalesce_by_days(rows, ["user_id"])
 
 
 def event_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ def event_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
     known = rows.groupBy("user_id").agg(F.min("ts").alias(FROM)).withColumn(TO, temporal.forever())
     active = rows.select("user_id", F.col("ts").alias(FROM), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias(TO))
-    return temporal.subtract_intervals(known, active, ["user_id"])
+    return temporal.subtract_by_days(known, active, ["user_id"])
 
 
 def semver_matching(spark: SparkSession, sf_dir: str) -> DataFrame:

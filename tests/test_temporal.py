@@ -54,6 +54,42 @@ def test_coalesce_and_subtract(spark, seed):
     assert covered(rest) == {(k, i) for k in range(4) for i in range(DAYS + 2) if holds(a, k, i) and not holds(b, k, i)}
 
 
+def whole(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_by_days(spark, seed):
+    """The forms for hot keys against the plain ones: edges inside days and days apart, null keys, a key with most rows."""
+    rnd = random.Random(seed)
+
+    def made(n):
+        out = []
+        for _ in range(n):
+            a = T0 + timedelta(hours=rnd.randrange(24 * DAYS))
+            b = OPEN if rnd.random() < 0.02 else a + timedelta(hours=rnd.choice([0, 1, 1, 2, 5, 30, 70]))
+            out.append((rnd.choice([0] * 4 + [1, 2, 3, None]), rnd.choice(["x", "x", None]), a, b))
+        return spark.createDataFrame(out, "k int, l string, valid_from timestamp, valid_to timestamp")
+
+    a, b = made(90), made(60)
+    keys = ["k", "l"]
+    merged = whole(temporal.coalesce_by_days(a, keys))
+    assert merged == whole(temporal.coalesce_intervals(a, keys)) and len(merged) > 15
+    rest = whole(temporal.subtract_by_days(a, b, keys))
+    assert rest == whole(temporal.subtract_intervals(a, b, keys)) and len(rest) > 15
+    assert any(r[2].date() == r[3].date() for r in merged) and any(r[3] == OPEN for r in merged)
+    assert whole(temporal.coalesce_by_days(a.limit(0), keys)) == []
+    assert whole(temporal.subtract_by_days(a, b.limit(0), keys)) == merged and whole(temporal.subtract_by_days(b.limit(0), a, keys)) == []
+
+
+def test_hot_keys_are_ordered_by_day(spark):
+    """No window of the plan orders a key's edges at once: each is over a day, or over days' sums."""
+    rows = spark.createDataFrame([(1, T0, T0 + timedelta(hours=1))], "k int, valid_from timestamp, valid_to timestamp")
+    plan = temporal.coalesce_by_days(rows, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "+- Window [" in line]
+    assert len(windows) >= 4 and all("_day" in w or "_d#" in w for w in windows)
+
+
 def test_join(spark):
     a, b = rows(1), rows(2)
     got = temporal.interval_join(frame(spark, a), frame(spark, b), ["k"])
