@@ -248,7 +248,10 @@ def codec(path: str) -> Codec:
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every whole text; null texts count as empty and have no ids."""
+    """(id, ids array<int>) of every whole text, however long; null texts count as empty and have no ids.
+
+    Repeated rows and null ids stay, other columns are not looked at, an empty table gives no rows.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path)
@@ -264,7 +267,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) of every row of ids; null ids count as none. Bytes that form no character become U+FFFD."""
+    """(id, text) of every row of ids; null ids count as none. Bytes that form no character become U+FFFD.
+
+    Repeated rows stay, other columns are not looked at, an empty table gives no rows.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path)
@@ -282,7 +288,8 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """(id, n_tokens, ids_crc32, decoded_bytes, decoded_crc32, round_trip): each text encoded, and decoded again from its ids.
 
     ids_crc32 is over little-endian unsigned 32-bit ids. Null texts count as empty; repeated rows and null ids stay. A text
-    holding U+2581 decodes to a space there and isn't a round trip, as with the library.
+    holding U+2581 decodes to a space there and isn't a round trip, as with the library. Texts are taken in blocks, so their length
+    doesn't matter; other columns are not looked at, an empty table gives no rows.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -195,7 +195,10 @@ def _steps(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media binary) of every row; null texts count as empty, repeated rows and null ids stay."""
+    """(id, n_bytes, media binary) of every row; null texts count as empty, repeated rows and null ids stay.
+
+    A text over ``STEP`` is a step of its own, with all of its stream in memory. Other columns are not looked at, an empty table gives no rows.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +213,11 @@ def streams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What reading the stored streams gives: payload and media digests and a feature string; damage fails the job."""
+    """What reading the stored streams gives: payload and media digests and a feature string, for (id, n_bytes, media).
+
+    Damage fails the job, and so does media that is null or empty, since every text has a stream. Repeated rows and null ids stay, an
+    empty table gives no rows.
+    """
     kind = media.schema[id_col].dataType.simpleString()
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
@@ -220,6 +227,8 @@ def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             if not len(column):
                 continue
+            if (np.diff(offsets) == 0).any():
+                raise ValueError("a stream is missing")
             whole = np.frombuffer(column.buffers()[2], np.uint8)
             for a, b in _steps(np.diff(offsets)):
                 packets = whole[offsets[a] : offsets[b]].reshape(-1, PACKET)

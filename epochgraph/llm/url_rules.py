@@ -102,7 +102,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", place
 
     ``rule`` is the longest place rule that fits, else null, and decides; else the first pattern rule by name that fits does, else
     ``default``. Null URLs and those without ``://`` have empty host and path, fit nothing and get the default. Repeated rows
-    and null ids come back as they are; other columns are not looked at.
+    and null ids come back as they are; other columns are not looked at. URLs are taken whole, an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url"))
     urls = rows.select("url").filter(F.contains("url", F.lit("://"))).distinct()

@@ -116,7 +116,8 @@ def near_pairs(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     Links join different rows of one label with cosine >= threshold; equal vectors always link. Rows with a null label or an
     unusable vector (null, zero, with null or non-finite components) link with nothing, nor do vectors of different length.
-    Repeated rows are rows of their own. component_id is the smallest id reachable; null if no row of the component has an id.
+    Repeated rows are rows of their own. component_id is the smallest id reachable; null if no row of the component has an id. Other
+    columns are not looked at, an empty table gives no rows. A block is 2,048 vectors whatever their length, which sets a task's memory.
     """
     rows = embeddings.select(F.col(id_col).alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("vector"), F.col(label_col).alias("label"))
     rows = checkpointed(rows.withColumn("valid", usable(F.col("vector")) & F.col("label").isNotNull()))

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from epochgraph.llm import transport
 
 
@@ -94,3 +97,10 @@ def test_stored_form(spark):
         assert tables == [place - 2 for _, access, _, place in units if access]  # tables stand before each point
         mean = sum(payload) / len(payload)
         assert features[i] == f"units={len(units)} access={len(tables)} last={(len(units) - 1) / 25:.2f}s mean={mean:.3f}"
+
+
+def test_missing_streams_fail(spark):
+    media = transport.streams(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"))
+    for nothing in (F.lit(None).cast("binary"), F.lit(b"")):
+        with pytest.raises(Exception, match="a stream is missing"):
+            transport.digests(media.withColumn("media", F.when(F.col("doc_id") == 1, F.col("media")).otherwise(nothing))).collect()
