@@ -127,7 +127,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, held_out, lang_pred, score, rejected) of every row; repeated rows and null ids stay, an empty table gives none."""
+    """(id, held_out, lang_pred, score, rejected) of every row; repeated rows and null ids stay, an empty table gives none.
+
+    Texts that are null or have no letter are ``und`` with score zero, and so is everything if no row has a language to learn from. Texts of
+    any length are read whole; columns other than the three named are not looked at.
+    """
     model = fit(docs, id_col, text_col, lang_col)
     found = docs.select(id_col, held_out(id_col).alias("held_out"), predict(docs, model, text_col).alias("found"))
     return found.select(id_col, "held_out", "found.lang_pred", "found.score", "found.rejected")

@@ -379,7 +379,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, score, content, metadata, rejected) of every row.
 
     Null texts count as empty, null metadata as a value of its own; repeated rows and null ids stay. Without any label every
-    score is a half and nothing is rejected; an empty table gives an empty result.
+    score is a half and nothing is rejected; an empty table gives an empty result. Texts of any length are read whole.
     """
     model = fit(docs, labels, id_col, text_col, label_col)
     found = docs.select(docs[id_col], score(docs, model, text_col).alias("found"))

@@ -168,7 +168,11 @@ def counter(path: str, chunk: int, overlap: int) -> Counter:
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every row; no shuffle, and memory is bounded by one Arrow batch and the memo."""
+    """(id, n_bytes, n_tokens, over_limit) of every row; no shuffle, and memory is bounded by one Arrow batch and the memo.
+
+    Null texts count as empty, without bytes or tokens; a text of any length is counted whole, by chunks. Repeated rows and null ids
+    stay, other columns are not looked at, an empty table gives no rows.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(path, chunk, overlap)
