@@ -1,11 +1,12 @@
 """Near-duplicates by content: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked, groups are
 connected components.
 
-No radius of a SimHash holds all such pairs, so candidates come from MinHash: of 32 bands of four minima a pair at similarity 0.8 has
-one in common but for a chance of 5e-8 (less above). Equal sets are merged first, so that copies are one node. Only bands that two
-nodes share are given the shingles, and of bands with the same nodes one; there each node is compared exactly with the members of
-every group that it isn't yet in. A band of more than ``HOT_KEY`` sets is cut into blocks, and each task is given two of them, so no
-task gets a whole group, however many near copies there are.
+Candidates are groups of SimHash fingerprints that BK-trees link within their radius (``simhash.near_links``). No such radius holds all
+pairs at similarity 0.8, so the bands of a MinHash are further groups: of 32 bands of four minima such a pair has one in common but for
+a chance of 5e-8 (less above). Equal sets are merged first, so that copies are one node. Only groups of two or more nodes are given the
+shingles, and of groups with the same nodes one; there each node is compared exactly with the members of every group that it isn't yet
+in. A group of more than ``HOT_KEY`` sets is cut into blocks, and each task is given two of them, so no task gets a whole group, however
+many near copies there are.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import blocks, checkpointed, is_space, text_buffers
 from .components import components, first_of_groups
 from .wordtable import WordTable
@@ -84,6 +86,14 @@ def bands(items: np.ndarray) -> np.ndarray:
     return mixed ^ mixed >> np.uint64(32)
 
 
+def fingerprint(items: np.ndarray) -> int:
+    """The SimHash of a set of shingles' hashes."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(items), STEP):
+        votes += np.unpackbits(items[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return simhash.fingerprint(votes, len(items))
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of fewer rows, as each row's shingles take more room than its text."""
     for batch in batches:
@@ -120,17 +130,18 @@ def _node(items: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, node, bands): node is a hash of the whole set; a set without shingles has no bands."""
+    """(id, text_hash, node, fp, bands): node is a hash of the whole set; a set without shingles has no bands and no fingerprint."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            nodes, keys = [], []
+            nodes, prints, keys = [], [], []
             for items in _sets(batch.column(1)):
                 nodes.append(_node(items))
+                prints.append(fingerprint(items))
                 keys.append(bands(items).view(np.int64) if len(items) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "text_hash", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(prints, np.uint64).view(np.int64), mask=np.array([not len(k) for k in keys], bool)), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "text_hash", "node", "fp", "bands"])
 
-    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(made, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, text_hash long, node long, bands array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(made, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, text_hash long, node long, fp long, bands array<long>")
 
 
 def contents(docs: DataFrame, text_col: str) -> DataFrame:
@@ -189,13 +200,22 @@ def tiled(routed: DataFrame, hot_key: int) -> DataFrame:
     return cut.select(F.when(F.col("of") == 1, F.col("key")).otherwise(tile).alias("key"), "node")
 
 
+def alike(nodes: DataFrame) -> DataFrame:
+    """(key, node) of (node, fp): nodes whose fingerprints BK-trees link, by any number of links, have one key; without fp none."""
+    nodes = nodes.filter("fp IS NOT NULL")
+    roots = components(simhash.near_links(checkpointed(nodes.select("fp").distinct()))).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit(WIDTH)).alias("key"), "node")
+
+
 def near_links(docs: DataFrame, prints: DataFrame, first: DataFrame, id_col: str, text_col: str, hot_key: int = HOT_KEY) -> DataFrame:
-    """Links (a, b) that connect all similar ones of the distinct sets; only sets that share a band are made again from their texts.
+    """Links (a, b) that connect all similar ones of the distinct sets; only sets that share a fingerprint's group or a band are made again
+    from their texts.
 
     ``first`` (node, first) has one text for each set, as (id, text_hash).
     """
     nodes = prints.groupBy("node").agg(F.first("bands").alias("bands"))
-    routed = nodes.select("node", F.explode("bands").alias("key"))
+    near = alike(prints.groupBy("node").agg(F.min("fp").alias("fp")))
+    routed = nodes.select(F.explode("bands").alias("key"), "node").unionByName(near)
     hashes = (F.sum(F.shiftright(F.xxhash64("node", F.lit(k)), 20)).alias(f"h{k}") for k in range(2))  # of the nodes as a set
     shared = routed.groupBy("key").agg(F.count("*").alias("n"), *hashes).filter("n > 1").groupBy("n", "h0", "h1").agg(F.min("key").alias("key"))
     shared = checkpointed(shared.select("key", "n"))

@@ -4,7 +4,9 @@ import random
 
 import corpus_pipeline
 import pyarrow as pa
+import pytest
 from epochgraph.llm import near, simhash
+from pyspark.sql import functions as F
 from support import SF
 
 
@@ -93,3 +95,27 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, other), (2, long), (3, "short")], "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.thin(spark, docs, SF).collect()} == {1, 3}
     assert len(next(near._sets(pa.array([long])))) == len(shingles(long))
+
+
+@pytest.mark.parametrize("hot", [4096, 4])
+def test_fingerprints_alone_find_near_copies(spark, hot):
+    """With all bands taken away, BK-trees of fingerprints still lead to the similar texts within their radius, and the exact check still decides."""
+    rng = random.Random(4)
+    texts = ["", "one two three four five six"]
+    for _ in range(3):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+        texts += [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(["another"] + words[1:]), " ".join(words + ["more"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = near.sketches(docs, "doc_id", "text")
+    fp = {r["node"]: r["fp"] for r in prints.collect()}
+    assert sum(x is None for x in fp.values()) == 1  # no shingles, no fingerprint
+    near_by = {(a, b) for a in fp for b in fp if a < b and None not in (fp[a], fp[b]) and ((fp[a] ^ fp[b]) % 2**64).bit_count() <= simhash.RADIUS}
+    assert len(near_by) > 5
+    first = prints.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    none = prints.withColumn("bands", F.array().cast("array<long>"))
+    root = {x: x for x in fp}
+    for r in near.near_links(docs, none, first, "doc_id", "text", hot_key=hot).collect():
+        old, new = root[r["a"]], root[r["b"]]
+        root = {x: new if y == old else y for x, y in root.items()}
+    assert all(root[a] == root[b] for a, b in near_by)
+    assert len(set(root.values())) >= 5
