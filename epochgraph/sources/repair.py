@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,18 +49,30 @@ NEWEST_PARTIAL_IO, NEWEST_REQUIREMENTS = "0.3.0", {"lazy_static": "^1.0", "quick
 PARTIAL_IO_FEATURE, PARTIAL_IO_ENABLES = "tokio", ["tokio-io", "futures"]
 
 
+#: Ids that are looked at first, as most tables have room among them.
+NEAR = 4096
+
+
 class _Mend:
     @staticmethod
     def _unused(df: DataFrame, column: str, first: int, n: int) -> list[int]:
-        """The ``n`` least ids from ``first`` on that aren't used; at most ``n`` of the least used ones are looked at a time."""
-        out: list[int] = []
-        low = first
-        while len(out) < n:
-            high = low + 4096
-            used = {r[0] for r in df.filter((F.col(column) >= low) & (F.col(column) < high)).select(column).distinct().collect()}
-            out += [i for i in range(low, high) if i not in used][: n - len(out)]
-            low = high
-        return out
+        """The ``n`` least ids from ``first`` on that aren't used: those of the first ids, or else by one pass over all, however long they run without a gap.
+
+        In that pass used ids are bits of blocks of 64. The first blocks with room hold the answer, and only these come to the driver;
+        where blocks are missing, enough of them follow the last one before.
+        """
+        used = {r[0] for r in df.filter((F.col(column) >= first) & (F.col(column) < first + NEAR)).select(column).distinct().collect()}
+        near = [i for i in range(first, first + NEAR) if i not in used][:n]
+        if len(near) == n:
+            return near
+        more = n // 64 + 2
+        bits = df.filter(F.col(column) >= first).groupBy(F.shiftright(column, 6).alias("block")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(`{column}` & 63 AS INT))")).alias("bits"))
+        step = F.explode(F.sequence(F.lit(0), F.lit(more)))
+        bits = bits.select("block", "bits", step.alias("k")).select((F.col("block") + F.col("k")).alias("block"), F.when(F.col("k") == 0, F.col("bits")).otherwise(0).alias("bits"))
+        begin = df.sparkSession.range(first >> 6, (first >> 6) + more).select(F.col("id").alias("block"), F.lit(0).cast("long").alias("bits"))
+        blocks = bits.unionByName(begin).groupBy("block").agg(F.bit_or("bits").alias("bits"))
+        rows = blocks.filter("bits <> -1").orderBy("block").limit(n + 1).collect()  # each has room, the first one maybe only before ``first``
+        return [i for r in rows for i in range(64 * r["block"], 64 * r["block"] + 64) if i >= first and not r["bits"] >> i % 64 & 1][:n]
 
     def packages(self, packages: DataFrame) -> tuple[DataFrame, int]:
         """With the missing packages under the least unused ids from 1 on; how many there were."""
@@ -70,15 +85,16 @@ class _Mend:
         ids = self._unused(packages, "crate_id", 1, len(missing))
         return packages.unionByName(spark.createDataFrame(list(zip(ids, missing, strict=True)), "crate_id long, name string")), len(missing)
 
-    def releases(self, spark: SparkSession, packages: DataFrame, releases: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def releases(self, spark: SparkSession, packages: DataFrame, releases: DataFrame, dependencies: DataFrame, numbers: DataFrame, dep_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
         """With the missing releases and their dependency rows, under the least unused ids from 0 on.
 
-        A package that has one of these versions already fails the job: the dump was mended at its source.
+        ``numbers`` (version_id, crate_id, num, load_ord) and ``dep_ids`` (dep_id) are the same rows as the raw tables have them, so
+        that what is looked up here needn't make the prepared ones. A package that has one of these versions already fails the job: the dump was mended at its source.
         """
         keys = [p.replace("_", "-") for p in PACKAGES]
         found = packages.withColumn("k", names.package_key(F.col("name"))).filter(F.col("k").isin(keys)).collect()
         ids = {r["k"]: r["crate_id"] for r in found}
-        version_ids = self._unused(releases, "version_id", 0, len(RELEASES))
+        version_ids = self._unused(numbers, "version_id", 0, len(RELEASES))
         rows, deps = [], []
         for i, (name, num, ts) in enumerate(RELEASES):
             crate = ids[name.replace("_", "-")]
@@ -87,16 +103,20 @@ class _Mend:
             if name == "partial-io":
                 newer = NEWEST_REQUIREMENTS if num == NEWEST_PARTIAL_IO else {}
                 deps += [(version_ids[i], ids[d.replace("_", "-")], newer.get(d, req), feature, kind) for d, req, feature, kind in PARTIAL_IO_DEPENDENCIES]
-        clash = releases.select("crate_id", "num").join(F.broadcast(spark.createDataFrame([(r[1], r[2]) for r in rows], "crate_id long, num string")), ["crate_id", "num"], "left_semi")
-        if not clash.isEmpty():
+        put_back = reduce(or_, ((F.col("crate_id") == r[1]) & (F.col("num") == r[2]) for r in rows))
+        last, clash = numbers.agg(F.max("load_ord"), F.max(put_back)).first()
+        if clash:
             raise ValueError("a release to be put back is in the dump")
-        last = releases.agg(F.max("load_ord")).first()[0] or 0
+        last = last or 0
         added = spark.createDataFrame(rows, f"version_id long, crate_id long, num string, created_at string, load_ord long, features {FEATURES}")
         added = added.withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("load_ord", F.col("load_ord") + last + 1).withColumn("ver", semver.version(F.col("num")))
-        dep_ids = self._unused(dependencies, "dep_id", 0, len(deps))
-        extra = spark.createDataFrame([(i, *d) for i, d in zip(dep_ids, deps, strict=True)], "dep_id long, version_id long, crate_id long, req_text string, feature string, kind string")
+        ids_of_deps = self._unused(dep_ids, "dep_id", 0, len(deps))
+        extra = spark.createDataFrame([(i, *d) for i, d in zip(ids_of_deps, deps, strict=True)], "dep_id long, version_id long, crate_id long, req_text string, feature string, kind string")
         extra = extra.withColumn("default_features", F.lit(True)).withColumn("features", F.array().cast("array<string>"))
         return releases.unionByName(added.select(releases.columns)), dependencies.unionByName(extra.select(dependencies.columns))
 
 
+#: All requirements that are put back.
+TEXTS = sorted({d[1] for d in PARTIAL_IO_DEPENDENCIES} | set(NEWEST_REQUIREMENTS.values()))
+
 mend = _Mend()

@@ -5,12 +5,12 @@ Orders are releases of their customer's package; line items are dependencies of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import semver
 from .schema import FEATURES, Registry
-from .shared import durable
+from .shared import durable, parts_for
 
 
 #: Prereleases of the dump's releases, from the lowest on but for the last, which is the lowest of all.
@@ -49,29 +49,45 @@ def releases(spark: SparkSession, sf_dir: str, features: bool = True) -> DataFra
 
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A requirement's numbers come from the whole part of the quantity; none counts as 0."""
-    rows = _table(spark, sf_dir, "lineitem").withColumn("_q", F.coalesce(F.floor("l_quantity"), F.lit(0)).cast("int")).select("l_orderkey", "l_suppkey", "l_linenumber", F.expr("_q % 3").alias("a"), F.expr("_q % 5").alias("b"), "l_returnflag", "l_linestatus", (F.col("l_tax") >= 0.04).alias("optional"), (F.col("l_discount") < 0.05).alias("defaults"), (F.col("l_discount") >= 0.08).alias("extra"))
-    rows = rows.distinct()
-    text = F.expr("""CASE l_linenumber WHEN 1 THEN '*' WHEN 2 THEN concat('^', a) WHEN 3 THEN concat('^', a, '.', b) WHEN 4 THEN concat('~', a, '.', b)
-        WHEN 5 THEN concat('>=', a, '.', b, '.0') WHEN 6 THEN concat('<', a, '.', b, '.0') ELSE concat('=', a, '.', b) END""")
+    lineitem = _table(spark, sf_dir, "lineitem")
+    rows = lineitem.withColumn("_q", F.coalesce(F.floor("l_quantity"), F.lit(0)).cast("int")).select("l_orderkey", "l_suppkey", "l_linenumber", F.expr("_q % 3").alias("a"), F.expr("_q % 5").alias("b"), "l_returnflag", "l_linestatus", (F.col("l_tax") >= 0.04).alias("optional"), (F.col("l_discount") < 0.05).alias("defaults"), (F.col("l_discount") >= 0.08).alias("extra"))
+    rows = rows.repartition(parts_for(lineitem), "l_orderkey").distinct()  # the one shuffle of the distinct rows, in tasks of a bounded size
     kind = F.when(F.col("l_returnflag") != "N", "dev").when(F.col("l_linestatus") == "F", "normal").otherwise("build")
     return with_requirements(rows.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("dep_id"), F.col("l_orderkey").alias("version_id"), F.col("l_suppkey").alias("crate_id"), text.alias("req_text"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("dep_id"), F.col("l_orderkey").alias("version_id"), F.col("l_suppkey").alias("crate_id"), _text().alias("req_text"),
         F.when(F.col("optional"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string"))).otherwise("").alias("feature"), F.col("defaults").alias("default_features"),
         F.when(F.col("extra"), F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>")).alias("features"), kind.alias("kind"),
     ))
 
 
-def with_requirements(rows: DataFrame) -> DataFrame:
-    """Dependency rows with ``req``, ``req_key`` and the parts of ``semver.compiled`` for their ``req_text``.
+def _text() -> Column:
+    """A line item's requirement, of its number and the parts ``a`` and ``b`` of its quantity."""
+    return F.expr("""CASE l_linenumber WHEN 1 THEN '*' WHEN 2 THEN concat('^', a) WHEN 3 THEN concat('^', a, '.', b) WHEN 4 THEN concat('~', a, '.', b)
+        WHEN 5 THEN concat('>=', a, '.', b, '.0') WHEN 6 THEN concat('<', a, '.', b, '.0') ELSE concat('=', a, '.', b) END""")
+
+
+def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(req_text, req, req_key and the parts of ``semver.compiled``) of ``dependencies``, each text once: no dependency is made for them."""
+    rows = _table(spark, sf_dir, "lineitem").withColumn("_q", F.coalesce(F.floor("l_quantity"), F.lit(0)).cast("int")).select("l_linenumber", F.expr("_q % 3").alias("a"), F.expr("_q % 5").alias("b"))
+    return parsed(rows.distinct().select(_text().alias("req_text")))
+
+
+def with_requirements(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Dependency rows with the columns of ``parsed`` for their ``req_text``; ``texts`` has all of these if they are told by less than the rows."""
+    found = parsed(rows if texts is None else texts)
+    return rows.join(found, "req_text").select("dep_id", "version_id", "crate_id", "req", "req_key", "may_pre", "may_widen", "low", "high", "feature", "default_features", "features", "kind")
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """(req_text, ``req``, ``req_key`` and the parts of ``semver.compiled``) of each distinct ``req_text``.
 
-    Each distinct text is parsed and compiled once, and a wrong one fails the job; the few texts are checkpointed, as plans would hold
-    the long expressions once for each use.
+    Each is parsed and compiled once, and a wrong one fails the job; the few texts are checkpointed, as plans would hold the long
+    expressions once for each use.
     """
-    texts = rows.select("req_text").distinct().withColumn("req", semver.requirement(F.col("req_text")))
-    texts = texts.withColumn("req", F.when(F.col("req").isNull() & F.col("req_text").isNotNull(), F.raise_error(F.concat(F.lit("wrong version requirement: "), F.col("req_text")))).otherwise(F.col("req")))
-    parsed = durable(texts.withColumns({"req_key": semver.requirement_text(F.col("req")), "made": semver.compiled(F.col("req"))}))
-    parsed = parsed.select("req_text", "req", "req_key", "made.*")
-    return rows.join(parsed, "req_text").select("dep_id", "version_id", "crate_id", "req", "req_key", "may_pre", "may_widen", "low", "high", "feature", "default_features", "features", "kind")
+    texts = texts.filter("req_text IS NOT NULL").select("req_text").distinct().withColumn("req", semver.requirement(F.col("req_text")))
+    texts = texts.withColumn("req", F.when(F.col("req").isNull(), F.raise_error(F.concat(F.lit("wrong version requirement: "), F.col("req_text")))).otherwise(F.col("req")))
+    found = durable(texts.withColumns({"req_key": semver.requirement_text(F.col("req")), "made": semver.compiled(F.col("req"))}))
+    return found.select("req_text", "req", "req_key", "made.*")
 
 
 def registry(spark: SparkSession, sf_dir: str) -> Registry:
