@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import semver
-from ..sources.shared import durable
+from ..sources.shared import durable, parts_for, stored
 from .temporal import FROM, TO, coalesce_intervals, forever, interval_join, running_max_intervals, since, subtract_intervals
 
 #: Names of the features that every release has: the package itself, and its defaults.
@@ -25,8 +25,6 @@ MAX_ROUNDS = 65_535
 MERGE_ROUNDS = 8
 #: Rows of a round (some 60 bytes each) up to which they are broadcast.
 FEW = 100_000
-#: Places over which the edges to one node are spread.
-SALTS = 16
 #: Distinct sets of declared features whose paths a task remembers.
 SHAPES = 10_000
 
@@ -37,7 +35,7 @@ def resolved(dependencies: DataFrame, releases: DataFrame) -> DataFrame:
     A requirement that can't take prereleases is a range of stable versions, answered by ``swept``. The others, which are few, are
     compared with the releases of their package one by one.
     """
-    wanted = durable(dependencies.select("crate_id", "req_key", "may_pre", "low", "high").distinct())
+    wanted = stored(dependencies.select("crate_id", "req_key", "may_pre", "low", "high").distinct())
     stable = swept(wanted.filter("NOT may_pre"), releases)
     offered = releases.select("crate_id", "created_at", F.struct("ver", "version_id").alias("best"))
     unstable = wanted.filter("may_pre").select("crate_id", "req_key", semver.requirement(F.col("req_key")).alias("req"))
@@ -87,7 +85,12 @@ def swept(wanted: DataFrame, releases: DataFrame) -> DataFrame:
 def direct_edges(dependencies: DataFrame, resolutions: DataFrame) -> DataFrame:
     """(src, dst, interval): which release a release's dependency rows, of any kind, point to."""
     rows = dependencies.select("crate_id", "req_key", F.col("version_id").alias("src")).distinct()
-    return rows.join(resolutions.withColumnRenamed("version_id", "dst"), ["crate_id", "req_key"]).select("src", "dst", FROM, TO)
+    return rows.join(_looked_up(resolutions, "dst"), ["crate_id", "req_key"]).select("src", "dst", FROM, TO)
+
+
+def _looked_up(resolutions: DataFrame, name: str) -> DataFrame:
+    """Resolutions to be joined by requirement: a requirement's are far fewer than the rows that ask, so only they are held, hashed, and the others stream past unsorted."""
+    return resolutions.withColumnRenamed("version_id", name).hint("shuffle_hash")
 
 
 def recent(releases: DataFrame) -> DataFrame:
@@ -123,8 +126,9 @@ def requested_features(default_features: Column, features: Column) -> Column:
 
 def dependency_edges(dependencies: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Edges between (release, feature) nodes from dependency rows other than dev ones."""
-    rows = dependencies.filter(F.col("kind").isin("normal", "build")).select("crate_id", "req_key", F.col("version_id").alias("src_v"), F.col("feature").alias("src_f"), F.explode(requested_features(F.col("default_features"), F.col("features"))).alias("dst_f")).distinct()
-    return rows.join(resolutions.withColumnRenamed("version_id", "dst_v"), ["crate_id", "req_key"]).select("src_v", "src_f", "dst_v", "dst_f", FROM, TO)
+    rows = dependencies.filter(F.col("kind").isin("normal", "build")).select("crate_id", "req_key", F.col("version_id").alias("src_v"), F.col("feature").alias("src_f"), F.explode(requested_features(F.col("default_features"), F.col("features"))).alias("dst_f"))
+    rows = rows.repartition(parts_for(dependencies), "src_v").distinct()
+    return rows.join(_looked_up(resolutions, "dst_v"), ["crate_id", "req_key"]).select("src_v", "src_f", "dst_v", "dst_f", FROM, TO)
 
 
 def _enabled(releases: DataFrame) -> DataFrame:
@@ -146,7 +150,7 @@ def cross_feature_edges(releases: DataFrame, dependencies: DataFrame, resolution
     """Edges from a feature to a feature of another package that it enables, by the dependency rows (of any kind) on it."""
     enabled = _enabled(releases).filter("to_crate <> crate_id").select("version_id", F.col("to_crate").alias("crate_id"), F.col("feature").alias("src_f"), F.col("to_feature").alias("dst_f")).distinct()
     rows = enabled.join(dependencies.select("version_id", "crate_id", "req_key").distinct(), ["version_id", "crate_id"])
-    return rows.join(resolutions.withColumnRenamed("version_id", "dst_v"), ["crate_id", "req_key"]).select(F.col("version_id").alias("src_v"), "src_f", "dst_v", "dst_f", FROM, TO)
+    return rows.join(_looked_up(resolutions, "dst_v"), ["crate_id", "req_key"]).select(F.col("version_id").alias("src_v"), "src_f", "dst_v", "dst_f", FROM, TO)
 
 
 def feature_edges(releases: DataFrame, dependencies: DataFrame, resolutions: DataFrame) -> DataFrame:
@@ -220,17 +224,14 @@ def reachable(matches: DataFrame, releases: DataFrame, edges: DataFrame) -> Data
     ``edges`` lead from release to release. What a release's own edges add is known before (``inner_paths``) and comes with the node, so
     a round is one dependency and all that is above it. Semi-naive: each round follows edges backwards from what the last one
     added, less what was known. Intervals are subtracted, so cycles end and a node that is reachable only at times is followed at just these.
-    Edges are dealt by their target once, hot targets over ``SALTS`` places. A round that added few rows broadcasts them, so that it shuffles no edges, and one
+    Edges are written once and never dealt out: a round that added few rows broadcasts them, so that it shuffles no edges, and one
     that meets few known rows subtracts them all; else edges and known rows are met by shuffled joins, of which adaptive execution
     splits the hot keys.
     """
     keys = ["version_id", "feature", "query_id"]
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    inner = durable(inner_paths(releases))
+    inner = stored(inner_paths(releases))
     back = edges.join(inner.withColumnsRenamed({"version_id": "src_v", "feature": "src_f"}), ["src_v", "src_f"], "left")
-    salt = F.pmod(F.xxhash64("src_v"), F.lit(SALTS))
-    back = back.select(F.col("dst_v").alias("version_id"), F.col("dst_f").alias("feature"), "src_v", "src_f", "above", "since", FROM, TO)
-    back = durable(back.repartition(parts, "version_id", "feature", salt))
+    back = stored(back.select(F.col("dst_v").alias("version_id"), F.col("dst_f").alias("feature"), "src_v", "src_f", "above", "since", FROM, TO))
     start = matches.select("version_id", F.lit(PACKAGE).alias("feature"), "query_id", FROM, TO).join(inner, ["version_id", "feature"], "left")
     known = fresh = durable(coalesce_intervals(_with_inner(start), keys))
     n_known = n_fresh = fresh.count()

@@ -19,11 +19,11 @@ def prepared(registry: Registry, predicates: DataFrame, transitive: bool = False
     """The registry as the dataflow reads it. Direct counts need only the dependencies on the queries' packages, the closure reads releases often."""
     registry = exclude(registry, exclude_patterns)
     if transitive:
-        registry = replace(registry, releases=graph.durable(registry.releases))
+        registry = replace(registry, releases=graph.stored(registry.releases))
     if not transitive:
         wanted = predicates.select("crate_id").distinct()
         registry = replace(registry, dependencies=registry.dependencies.join(wanted, "crate_id", "left_semi").select(registry.dependencies.columns))
-    return replace(registry, dependencies=graph.durable(clamp(registry).dependencies))
+    return replace(registry, dependencies=graph.stored(clamp(registry).dependencies))
 
 
 def dependents(registry: Registry, predicates: DataFrame, transitive: bool = False) -> DataFrame:
@@ -34,7 +34,7 @@ def dependents(registry: Registry, predicates: DataFrame, transitive: bool = Fal
     if not transitive:
         resolutions = graph.resolved(dependencies, releases)
         return graph.dependents(matches, graph.direct_edges(dependencies, resolutions), latest)
-    resolutions = graph.durable(graph.resolved(dependencies, releases))
+    resolutions = graph.stored(graph.resolved(dependencies, releases))
     near = dependencies.join(predicates.select("crate_id").distinct(), "crate_id", "left_semi")  # only these can point to a match
     direct = graph.dependents(matches, graph.direct_edges(near, resolutions), latest)
     reached = graph.reachable(matches, releases, graph.outer_edges(releases, dependencies, resolutions))

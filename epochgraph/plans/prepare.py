@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import semver
 from ..operators.temporal import clipped, fill_forward
 from ..sources.schema import Registry
-from ..sources.shared import durable
+from ..sources.shared import stored
 
 
 def exclude(registry: Registry, patterns: Sequence[str]) -> Registry:
@@ -53,17 +53,22 @@ def clamp(registry: Registry) -> Registry:
     in the order of publication is (created_at, load_ord). Dependencies of releases that are gone, or on packages without any release
     by then, stay as they are.
 
-    Most requirements can't be too wide at any time, which their ranges tell; only the dependencies with others are looked at. These are
-    filled forward together with the publications, each at its release's place. The verdict needs a version's three numbers alone.
+    Most requirements can't be too wide at any time, which their ranges tell; only the dependencies with others are looked at, and all
+    others go on as they were read. These few are filled forward together with the publications, each at its release's place. The verdict
+    needs a version's three numbers alone.
     """
     columns, releases = registry.dependencies.columns, registry.releases
     key = semver.version_key(*(F.col("ver")[n] for n in ("major", "minor", "patch")))
     places = releases.select("version_id", "created_at", "load_ord")
-    rows = registry.dependencies.join(places, "version_id", "left").withColumns({"asks": F.lit(True), "top": F.lit(None).cast("string")})
+    dependencies = stored(registry.dependencies)
+    doubtful = F.coalesce(F.col("may_widen"), F.lit(False))
+    asked = dependencies.filter(doubtful)
+    texts = asked.select("req_key", "req", "low", "high").distinct().dropDuplicates(["req_key"])  # met again when all is filled: they are wide, and few
+    rows = asked.drop("req", "low", "high").join(places, "version_id", "left").withColumns({"asks": F.lit(True), "top": F.lit(None).cast("string")})
     offered = releases.select("crate_id", "created_at", "load_ord", F.lit(False).alias("asks"), key.alias("top"))
-    rows = durable(rows.unionByName(offered, allowMissingColumns=True))
-    doubtful = F.coalesce(F.col("may_widen"), F.lit(False)) & F.col("created_at").isNotNull()
-    known = fill_forward(rows.filter(~F.col("asks") | doubtful), ["crate_id"], "created_at", ["created_at", "load_ord"], "top").filter("asks")
+    rows = stored(rows.unionByName(offered, allowMissingColumns=True))
+    gone = F.col("asks") & F.col("created_at").isNull()
+    known = fill_forward(rows.filter(~gone), ["crate_id"], "created_at", ["created_at", "load_ord"], "top").filter("asks").join(texts, "req_key")
     numbers = semver.numbers_of_key(F.col("top"))
     following = semver.next_incompatible(F.struct(*(n.alias(name) for n, name in zip(numbers, ("major", "minor", "patch"), strict=True))))
     known = known.withColumn("_next", semver.version_key(*(following[n] for n in ("major", "minor", "patch"))))
@@ -71,5 +76,5 @@ def clamp(registry: Registry) -> Registry:
     caret = F.array(semver.comparator(F.lit("caret"), *numbers)).cast(semver.REQUIREMENT)
     narrow = {"req": caret, "req_key": semver.caret_text(*numbers), "low": F.col("top"), "high": F.col("_next"), "may_pre": F.lit(False), "may_widen": F.lit(False)}
     narrowed = known.withColumn("_w", too_wide).withColumns({name: F.when(F.col("_w"), value).otherwise(F.col(name)) for name, value in narrow.items()})
-    rest = rows.filter(F.col("asks") & ~doubtful)
-    return replace(registry, dependencies=rest.select(columns).unionByName(narrowed.select(columns)))
+    rest = dependencies.filter(~doubtful).select(columns).unionByName(rows.filter(gone).join(texts, "req_key").select(columns))
+    return replace(registry, dependencies=rest.unionByName(narrowed.select(columns)))
