@@ -15,6 +15,7 @@ from ..operators import graph, series, temporal
 from ..operators.temporal import FROM, TO
 from ..sources import dump, repair, star
 from ..sources.schema import Registry
+from ..sources.shared import parts_for
 from . import counts, prepare, query
 
 #: One package, one of its major versions, and either of two packages.
@@ -26,9 +27,10 @@ EXCLUDED = "^c[0-9]*9$"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _at(df: DataFrame, *columns: str) -> DataFrame:
-    """The rows that hold at each of DATES."""
-    return temporal.at_dates(df, DATES).select("as_of", *columns).distinct()
+def _at(df: DataFrame, *columns: str, parts: int | None = None) -> DataFrame:
+    """The rows that hold at each of DATES; with ``parts`` they are dealt to so many tasks and only there made distinct."""
+    rows = temporal.at_dates(df, DATES).select("as_of", *columns)
+    return (rows.repartition(parts, "as_of", *columns) if parts else rows).distinct()
 
 
 def _early(spark: SparkSession, sf_dir: str, features: bool = False) -> DataFrame:
@@ -51,14 +53,14 @@ def resolve_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def direct_edges_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each requirement by which a release points to another."""
-    deps = graph.durable(star.dependencies(spark, sf_dir))
+    deps = graph.stored(star.dependencies(spark, sf_dir))
     return graph.direct_edges(deps, graph.resolved(deps, star.releases(spark, sf_dir, features=False)))
 
 
 def direct_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At DATES alone."""
-    deps = graph.durable(star.dependencies(spark, sf_dir))
-    return _at(graph.direct_edges(deps, graph.resolved(deps, _early(spark, sf_dir))), "src", "dst")
+    deps = graph.stored(star.dependencies(spark, sf_dir))
+    return _at(graph.direct_edges(deps, graph.resolved(deps, _early(spark, sf_dir))), "src", "dst", parts=parts_for(deps))
 
 
 def _direct_registry(spark: SparkSession, sf_dir: str):
@@ -113,14 +115,14 @@ def dependency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_edges_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each requirement, or declaration, by which a node points to another."""
-    deps, releases = graph.durable(star.dependencies(spark, sf_dir)), star.releases(spark, sf_dir)
-    return graph.feature_edges(releases, deps, graph.durable(graph.resolved(deps, releases)))
+    deps, releases = graph.stored(star.dependencies(spark, sf_dir)), star.releases(spark, sf_dir)
+    return graph.feature_edges(releases, deps, graph.stored(graph.resolved(deps, releases)))
 
 
 def feature_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At DATES alone."""
-    deps, releases = graph.durable(star.dependencies(spark, sf_dir)), _early(spark, sf_dir, features=True)
-    return _at(graph.feature_edges(releases, deps, graph.durable(graph.resolved(deps, releases))), "src_v", "src_f", "dst_v", "dst_f")
+    deps, releases = graph.stored(star.dependencies(spark, sf_dir)), _early(spark, sf_dir, features=True)
+    return _at(graph.feature_edges(releases, deps, graph.stored(graph.resolved(deps, releases))), "src_v", "src_f", "dst_v", "dst_f", parts=parts_for(deps))
 
 
 def transitive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,16 +197,22 @@ def event_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semver_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct requirement against every distinct version number: the requirements are few (at most 79 texts) and broadcast."""
-    reqs = star.dependencies(spark, sf_dir).select("req_key", "req").dropDuplicates(["req_key"])
-    versions = star.releases(spark, sf_dir, features=False).select("num", "ver").dropDuplicates(["num"])
-    return versions.join(F.broadcast(reqs), semver.matches(F.col("req"), F.col("ver"))).select("req_key", "num")
+    return _matching(spark, sf_dir).select("req_key", "num")
+
+
+def _matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(req_key, num, ver): a requirement that can't take prereleases is a range of stable versions, so a pair costs two comparisons; only others are matched by their comparators."""
+    reqs = F.broadcast(star.requirements(spark, sf_dir).dropDuplicates(["req_key"]))
+    versions = star.releases(spark, sf_dir, features=False).select("num").distinct().withColumn("ver", semver.version(F.col("num")))
+    versions = versions.withColumn("_key", semver.version_key(*(F.col("ver")[n] for n in ("major", "minor", "patch"))))
+    stable = versions.filter("ver.pre_empty").join(reqs.filter("NOT may_pre").select("req_key", "low", "high"), (F.col("low") <= F.col("_key")) & (F.col("_key") < F.col("high")))
+    others = versions.join(reqs.filter("may_pre").select("req_key", "req"), semver.matches(F.col("req"), F.col("ver")))
+    return stable.select("req_key", "num", "ver").unionByName(others.select("req_key", "num", "ver"))
 
 
 def semver_matching_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the version's parts, read from its text."""
-    found = semver_matching(spark, sf_dir)
-    ver = semver.version(F.col("num"))
-    return found.select("req_key", "num", *(ver[n].cast("long").alias(n) for n in ("major", "minor", "patch")))
+    return _matching(spark, sf_dir).select("req_key", "num", *(F.col("ver")[n].cast("long").alias(n) for n in ("major", "minor", "patch")))
 
 
 def prerelease_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +226,7 @@ def prerelease_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requirement_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct requirements (at most 79) in their order."""
-    reqs = star.dependencies(spark, sf_dir).select("req_key", "req").dropDuplicates(["req_key"])
+    reqs = star.requirements(spark, sf_dir).select("req_key", "req").dropDuplicates(["req_key"])
     place = F.row_number().over(Window.orderBy(semver.requirement_order(F.col("req"))))
     return reqs.select("req_key", place.cast("long").alias("place"))
 
