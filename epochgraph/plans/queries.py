@@ -254,18 +254,19 @@ def dump_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dump_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared features of a dump: own ones, those of a package by its name or by its new name in a release, and weak ones."""
     packages = star.packages(spark, sf_dir)
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("version_id"), F.col("l_suppkey").alias("to"), "l_linenumber").distinct()
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("version_id"), F.col("l_suppkey").alias("to"), "l_linenumber")
+    items = items.repartition("version_id").distinct()  # the one shuffle of line items: what follows is by release
     name = F.concat(F.lit("c"), F.col("to").cast("string"))
     alias = F.concat(F.lit("al"), F.col("to").cast("string"))
     item = F.when(F.col("l_linenumber") == 1, F.concat(name, F.lit("/x"))).when(F.col("l_linenumber") == 2, F.concat(name, F.lit("?/y"))).when(F.col("l_linenumber") == 3, F.concat(alias, F.lit("/z"))).otherwise("own")
-    lists = items.withColumn("item", item).groupBy("version_id").agg(F.array_sort(F.collect_list("item")).alias("made"))
+    lists = items.withColumn("item", item).groupBy("version_id").agg(F.sort_array(F.collect_list("item")).alias("made"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("crate_id"))
     text = F.to_json(F.create_map(F.lit("full"), "made", F.lit("none"), F.array().cast("array<string>")))
     versions = orders.join(lists, F.col("id") == F.col("version_id")).select("id", "crate_id", F.lit("1.0.0").alias("num"), text.alias("features"))
     renamed = items.filter("l_linenumber = 3").select(F.col("version_id").alias("id"), "version_id", F.col("to").alias("crate_id"), alias.alias("explicit_name"))
     found = dump.features_of(versions, renamed, packages).select("version_id", F.explode("features").alias("f"))
-    flat = F.concat(F.transform("f.enables", lambda e: F.struct(F.lit(False).alias("weak"), e["crate_id"].alias("to"), e["feature"].alias("to_feature"))), F.transform("f.weak_enables", lambda e: F.struct(F.lit(True).alias("weak"), e["crate_id"].alias("to"), e["feature"].alias("to_feature"))))
-    return found.select("version_id", F.col("f.feature").alias("feature"), F.explode_outer(flat).alias("e")).select("version_id", "feature", "e.weak", F.col("e.to").alias("to_crate"), "e.to_feature")
+    found = found.select("version_id", "f.feature", F.size("f.enables").alias("strong"), F.posexplode_outer(F.concat("f.enables", "f.weak_enables")).alias("pos", "e"))
+    return found.select("version_id", "feature", (F.col("pos") >= F.col("strong")).alias("weak"), F.col("e.crate_id").alias("to_crate"), F.col("e.feature").alias("to_feature"))
 
 
 def _dumped(spark: SparkSession, sf_dir: str) -> Registry:

@@ -1,12 +1,13 @@
 """Steps that cost more than their share as tables grow: passes over ids, what is kept between steps, and rows of one task."""
 
+import re
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from epochgraph.plans import queries
-from epochgraph.sources import shared, star
+from epochgraph.sources import dump, shared, star
 from epochgraph.sources.repair import mend
 from support import SF
 
@@ -65,3 +66,43 @@ def test_tasks_grow_in_number(spark, monkeypatch):
     deps = star.dependencies(spark, SF)
     assert "hashpartitioning(l_orderkey#" in deps._jdf.queryExecution().toString() and f", {-(-lines // 500)})" in deps._jdf.queryExecution().toString()
     assert deps.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_linenumber", F.floor("l_quantity"), "l_returnflag", "l_linestatus", F.col("l_tax") >= 0.04, F.col("l_discount") < 0.05, F.col("l_discount") >= 0.08).distinct().count()
+
+
+ITEMS = '{"b":["x","p-2/f","p_2?/g","al/h","/own","?/w","a/b/c"],"a":[],"n":null,"m":[null,"q"]}'
+
+
+def releases_with_features(spark):
+    rows = [(1, 1, "1.0.0", ITEMS), (2, 2, "1.0.0", "{}"), (3, 2, "1.0.0", None), (4, 2, "1.0.0", "bad"), (5, 9, "0.1.0", '{"t":["test-server/x"]}'), (7, 2, "1.0.0", '{"z":["al/q","gone/r"]}')]
+    versions = spark.createDataFrame(rows, "id long, crate_id long, num string, features string")
+    renamed = spark.createDataFrame([(1, 1, 3, "al"), (2, 1, 2, "al"), (3, 7, 3, "al"), (4, 7, None, "gone"), (5, 1, 1, None)], "id long, version_id long, crate_id long, explicit_name string")
+    packages = spark.createDataFrame([(1, "p1"), (2, "p_2"), (3, "p3"), (4, "a"), (9, "modbus"), (10, "gone")], "crate_id long, name string")
+    return dump.features_of(versions, renamed, packages)
+
+
+def test_features_of_odd_items(spark):
+    found = {r["version_id"]: [(f["feature"], [tuple(e) for e in f["enables"]], [tuple(e) for e in f["weak_enables"]]) for f in r["features"]] for r in releases_with_features(spark).collect()}
+    b = ("b", [(1, "x"), (2, "f"), (2, "h"), (1, "own"), (4, "b/c")], [(2, "g"), (1, "w")])
+    assert found == {1: [("a", [], []), b, ("m", [(1, "q")], []), ("n", [], [])], 5: [("t", [(9, "x")], [])], 7: [("z", [(3, "q"), (10, "r")], [])]}
+
+
+def test_features_travel_by_release(spark):
+    """With tables too large to broadcast, only names that are asked for go to the packages, and no own feature does; the rest is dealt by release."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = releases_with_features(spark)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        assert dealt and all(re.match(r"(version_id|id|_key)#\d+L?, \d+$", d) for d in dealt), dealt
+        assert sum(d.startswith("_key") for d in dealt) == 2
+        assert found.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_features_are_made_once(spark):
+    """What a reader filters by isn't pushed below the making of the features."""
+    made = releases_with_features(spark).filter(F.size("features") > 0).select("version_id", F.explode("features").alias("f"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "transform(" in line for line in plan.splitlines())
